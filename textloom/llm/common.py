@@ -43,7 +43,7 @@ def add_columns(df: DataFrame, inputs: list[str | Column], fields: list[tuple[st
     def computed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         step = make()
         for batch in batches:
-            yield step(*batch)
+            yield step(*batch) if isinstance(batch, tuple) else step(batch)
 
     columns = [F.col(c) if isinstance(c, str) else c for c in inputs]
     names = [n for n, _ in fields]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat, sharding
+from textloom.llm import chat, decontaminate, sharding
 from textloom.llm.common import table
 
 SHARDS = 40
@@ -19,6 +19,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(turns.unionByName(extra)))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS)
 
@@ -28,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": chat.DIGEST_SQL}
+    return {"op6_chat_formatting": chat.DIGEST_SQL, "op7_decontamination": decontaminate.DIGEST_SQL}
