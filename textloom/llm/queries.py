@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, embedding_dedup, language, quality, sharding, simhash
+from textloom.llm import chat, decontaminate, embedding_dedup, language, pieces, quality, sharding, simhash
 from textloom.llm.common import table
 
 SHARDS = 40
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
+    listed = F.sha2(F.array_join("input_ids", ","), 256)
+    return ids.select("doc_id", "n_tokens", "n_bytes", listed.alias("ids_sha256"), "round_trip")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
