@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, embedding_dedup, language, pieces, quality, sharding, simhash
+from textloom.llm import chat, decontaminate, embedding_dedup, language, pieces, quality, sharding, simhash, token_counts
 from textloom.llm.common import table
 
 SHARDS = 40
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, RANKS)
+    return counted.select("doc_id", "n_tokens", "n_crossing", "outside", F.col("section_tokens").cast("array<bigint>").alias("section_tokens"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
