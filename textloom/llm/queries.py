@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, embedding_dedup, language, pieces, quality, sharding, simhash, token_counts
+from textloom.llm import chat, decontaminate, embedding_dedup, language, licenses, pieces, quality, sharding, simhash, token_counts
 from textloom.llm.common import table
 
 SHARDS = 40
@@ -29,6 +29,13 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct("license_matches.license")), ",")
+    best = F.coalesce(F.round(F.array_max("license_matches.coverage"), 6), F.lit(0.0))
+    return found.select("doc_id", F.size("license_matches").cast("long").alias("n_matches"), names.alias("licenses"), best.alias("best_coverage"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
