@@ -11,10 +11,10 @@ the last 14 by 1 at the most. The grid is the unit grid of each of these two par
 Counts are kept in unary (00, 01, 11), so a step on the grid is one bit and Manhattan distance is a bit count.
 
 Equal texts have equal fingerprints and are one point throughout. A cell that a large group of near copies fills is
-never expanded into pairs: all its points are compared with the smallest one only, links found so are contracted, and
-only cells that then hold several components are searched further, the points outside the component that has most of
-the cell against the points of other components. Every pair that links two components is examined, so the components
-are exact.
+never expanded into pairs: all its points are compared with the smallest one, and links found so are contracted. Then
+small cells are searched for links between different components; of a large cell, only the points outside the
+component that has most of it are compared with points of other components. Every pair that can link two components
+is examined, so the components are exact.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import add_columns, cut
@@ -39,6 +39,8 @@ FIRST_BITS = 36
 _LOW = 0x5555555555555555
 _FIRST = (1 << FIRST_BITS) - 1
 MAX_DISTANCE = 4
+#: Points from which a cell is searched by its components; up to so many, each is compared with each.
+LARGE_CELL = 64
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -111,26 +113,32 @@ def fingerprint_components(prints: DataFrame, fp: str = "fingerprint", max_dista
     """``fp``, ``root`` for each distinct fingerprint that links to another: components at ``max_distance`` bits or fewer."""
     if not 0 <= max_distance <= MAX_DISTANCE:
         raise ValueError(f"the grid finds distances from 0 to {MAX_DISTANCE}")
-    distinct = prints.select(F.col(fp).alias("fp")).distinct()
-    dealt = distinct.select(F.explode(cells(F.col("fp"))).alias("cell"), "fp").repartition("cell")
-    shared = dealt.groupBy("cell").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut(dealt.join(shared, "cell"))
 
     def linked(x: str, y: str) -> Column:
         return (manhattan(F.col(x), F.col(y)) <= max_distance) & (hamming(F.col(x), F.col(y)) <= max_distance)
 
-    stars = members.filter(F.col("fp") != F.col("pivot")).filter(linked("fp", "pivot")).select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
+    distinct = prints.select(F.col(fp).alias("fp")).distinct()
+    dealt = distinct.select(F.explode(cells(F.col("fp"))).alias("cell"), "fp").repartition("cell")
+    pivots = dealt.groupBy("cell").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stars = dealt.withColumnRenamed("fp", "b").join(pivots, "cell").filter((F.col("a") != F.col("b")) & linked("a", "b")).select("a", "b")
     near = connected_components(stars)
 
-    placed = members.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
-    counts = placed.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    rooted = cut(distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    placed = rooted.select(F.explode(cells(F.col("fp"))).alias("cell"), "fp", "root").repartition("cell")
+    x, y = F.col("fp").alias("x"), F.col("fp").alias("y")
+    a, b = F.col("root").alias("a"), F.col("root").alias("b")
+    large = placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE_CELL).select("cell")
+    small = placed.join(large, "cell", "left_anti")
+    inside = small.select("cell", x, a).join(small.select("cell", y, b), "cell").filter((F.col("a") != F.col("b")) & (F.col("x") < F.col("y")) & linked("x", "y"))
+
+    full = cut(placed.join(large, "cell"))
+    counts = full.groupBy("cell", "root").agg(F.count("*").alias("n"))
     most = counts.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = cut(placed.join(most.select("cell", F.col("most.root").alias("main")), "cell"))
-    x = mixed.filter("root <> main").select("cell", F.col("fp").alias("x"), F.col("root").alias("a"))
-    y = mixed.select("cell", F.col("fp").alias("y"), F.col("root").alias("b"), "main")
+    mixed = cut(full.join(most.select("cell", F.col("most.root").alias("main")), "cell"))
     # Two outside the main component meet once; one outside and one inside always.
     met = (F.col("a") != F.col("b")) & ((F.col("b") == F.col("main")) | (F.col("x") < F.col("y"))) & linked("x", "y")
-    bridges = x.join(y, "cell").filter(met).select("a", "b").distinct()
+    outside = mixed.filter("root <> main").select("cell", x, a).join(mixed.select("cell", y, b, "main"), "cell").filter(met)
+    bridges = inside.select("a", "b").union(outside.select("a", "b")).distinct()
     far = connected_components(bridges)
     joined = near.join(far.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     lone = far.join(near.select("node"), "node", "left_anti").select("node", "root")
@@ -152,10 +160,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     return out.select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row of each component of near-duplicates, with the columns of ``docs``: that of the smallest id.
 
-    Of several rows with the smallest id, the one whose text has the smallest hash stays; rows without ids come last.
+    Of several rows with the smallest id, the one with the smallest hash stays, once; rows without ids come last.
     """
     spare = "__print"
     prints = add_fingerprint(docs, text, words, spare)
@@ -164,12 +172,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     linked = fingerprint_components(narrow, "fp", max_distance)
     least = narrow.groupBy("fp").agg(F.min("key").alias("key")).join(linked, "fp", "left")
     chosen = cut(least.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("key").alias("key")).select("key.late", "key.id", "key.h"))
-    named = docs.withColumn(spare, key)
-    return first_of(named, chosen, spare, docs.columns)
-
-
-def first_of(named: DataFrame, chosen: DataFrame, spare: str, columns: list[str]) -> DataFrame:
-    """The rows whose key is chosen, and of rows that agree in every column one."""
-    held = named.join(chosen, F.col(f"{spare}.h") == chosen["h"], "left_semi")
-    once = Window.partitionBy(f"{spare}.h", f"{spare}.id").orderBy(F.lit(1))
-    return held.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in columns])
+    held = docs.withColumn(spare, key).join(chosen, F.col(f"{spare}.h") == chosen["h"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = narrow.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return held if repeated.isEmpty() else held.dropDuplicates()
