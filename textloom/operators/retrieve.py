@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
 
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 2048
+
 
 def scored(index: DataFrame, query: DataFrame, vec_col: str = "embedding", query_col: str = "q") -> DataFrame:
-    """Every index row with its cosine to every query row. ``query`` is a stated, small set: one row or a batch."""
-    return index.crossJoin(F.broadcast(query)).withColumn("score", V.cosine(vec_col, query_col)).drop(query_col)
+    """Every index row with its cosine to the vector in the one row of ``query``."""
+    return index.crossJoin(F.broadcast(query.limit(1))).withColumn("score", V.cosine(vec_col, query_col)).drop(query_col)
 
 
 def top_k(index: DataFrame, query: DataFrame, k: int = 10, id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
@@ -18,8 +26,50 @@ def top_k(index: DataFrame, query: DataFrame, k: int = 10, id_col: str = "doc_id
     return scored(index, query, vec_col).orderBy(F.desc("score"), id_col).limit(max(0, k))
 
 
-def top_k_batch(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
-    """The k nearest rows for each query row, with ``rank`` from 0."""
+def _unit(vectors: list) -> np.ndarray:
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(length == 0, 1, length)
+
+
+def top_k_batch(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "doc_id", vec_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id``, id, ``score`` and ``rank`` (from 0) of the k rows nearest to each query.
+
+    Queries go out in blocks; each task keeps its own k best per query, so only those are shuffled.
+    """
+    if k <= 0:
+        return index.select(F.lit(None).cast("bigint").alias(query_id), F.col(id_col).cast("bigint").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+
+    def near(sent: object):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = sent.value
+            best: list[pd.DataFrame] = []
+            for b in batches:
+                if not len(b):
+                    continue
+                scores = q @ _unit(b[vec_col].to_list()).T
+                rows = b[id_col].to_numpy()
+                order = np.lexsort((np.broadcast_to(rows, scores.shape), -scores), axis=1)[:, :k]
+                found = pd.DataFrame({query_id: np.repeat(ids, order.shape[1]), id_col: rows[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+                joined = pd.concat([*best, found]).sort_values([query_id, "score", id_col], ascending=[True, False, True])
+                best = [joined.groupby(query_id).head(k)]
+            yield from best
+
+        return run
+
+    held = queries.select(query_id, vec_col).filter(F.col(vec_col).isNotNull()).toLocalIterator()
+    parts, rows = [], []
+    for r in held:
+        rows.append(r)
+        if len(rows) == block:
+            parts.append(rows)
+            rows = []
+    parts.append(rows)
+    sc, found = index.sparkSession.sparkContext, []
+    usable = index.select(id_col, vec_col).filter(F.col(vec_col).isNotNull())
+    for rows in parts:
+        sent = sc.broadcast((np.array([r[0] for r in rows], dtype=np.int64), _unit([r[1] for r in rows]) if rows else np.zeros((0, 1))))
+        source = usable if rows else usable.limit(0)
+        found.append(source.mapInPandas(near(sent), f"{query_id} bigint, {id_col} bigint, score double"))
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    ranked = scored(index, queries, vec_col).withColumn("rank", F.row_number().over(best) - 1)
-    return ranked.filter(F.col("rank") < max(0, k))
+    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)

@@ -1,37 +1,564 @@
-"""The named queries: ``queries()`` runs them on Spark, ``oracle_sql()`` has their SQL."""
+"""The named queries: ``queries()`` runs them on Spark, ``oracle_sql()`` has SQL that gives the same rows.
+
+Scores that need a model come from stand-in logits, which are plain arithmetic, so that everything after the model
+can be checked. Floats are rounded to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import scorers
+from textloom.functions import text as T
+from textloom.functions import vectors as V
+from textloom.operators import chunk, evaluate, index, pairs, rank, retrieve, spans
+
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+HYPOTHESES = ["This is about people.", "This is about places.", "This is about numbers.", "This is about nothing."]
+LABELS = ["person", "place", "thing"]
+BIO = ["O", "B-PERSON", "I-PERSON", "B-EMAIL", "I-EMAIL"]
+QUESTION = "the and of to in that is with for by"
+#: Fixed value: what white space is in SQL, where ``\s`` is ASCII only.
+SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WORD_SQL = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+(?:[-_][\p{L}\p{M}\p{Nd}\p{Pc}]+)*|[^" + SPACE + "]"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
 
+    return add
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+def rounded(v: Column | str) -> Column:
+    return F.transform(v, lambda x: F.round(x, 6) + F.lit(0.0))
+
+
+def one_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select(F.col("embedding").alias("q"))
+
+
+E_ = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+U_ = E_ + ", u AS (SELECT vec_id, label, list_transform(v, lambda x: x / (CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END)) AS v FROM e)"
+
+
+# Vectors and retrieval
+
+
+@query(f"WITH {E_}, q AS (SELECT v AS q FROM e WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(v, q), 6) AS score FROM e, q ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 5")
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.operators import retrieve
+    hits = retrieve.top_k(table(spark, sf_dir, "embeddings"), one_vector(spark, sf_dir), k=5, id_col="vec_id")
+    return hits.select("vec_id", r6("score").alias("score"))
 
-    index = _table(spark, sf_dir, "embeddings")
-    query = index.filter(F.col("vec_id") == 0).select(F.col("embedding").alias("q"))
-    return retrieve.top_k(index, query, k=5, id_col="vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
+@query(f"""WITH {E_}, s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score FROM e, e q WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s)
+SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank < 10""")
+def retrieve_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieve.top_k_batch(e, asked, k=10, id_col="vec_id").select("query_id", "vec_id", r6("score").alias("score"), "rank")
 
-RETRIEVE_TOPK = """
-WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q)
-SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 5
-"""
+
+@query(f"WITH {U_} SELECT vec_id, list_transform(v, lambda x: round(x, 6) + 0.0) AS unit FROM u")
+def embed_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", rounded(V.unit("embedding")).alias("unit"))
+
+
+@query(f"""WITH {E_}, z AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE x * (vec_id % 5) END) AS v FROM e)
+SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm,
+ round(CASE WHEN list_inner_product(v, v) = 0 THEN 0 ELSE 1 END, 6)::DOUBLE AS unit_norm FROM z""")
+def embed_zero_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = F.transform(V.doubles("embedding"), lambda x: F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(x * (F.col("vec_id") % 5)))
+    z = table(spark, sf_dir, "embeddings").select("vec_id", scaled.alias("v"))
+    return z.select("vec_id", r6(V.norm("v")).alias("norm"), r6(V.norm(V.unit("v"))).alias("unit_norm"))
+
+
+@query(f"""WITH {E_} SELECT count(*)::BIGINT AS n, min(len(v))::INTEGER AS min_dim, max(len(v))::INTEGER AS max_dim,
+ count(*) FILTER (abs(sqrt(list_inner_product(v, v)) - 1) > 1e-3)::BIGINT AS n_not_unit, round(max(abs(sqrt(list_inner_product(v, v)) - 1)), 6) AS worst FROM e""")
+def norm_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    off = F.abs(V.norm("embedding") - 1)
+    e = table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("dim"), off.alias("off"))
+    return e.agg(F.count("*").alias("n"), F.min("dim").alias("min_dim"), F.max("dim").alias("max_dim"), F.count_if(F.col("off") > 1e-3).alias("n_not_unit"), r6(F.max("off")).alias("worst"))
+
+
+C_ = U_ + """, d AS (SELECT label, i, avg(v[i]) AS x FROM u, unnest(range(1, 65)) t(i) GROUP BY label, i),
+m AS (SELECT label, list(x ORDER BY i) AS c FROM d GROUP BY label),
+c AS (SELECT label, list_transform(c, lambda x: x / (CASE WHEN list_inner_product(c, c) = 0 THEN 1 ELSE sqrt(list_inner_product(c, c)) END)) AS c FROM m)"""
+
+
+@query(f"WITH {C_} SELECT label, list_transform(c, lambda x: round(x, 6) + 0.0) AS centroid FROM c")
+def centroid_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.centroids(table(spark, sf_dir, "embeddings"), "label").select("label", rounded("centroid").alias("centroid"))
+
+
+@query(f"WITH {C_} SELECT vec_id, label, round(list_cosine_similarity(v, c), 6) AS score FROM u JOIN c USING (label)")
+def label_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.salience(table(spark, sf_dir, "embeddings"), "label").select("vec_id", "label", r6("score").alias("score"))
+
+
+@query(f"""WITH {C_}, s AS (SELECT vec_id, label, list_cosine_similarity(v, c) AS score FROM u JOIN c USING (label)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) - 1)::INTEGER AS rank FROM s)
+SELECT label, vec_id, rank, round(score, 6) AS score FROM r WHERE rank < 10""")
+def centroid_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = rank.ranked(rank.salience(table(spark, sf_dir, "embeddings"), "label"), "label", "vec_id", 10)
+    return best.select("label", "vec_id", "rank", r6("score").alias("score"))
+
+
+@query(f"""WITH {U_}, q AS (SELECT v AS q FROM u WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(v, q) AS score FROM u, q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) - 1)::INTEGER AS rank FROM s)
+SELECT label, vec_id, rank, round(score, 6) AS score FROM r WHERE rank < 10""")
+def query_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = retrieve.scored(table(spark, sf_dir, "embeddings"), one_vector(spark, sf_dir))
+    return rank.ranked(scored, "label", "vec_id", 10).select("label", "vec_id", "rank", r6("score").alias("score"))
+
+
+def _mmr_sql(k: int) -> str:
+    parts = [f"WITH {U_}, q AS (SELECT v AS q FROM u WHERE vec_id = 0), s0 AS (SELECT vec_id, label, v, list_cosine_similarity(v, q) AS score, -2.0::DOUBLE AS near FROM u, q)"]
+    for i in range(k):
+        value = "score" if i == 0 else "0.7 * score - 0.3 * near"
+        parts.append(f"p{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {value} DESC, vec_id) AS n FROM s{i}) WHERE n = 1)")
+        parts.append(f"s{i + 1} AS (SELECT s.vec_id, s.label, s.v, s.score, greatest(s.near, list_inner_product(s.v, p.v)) AS near FROM s{i} s JOIN p{i} p USING (label) WHERE s.vec_id <> p.vec_id)")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT label, vec_id, {i} AS rank, round(score, 6) AS score FROM p{i}" for i in range(k))
+
+
+@query(_mmr_sql(4))
+def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = retrieve.scored(table(spark, sf_dir, "embeddings"), one_vector(spark, sf_dir))
+    return rank.mmr(scored, "label", "vec_id", 4, 0.3).select("label", "vec_id", "rank", r6("score").alias("score"))
+
+
+@query(f"""WITH {U_}, t AS (SELECT vec_id, list_transform(range(0, 8), lambda i: v[i * 8 + 1 : i * 8 + 8]) AS h, vec_id % 9 AS n FROM u)
+SELECT vec_id, list_transform(range(1, 9), lambda j: round(CASE WHEN n = 0 THEN 0 ELSE list_sum(list_transform(h[1:n], lambda r: r[j])) / n END, 6) + 0.0) AS pooled FROM t""")
+def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hidden, mask = _hidden()
+    return table(spark, sf_dir, "embeddings").select("vec_id", rounded(V.masked_mean(hidden, mask, 8)).alias("pooled"))
+
+
+@query(f"WITH {U_} SELECT vec_id, list_transform(v[1:8], lambda x: round(x, 6) + 0.0) AS pooled FROM u")
+def cls_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", rounded(V.first_token(_hidden()[0])).alias("pooled"))
+
+
+def _hidden() -> tuple[Column, Column]:
+    """An embedding read as 8 tokens of 8 values, of which the first vec_id % 9 are not padding."""
+    unit = V.unit("embedding")
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(unit, i * 8 + 1, F.lit(8)))
+    return tokens, F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i < F.col("vec_id") % 9).cast("int"))
+
+
+# Ordered scans
+
+
+@query(f"""WITH {U_}, a AS (SELECT vec_id, label, v, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM u)
+SELECT vec_id, label, round(list_cosine_similarity(v, b), 6) AS sim FROM a""")
+def adjacent_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.adjacent_cosine(table(spark, sf_dir, "embeddings"), "label", "vec_id").select("vec_id", "label", r6("sim").alias("sim"))
+
+
+PACK_SQL = """, r AS (SELECT parent, i, tokens, tokens AS held, 0 AS chunk, pos FROM n WHERE i = 0 UNION ALL
+SELECT n.parent, n.i, n.tokens, CASE WHEN {cut} THEN n.tokens ELSE r.held + n.tokens END, r.chunk + CASE WHEN {cut} THEN 1 ELSE 0 END, n.pos FROM r JOIN n ON n.parent = r.parent AND n.i = r.i + 1)
+SELECT parent, chunk, min(pos)::BIGINT AS first_pos, max(pos)::BIGINT AS last_pos, sum(tokens)::BIGINT AS tokens, list(i::INTEGER ORDER BY i) AS unit_indices FROM r GROUP BY parent, chunk"""
+
+
+@query(f"""WITH RECURSIVE {U_}, a AS (SELECT vec_id // 50 AS parent, vec_id AS pos, vec_id % 7 + 1 AS tokens, v, lag(v) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS b,
+ row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) - 1 AS i FROM u), n AS (SELECT parent, pos, tokens, i, list_cosine_similarity(v, b) AS sim FROM a)"""
+    + PACK_SQL.format(cut="(n.sim < 0.1 OR r.held + n.tokens > 12)"))
+def semantic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 50").alias("parent"), F.col("vec_id").alias("pos"), (F.col("vec_id") % 7 + 1).alias("tokens"), "embedding")
+    return chunk.pack(chunk.adjacent_cosine(units, "parent", "pos"), "parent", "pos", max_tokens=12, drop_threshold=0.1)
+
+
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id AS parent, i - 1 AS i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)),
+n AS (SELECT parent, i, i AS pos, len(regexp_extract_all(line, '[^""" + SPACE + r"""]+')) AS tokens FROM l)""" + PACK_SQL.format(cut="(r.held + n.tokens > 64)"))
+def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    units = each.select("parent", F.col("pos").cast("bigint").alias("pos"), T.token_count("line").alias("tokens"))
+    return chunk.pack(units, "parent", "pos", max_tokens=64, sim=None)
+
+
+# Index building
+
+
+@query("SELECT doc_id, text, source AS external_id FROM documents UNION ALL SELECT item_id + 1000000000 AS doc_id, text, NULL AS external_id FROM benchmark")
+def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("external_id"))
+    return index.append(old, table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), "text"))
+
+
+@query("""WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0)
+SELECT 'hit' AS kind, count(*)::BIGINT AS n, count(DISTINCT text)::BIGINT AS texts FROM documents WHERE text IN (SELECT text FROM c)
+UNION ALL SELECT 'miss', count(DISTINCT text)::BIGINT, count(DISTINCT text)::BIGINT FROM documents WHERE text NOT IN (SELECT text FROM c)""")
+def cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits, misses = index.cache_split(docs, docs.filter("doc_id % 2 = 0").select("text", F.col("doc_id").alias("cached")))
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+    return count(hits, "hit").unionByName(count(misses, "miss"))
+
+
+@query("""WITH u AS (SELECT conv_id, turn, conv_id * 1000 + turn AS r, nullif(role, 'system') AS section, text FROM conversations),
+k AS (SELECT *, CASE WHEN section IS NULL THEN conv_id || '#ungrouped-' || (row_number() OVER (PARTITION BY section IS NULL ORDER BY r) - 1) ELSE conv_id || '#' || section END AS group_uri FROM u),
+g AS (SELECT group_uri, string_agg(text, chr(10) ORDER BY r) AS text, min(r) AS first_row, count(*) AS n_units FROM k GROUP BY group_uri)
+SELECT group_uri, text, first_row::BIGINT AS first_row, n_units::BIGINT AS n_units, (row_number() OVER (ORDER BY first_row) - 1)::BIGINT AS doc_id FROM g""")
+def group_concat_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    units = c.select(F.col("conv_id").alias("doc_uri"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row"), F.nullif("role", F.lit("system")).alias("section"), "text")
+    return index.group_concat(units, "section")
+
+
+# Text
+
+
+@query(f"SELECT doc_id, len(w)::BIGINT AS n_words, list_distinct(w).len()::BIGINT AS n_distinct, w[1] AS first_word, w[-1] AS last_word FROM (SELECT doc_id, regexp_extract_all(text, '{WORD_SQL}') AS w FROM documents)")
+def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
+    return w.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct"), F.try_element_at("w", F.lit(1)).alias("first_word"), F.try_element_at("w", F.lit(-1)).alias("last_word"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '{WORD_SQL}') AS w, string_split(regexp_replace(text, '{WORD_SQL}', chr(1), 'g'), chr(1)) AS gaps FROM documents),
+e AS (SELECT doc_id, i, length(w[i]) AS size, sum(length(gaps[i]) + length(w[i])) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM d, unnest(range(1, len(w) + 1)) t(i))
+SELECT doc_id, count(*)::BIGINT AS n_words, sum(stop - size)::BIGINT AS starts, sum(stop)::BIGINT AS ends, max(stop)::BIGINT AS last_end FROM e GROUP BY doc_id""")
+def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "documents").select("doc_id", T.word_spans("text").alias("w")).filter(F.size("w") > 0)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return w.select("doc_id", F.size("w").cast("bigint").alias("n_words"), total("w.start").alias("starts"), total("w.end").alias("ends"), F.element_at("w.end", -1).cast("bigint").alias("last_end"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '[^{SPACE}]+'))::BIGINT AS n_tokens FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count("text").alias("n_tokens"))
+
+
+@query(f"SELECT doc_id, substring(regexp_replace(text, '^[{SPACE}]+|[{SPACE}]+$', '', 'g'), 1, 1500) AS snippet FROM documents")
+def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet("text").alias("snippet"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '{T.SENTENCE}'), lambda x: regexp_replace(x, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM s, unnest(range(1, len(s) + 1)) t(i)""")
+def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+    return each.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
+
+
+@query(f"SELECT count(*)::BIGINT AS n_words, 0::BIGINT AS n_wrong FROM (SELECT unnest(regexp_extract_all(text, '{WORD_SQL}')) FROM documents)")
+def offset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "documents").select("text", F.explode(T.word_spans("text")).alias("w"))
+    wrong = F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")) != F.col("w.text")
+    return w.agg(F.count("*").alias("n_words"), F.count_if(wrong).alias("n_wrong"))
+
+
+# Static embedder (stand-in vocabulary) and what is built on it
+
+HASHED = ", ".join(f"(('0x' || substr(md5(token || ':{j // 4}'), {8 * (j % 4) + 1}, 8))::BIGINT % 2001 - 1000) / 1000.0::DOUBLE" for j in range(scorers.DIM))
+
+
+def _embed_sql(rows: str) -> str:
+    """CTEs that embed ``rows`` (key, text) as ``emb`` (key, n_tokens, v)."""
+    sums = ", ".join(f"sum(v[{j + 1}] * n)" for j in range(scorers.DIM))
+    return f"""b AS ({rows}), k AS (SELECT key, unnest(regexp_extract_all(lower(text), '[^{SPACE}]+')) AS token FROM b), kc AS (SELECT key, token, count(*) AS n FROM k GROUP BY ALL),
+kv AS (SELECT token, [{HASHED}] AS v FROM (SELECT DISTINCT token FROM kc)),
+ks AS (SELECT key, sum(n) AS n_tokens, [{sums}] AS s FROM kc JOIN kv USING (token) GROUP BY key),
+emb AS (SELECT key, coalesce(n_tokens, 0)::BIGINT AS n_tokens, CASE WHEN s IS NULL OR list_inner_product(s, s) = 0 THEN list_transform(range({scorers.DIM}), lambda x: 0.0::DOUBLE)
+ ELSE list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) END AS v FROM (SELECT DISTINCT key FROM b) LEFT JOIN ks USING (key))"""
+
+
+DOCS_SQL = _embed_sql("SELECT doc_id AS key, text FROM documents")
+COS = "CASE WHEN list_inner_product({a}, {a}) = 0 OR list_inner_product({b}, {b}) = 0 THEN 0.0 ELSE list_cosine_similarity({a}, {b}) END"
+
+
+@query(f"WITH {DOCS_SQL} SELECT key AS doc_id, n_tokens, list_transform(v, lambda x: round(x, 6) + 0.0) AS embedding FROM emb")
+def vocab_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scorers.vocab_embed(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("embedding", rounded("embedding"))
+
+
+@query(f"WITH {DOCS_SQL}, q AS (SELECT v AS q FROM emb WHERE key = 0) SELECT key AS doc_id, round({COS.format(a='v', b='q')}, 6) AS score FROM emb, q ORDER BY {COS.format(a='v', b='q')} DESC, key LIMIT 10")
+def doc_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = scorers.vocab_embed(docs.filter("doc_id = 0"), ["doc_id"]).select(F.col("embedding").alias("q"))
+    return retrieve.top_k(scorers.vocab_embed(docs, ["doc_id"]), asked, k=10).select("doc_id", r6("score").alias("score"))
+
+
+LINES_SQL = f"SELECT (doc_id, i) AS key, string_split(text, chr(10))[i] AS text FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)"
+
+
+@query(f"""WITH RECURSIVE {_embed_sql(LINES_SQL)}, a AS (SELECT key[1] AS parent, key[2] - 1 AS pos, n_tokens AS tokens, v, lag(v) OVER (PARTITION BY key[1] ORDER BY key[2]) AS p FROM emb),
+n AS (SELECT parent, pos, pos AS i, tokens, round({COS.format(a='v', b='p')}, 9) AS sim FROM a)""" + PACK_SQL.format(cut="(n.sim < 0.3 OR r.held + n.tokens > 128)"))
+def doc_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    units = scorers.vocab_embed(each.withColumn("pos", F.col("pos").cast("bigint")), ["parent", "pos"]).withColumnRenamed("n_tokens", "tokens")
+    return chunk.pack(chunk.adjacent_cosine(units, "parent", "pos").withColumn("sim", F.round("sim", 9)), "parent", "pos", max_tokens=128, drop_threshold=0.3)
+
+
+@query(f"""WITH {_embed_sql(LINES_SQL)}, dd AS (SELECT key[1] AS doc_id, i, avg(v[i]) AS x FROM emb, unnest(range(1, {scorers.DIM + 1})) t(i) GROUP BY ALL),
+c AS (SELECT doc_id, list(x ORDER BY i) AS c FROM dd GROUP BY doc_id), s AS (SELECT key[1] AS doc_id, key[2] - 1 AS pos, round({COS.format(a='v', b='c')}, 6) AS score FROM emb JOIN c ON key[1] = doc_id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) - 1)::INTEGER AS rank FROM s) SELECT doc_id, pos, score, rank FROM r WHERE rank < 3""")
+def doc_extractive_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("bigint"))
+    scored = rank.salience(scorers.vocab_embed(each, ["doc_id", "pos"]), "doc_id").withColumn("score", r6("score"))
+    return rank.ranked(scored, "doc_id", "pos", 3).select("doc_id", "pos", "score", "rank")
+
+
+# Pairs
+
+LOGIT_SQL = f"""(SELECT doc_id, 8.0 * len(list_intersect(w, q)) / greatest(len(list_distinct(list_concat(w, q))), 1) - 2.0 AS logit
+ FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[^{SPACE}]+')) AS w, string_split('{QUESTION}', ' ') AS q FROM documents))"""
+
+
+@query(f"SELECT doc_id, round(1 / (1 + exp(-logit)), 6) AS rerank_score FROM {LOGIT_SQL} ORDER BY 1 / (1 + exp(-logit)) DESC, doc_id LIMIT 20")
+def rerank_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = pairs.rerank(table(spark, sf_dir, "documents"), scorers.lexical_logit(QUESTION, "text"), 20, pos="doc_id")
+    return best.select("doc_id", r6("rerank_score").alias("rerank_score"))
+
+
+@query(f"""WITH {E_}, q AS (SELECT v AS q FROM e WHERE vec_id = 0), q1 AS (SELECT v AS w FROM e WHERE vec_id = 1),
+s AS (SELECT vec_id, v, list_cosine_similarity(v, q) AS score FROM e, q ORDER BY score DESC, vec_id LIMIT 50)
+SELECT vec_id, round(score, 6) AS score, round(1 / (1 + exp(-4 * list_cosine_similarity(v, w))), 6) AS rerank_score FROM s, q1 ORDER BY 1 / (1 + exp(-4 * list_cosine_similarity(v, w))) DESC, vec_id LIMIT 10""")
+def retrieve_then_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = retrieve.top_k(table(spark, sf_dir, "embeddings"), one_vector(spark, sf_dir), k=50, id_col="vec_id")
+    both = first.crossJoin(F.broadcast(one_vector(spark, sf_dir, 1)))
+    best = pairs.rerank(both, 4.0 * V.cosine("embedding", "q"), 10, pos="vec_id")
+    return best.select("vec_id", r6("score").alias("score"), r6("rerank_score").alias("rerank_score"))
+
+
+def _nli_logits(text: Column, hypothesis: Column) -> Column:
+    n, h = F.length(text), F.length(hypothesis)
+    return F.array((n % 7 / 2.0), ((n + h) % 11 / 2.0), (h % 5 / 2.0).cast("double"))
+
+
+NLI_SQL = "h AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{h}')" for i, h in enumerate(HYPOTHESES)) + """) t(hyp_pos, hypothesis)),
+l AS (SELECT doc_id, hyp_pos, hypothesis, length(text) % 7 / 2.0::DOUBLE AS a, (length(text) + length(hypothesis)) % 11 / 2.0::DOUBLE AS b, length(hypothesis) % 5 / 2.0::DOUBLE AS c FROM documents, h),
+p AS (SELECT doc_id, hyp_pos, hypothesis, exp(b - greatest(a, b, c)) / z AS entailment, exp(c - greatest(a, b, c)) / z AS neutral, exp(a - greatest(a, b, c)) / z AS contradiction
+ FROM (SELECT *, exp(a - greatest(a, b, c)) + exp(b - greatest(a, b, c)) + exp(c - greatest(a, b, c)) AS z FROM l)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(entailment, 12) DESC, hyp_pos) AS n FROM p) WHERE n = 1)"""
+
+
+def _nli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pairs.nli(table(spark, sf_dir, "documents").select("doc_id", "text"), HYPOTHESES, _nli_logits)
+    return scored.withColumn("entailment", F.round("entailment", 12))
+
+
+@query(f"WITH {NLI_SQL} SELECT doc_id, hypothesis, round(entailment, 6) AS entailment, round(neutral, 6) AS neutral, round(contradiction, 6) AS contradiction FROM p")
+def nli_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nli(spark, sf_dir).select("doc_id", "hypothesis", *[r6(c).alias(c) for c in ("entailment", "neutral", "contradiction")])
+
+
+@query(f"WITH {NLI_SQL} SELECT doc_id, hypothesis, round(entailment, 6) AS entailment FROM best")
+def nli_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.best_hypothesis(_nli(spark, sf_dir), "doc_id").withColumn("entailment", r6("entailment"))
+
+
+@query(f"WITH {NLI_SQL} SELECT hypothesis, count(*)::BIGINT AS n FROM best GROUP BY hypothesis")
+def nli_argmax_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.best_hypothesis(_nli(spark, sf_dir), "doc_id").groupBy("hypothesis").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {NLI_SQL} SELECT round(avg(CASE WHEN hypothesis = CASE WHEN contains(lower(text), 'that') THEN '{HYPOTHESES[0]}' WHEN contains(lower(text), 'que') THEN '{HYPOTHESES[1]}' ELSE '{HYPOTHESES[3]}' END
+ THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, count(*)::BIGINT AS n FROM best JOIN documents USING (doc_id)""")
+def nli_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    gold = docs.select("doc_id", F.coalesce(pairs.first_keyword(docs, [("that", HYPOTHESES[0]), ("que", HYPOTHESES[1])]), F.lit(HYPOTHESES[3])).alias("gold"))
+    both = pairs.best_hypothesis(_nli(spark, sf_dir), "doc_id").join(gold, "doc_id")
+    return both.agg(r6(F.avg((F.col("hypothesis") == F.col("gold")).cast("double"))).alias("accuracy"), F.count("*").alias("n"))
+
+
+# Spans
+
+SPANS_SQL = f"""w AS (SELECT doc_id, regexp_extract_all(text, '{WORD_SQL}') AS w FROM documents),
+s AS (SELECT doc_id, word, width FROM w, unnest(range(0, len(w))) t(word), unnest(range(0, 3)) x(width) WHERE word + width < len(w)),
+f AS (SELECT doc_id, word, width, label_pos, [{', '.join(f"'{x}'" for x in LABELS)}][label_pos + 1] AS label, 1 / (1 + exp(-(((doc_id + word * 7 + width * 13 + label_pos * 29) % 41) / 4.0::DOUBLE - 8.7))) AS score
+ FROM s, unnest(range(0, 3)) l(label_pos)), g AS (SELECT * FROM f WHERE score >= 0.7)"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of up to three words with a stand-in score of 0.7 or more."""
+    logit = lambda s, p: ((F.col("doc_id") + s["word"] * 7 + s["width"] * 13 + p * 29) % 41) / 4.0 - 8.7
+    return spans.label_spans(spans.enumerate_spans(table(spark, sf_dir, "documents"), "doc_id", 3), LABELS, logit, 0.7)
+
+
+@query(f"WITH {SPANS_SQL} SELECT doc_id, count(*)::BIGINT AS n_spans, sum(width)::BIGINT AS widths FROM s GROUP BY doc_id")
+def span_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = spans.enumerate_spans(table(spark, sf_dir, "documents"), "doc_id", 3)
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("width").cast("bigint").alias("widths"))
+
+
+@query(f"WITH {SPANS_SQL} SELECT doc_id, word::INTEGER AS word, width::INTEGER AS width, label, round(score, 6) AS score FROM g")
+def ner_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir).select("doc_id", "word", "width", "label", r6("score").alias("score"))
+
+
+@query(f"WITH {SPANS_SQL} SELECT label, count(*)::BIGINT AS n FROM g GROUP BY label")
+def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def _entities(spark: SparkSession, sf_dir: str, **rules: bool) -> DataFrame:
+    each = spans.greedy(_found(spark, sf_dir), "doc_id", **rules).select("doc_id", F.inline("entities"))
+    return each.select("doc_id", "start", "end", "text", "label", r6("score").alias("score"))
+
+
+@query()
+def ner_greedy_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir)
+
+
+@query()
+def ner_greedy_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir, flat=False, multi_label=True)
+
+
+BIO_SQL = f"""k AS (SELECT doc_id, i - 1 AS pos FROM documents, unnest(range(1, len(regexp_extract_all(text, '{WORD_SQL}')) + 1)) t(i)),
+l AS (SELECT doc_id, pos, [{', '.join(f'((pos * {7 * (j + 3)} + doc_id * 11 + {j * 5}) % 23) / 3.0::DOUBLE' for j in range(5))}] AS x FROM k),
+p AS (SELECT doc_id, pos, list_position(x, list_max(x)) AS best, 1 / list_sum(list_transform(x, lambda y: exp(y - list_max(x)))) AS prob FROM l),
+b AS (SELECT doc_id, pos, [{', '.join(f"'{x}'" for x in BIO)}][best] AS label, prob FROM p),
+c AS (SELECT *, CASE WHEN label = 'O' THEN NULL ELSE substring(label, 3) END AS cat FROM b),
+d AS (SELECT *, CASE WHEN cat IS NULL OR (label LIKE 'I-%' AND lag(cat) OVER (PARTITION BY doc_id ORDER BY pos) = cat) THEN 0 ELSE 1 END AS begins FROM c),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM d),
+o AS (SELECT doc_id, any_value(cat) AS label, min(pos)::INTEGER AS first_pos, max(pos)::INTEGER AS last_pos, min(prob) AS score FROM g WHERE cat IS NOT NULL GROUP BY doc_id, span)"""
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with the label and probability of its stand-in logits."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.words("text")).alias("pos", "word"))
+    logits = F.array(*[((F.col("pos") * (7 * (j + 3)) + F.col("doc_id") * 11 + j * 5) % 23) / 3.0 for j in range(5)])
+    each = words.select("doc_id", "pos", logits.alias("x")).withColumn("p", T.softmax(F.col("x")))
+    label = F.element_at(F.array(*[F.lit(x) for x in BIO]), T.first_argmax(F.col("x")) + 1)
+    return each.select("doc_id", "pos", label.alias("label"), F.array_max("p").alias("prob"))
+
+
+@query(f"WITH {BIO_SQL} SELECT doc_id, pos::INTEGER AS pos, label, round(prob, 6) AS prob FROM b")
+def bio_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).withColumn("prob", r6("prob"))
+
+
+@query(f"WITH {BIO_SQL} SELECT doc_id, label, first_pos, last_pos, round(score, 6) AS score FROM o")
+def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.bio_spans(_tagged(spark, sf_dir), "doc_id").select("doc_id", "label", "first_pos", "last_pos", r6("score").alias("score"))
+
+
+@query(f"WITH {BIO_SQL} SELECT doc_id, label, first_pos, last_pos, round(score, 6) AS score FROM o WHERE score >= 0.5")
+def pii_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.bio_spans(_tagged(spark, sf_dir), "doc_id", threshold=0.5).select("doc_id", "label", "first_pos", "last_pos", r6("score").alias("score"))
+
+
+@query("SELECT unnest(['EMAIL', 'PERSON']) AS category")
+def pii_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_labels(spark.createDataFrame([(x,) for x in BIO], "label string"))
+
+
+# Evaluation
+
+GOLD_SQL = f"""gold AS (SELECT d.doc_id, w[1] AS gold FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) d),
+pred AS (SELECT doc_id, w[2] AS pred FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN w[1] || ',' ELSE w[3] END FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
+nm AS (SELECT g.doc_id, g.gold, regexp_replace(lower(regexp_replace(gold, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '^[,.;:"''() ]+|[,.;:"''() ]+$', '', 'g') AS a,
+ regexp_replace(lower(regexp_replace(pred, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '^[,.;:"''() ]+|[,.;:"''() ]+$', '', 'g') AS b FROM gold g JOIN pred p USING (doc_id)),
+hit AS (SELECT DISTINCT doc_id FROM nm WHERE a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)))"""
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    w = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    at = lambda i: F.try_element_at("w", F.lit(i))
+    second = w.select("doc_id", at(2).alias("pred"))
+    return w.select("doc_id", at(1).alias("gold")), second.unionByName(w.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(at(1), F.lit(","))).otherwise(at(3)).alias("pred")))
+
+
+@query(f"WITH {GOLD_SQL} SELECT count(*)::BIGINT AS n_gold, count(hit.doc_id)::BIGINT AS n_hit, round(count(hit.doc_id)::DOUBLE / count(*), 6) AS recall FROM gold LEFT JOIN hit USING (doc_id)")
+def gold_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, pred = _gold(spark, sf_dir)
+    hits = evaluate.gold_hits(gold, pred, "doc_id")
+    both = gold.agg(F.count("*").alias("n_gold")).crossJoin(hits.agg(F.count("*").alias("n_hit")))
+    return both.withColumn("recall", r6(evaluate.ratio(F.col("n_hit"), F.col("n_gold"))))
+
+
+@query(f"WITH {GOLD_SQL} SELECT doc_id, gold FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM hit)")
+def gold_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.gold_missed(*_gold(spark, sf_dir), "doc_id")
+
+
+COUNTS_SQL = f"WITH {SPANS_SQL}, n AS (SELECT d.doc_id, count(g.doc_id) AS n FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id)"
+
+
+def _per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(COUNTS_SQL + " SELECT count(*)::BIGINT AS n, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, max(n)::DOUBLE AS max FROM n")
+def entities_per_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.order_statistics(_per_doc(spark, sf_dir), "n").select("n", r6("mean").alias("mean"), "median", "max")
+
+
+@query(COUNTS_SQL + """, r AS (SELECT n, row_number() OVER (ORDER BY n) AS k, count(*) OVER () AS t FROM n)
+SELECT round(max(n) FILTER (k = (t + 1) * 19 // 20) + (max(n) FILTER (k = (t + 1) * 19 // 20 + 1) - max(n) FILTER (k = (t + 1) * 19 // 20)) * (((t + 1) * 19 % 20) / 20.0::DOUBLE), 6)::DOUBLE AS p95 FROM r GROUP BY t""")
+def p95_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.order_statistics(_per_doc(spark, sf_dir), "n").select(r6("p95_exclusive").alias("p95"))
+
+
+@query(COUNTS_SQL + """, r AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS t FROM n)
+SELECT max(n) FILTER (k = t // 2)::DOUBLE AS p50, max(n) FILTER (k = least(t - 1, t * 19 // 20))::DOUBLE AS p95 FROM r""")
+def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.order_statistics(_per_doc(spark, sf_dir), "n").select("p50", "p95")
+
+
+@query(COUNTS_SQL + " SELECT doc_id FROM n WHERE n = 0")
+def zero_entity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(_found(spark, sf_dir), "doc_id", "left_anti")
+
+
+REGISTRY = [("embed", "small-static", "a" * 40), ("embed", "base-dense", "0123456789" * 4), ("rerank", "pair-base", "main"), ("nli", "nli-base", "f" * 40), ("ner", "ner-zero", "F" * 40)]
+EXCLUDED = [("embed", "big-dense", "licence"), ("pii", "pii-old", "size")]
+REGISTRY_SQL = "reg AS (SELECT * FROM (VALUES " + ", ".join(map(str, REGISTRY)) + ") t(family, model_id, revision)), exc AS (SELECT * FROM (VALUES " + ", ".join(map(str, EXCLUDED)) + ") t(family, model_id, reason))"
+
+
+def _registry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame(REGISTRY, "family string, model_id string, revision string"), spark.createDataFrame(EXCLUDED, "family string, model_id string, reason string")
+
+
+@query(f"""WITH {REGISTRY_SQL}, q AS (SELECT unnest(['small-static', 'big-dense', 'other']) AS model_id)
+SELECT model_id, CASE WHEN reason IS NOT NULL THEN 'excluded: ' || reason WHEN family IS NOT NULL THEN 'registered' ELSE 'unknown' END AS status FROM q LEFT JOIN (SELECT model_id, reason FROM exc) USING (model_id) LEFT JOIN reg USING (model_id)""")
+def registry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([("small-static",), ("big-dense",), ("other",)], "model_id string")
+    return evaluate.registry_gate(asked, *_registry(spark))
+
+
+@query(f"WITH {REGISTRY_SQL} SELECT family, model_id, 'registered' AS kind FROM reg UNION ALL SELECT family, model_id, 'excluded' FROM exc")
+def registry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, out = _registry(spark)
+    return known.select("family", "model_id", F.lit("registered").alias("kind")).unionByName(out.select("family", "model_id", F.lit("excluded").alias("kind"))).orderBy("family", "model_id")
+
+
+@query(f"WITH {REGISTRY_SQL} SELECT model_id, regexp_full_match(revision, '[0-9a-f]{{40}}') AS pinned FROM reg")
+def revision_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _registry(spark)[0].select("model_id", F.col("revision").rlike("^[0-9a-f]{40}$").alias("pinned"))
+
+
+@query()
+def stream_append_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.streaming import index_stream
+
+    return index_stream.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {"retrieve_topk": retrieve_topk}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"retrieve_topk": RETRIEVE_TOPK}
+    return dict(SQL)
