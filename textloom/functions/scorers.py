@@ -36,14 +36,14 @@ def embed_udf(load: Callable[[], Embedder]) -> Callable[[Column], Column]:
         model = load()
         for texts in batches:
             there = texts.notna()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            known: Iterator[np.ndarray] = iter(())
             if there.any():
                 x = np.asarray(model.embed(texts[there].tolist()), dtype=np.float64)
                 if len(x) != there.sum():
                     raise ValueError(f"the embedder gave {len(x)} rows for {there.sum()} texts")
                 length = np.linalg.norm(x, axis=1, keepdims=True)
-                out[there] = list(x / np.where(length == 0, 1, length))
-            yield out
+                known = iter(x / np.where(length == 0, 1, length))
+            yield pd.Series([next(known) if t else None for t in there], dtype=object)
 
     return embed
 
