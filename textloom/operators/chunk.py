@@ -33,7 +33,7 @@ def pack(units: DataFrame, parent: str, pos: str, max_tokens: int = 1024, drop_t
             yield pd.Series([_chunks(t, s, max_tokens, drop_threshold) for t, s in zip(sizes, sims, strict=True)])
 
     unit = F.struct(F.col(pos).alias("pos"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("tokens"), (F.col(sim) if sim else F.lit(None)).cast("double").alias("sim"))
-    whole = units.groupBy(parent).agg(F.array_sort(F.collect_list(unit)).alias("u"))
+    whole = units.groupBy(parent).agg(F.sort_array(F.collect_list(unit)).alias("u"))
     numbered = whole.select(parent, F.posexplode(F.arrays_zip(F.col("u"), cuts(F.col("u.tokens"), F.col("u.sim")).alias("chunk"))).alias("i", "z"))
     numbered = numbered.select(parent, "i", F.col("z.chunk").alias("chunk"), F.col("z.u.pos").alias("pos"), F.col("z.u.tokens").alias("tokens"))
     return numbered.groupBy(parent, "chunk").agg(

@@ -28,6 +28,6 @@ def group_concat(units: DataFrame, by: str, uri: str = "doc_uri", row: str = "ro
     key = lambda tail: F.concat(F.col(uri).cast("string"), F.lit("#"), tail)
     alone = numbered(units.filter(F.col(by).isNull()), [row], "__n").withColumn("group_uri", key(F.concat(F.lit("ungrouped-"), F.col("__n")))).drop("__n")
     named = units.filter(F.col(by).isNotNull()).withColumn("group_uri", key(F.col(by).cast("string")))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))))
     groups = named.unionByName(alone).groupBy("group_uri").agg(F.array_join(parts["text"], separator).alias("text"), F.min(row).alias("first_row"), F.count("*").alias("n_units"))
     return numbered(groups, ["first_row"], "doc_id")

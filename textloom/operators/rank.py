@@ -12,7 +12,7 @@ from textloom.operators.numbering import cut
 def centroids(rows: DataFrame, group: str, vec: str = "embedding") -> DataFrame:
     """``group``, ``centroid``: the normalised mean of the unit rows, averaged per dimension before the shuffle."""
     each = rows.select(group, F.posexplode(V.unit(vec)).alias("dim", "x")).groupBy(group, "dim").agg(F.avg("x").alias("x"))
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])
+    mean = F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])
     return each.groupBy(group).agg(mean.alias("centroid")).select(group, V.unit("centroid").alias("centroid"))
 
 

@@ -53,7 +53,7 @@ def greedy(found: DataFrame, key: str, flat: bool = True, dup_label: bool = Fals
             yield pd.Series([_walk(*(x.tolist() for x in c), flat, dup_label, multi_label) for c in zip(*columns, strict=True)])
 
     one = F.struct("start", "end", "word", "width", "label_pos", "label", "score", "text")
-    whole = found.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("c"))
+    whole = found.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("c"))
     kept = whole.withColumn("k", walk(F.col("c.start"), F.col("c.end"), F.col("c.label_pos"), F.col("c.score")))
     entity = lambda e: F.struct(*[e[x].alias(x) for x in ("start", "end", "text", "label", "score")])
     return kept.select(key, F.transform("k", lambda i: entity(F.get("c", i))).alias("entities"))
