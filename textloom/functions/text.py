@@ -61,22 +61,23 @@ def first_text(*columns: str) -> Column:
 def _spans(pattern: str, text: Column) -> Column:
     found = regex.compile(pattern)
 
-    @F.pandas_udf("struct<start:array<int>,end:array<int>,text:array<string>>")
+    @F.pandas_udf("struct<start:array<int>,end:array<int>,text:array<string>,after:array<string>>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 each = [] if t is None else list(found.finditer(t))
                 at = np.array([m.span() for m in each], dtype=np.int32).reshape(-1, 2)
-                rows.append((at[:, 0], at[:, 1], [m.group() for m in each]))
-            yield pd.DataFrame(rows, columns=["start", "end", "text"])
+                gaps = [t[a:b] for a, b in zip(at[:, 1].tolist(), [*at[1:, 0].tolist(), len(t)], strict=True)] if each else []
+                rows.append((at[:, 0], at[:, 1], [m.group() for m in each], gaps))
+            yield pd.DataFrame(rows, columns=["start", "end", "text", "after"])
 
     s = spans(text)
-    return F.when(text.isNotNull(), F.arrays_zip(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
+    return F.when(text.isNotNull(), F.arrays_zip(*[s[x].alias(x) for x in ("start", "end", "text", "after")]))
 
 
 def word_spans(text: Column | str) -> Column:
-    """Every word with its offsets, in one pass over the text."""
+    """Every word with its offsets and what stands ``after`` it, up to the next word, in one pass over the text."""
     return _spans(WORD.replace(r"\w", r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]"), _c(text))
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows that Python hands back at once, so that wide results of long texts stay small.
+ROWS_BACK = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +47,9 @@ def add_columns(df: DataFrame, inputs: list[str | Column], fields: list[tuple[st
     def computed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         step = make()
         for batch in batches:
-            yield step(*batch) if isinstance(batch, tuple) else step(batch)
+            inputs = batch if isinstance(batch, tuple) else (batch,)
+            for at in range(0, len(inputs[0]), ROWS_BACK):
+                yield step(*[x.iloc[at : at + ROWS_BACK] for x in inputs])
 
     columns = [F.col(c) if isinstance(c, str) else c for c in inputs]
     names = [n for n, _ in fields]

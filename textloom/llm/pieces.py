@@ -5,15 +5,17 @@ the earlier split on ties. A character that no piece starts with costs the lowes
 pieces (or the unknown piece, where the model has no bytes). Decoding joins pieces and bytes, turns markers into spaces
 and takes the first one off, so every text without U+2581 comes back as it was.
 
-If no piece has a marker behind another character, words are independent and each worker remembers those it has met;
-otherwise a text is one lattice. A null text has no ids and decodes to an empty text.
+If no piece has a marker behind another character, words are independent: the new words of some texts go through the
+lattice together, position by position, and each worker remembers them; otherwise a text is one lattice. A null text
+has no ids and decodes to an empty text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,9 @@ from pyspark.sql import DataFrame
 from textloom.llm.common import add_columns
 
 MARK = "▁"
-#: Words that a worker remembers, and the longest one it does.
-MEMORY, LONGEST = 200_000, 48
+#: Words that a worker remembers, and the longest one it does; characters that it looks at for new words at once, and
+#: words that go through the lattice together.
+MEMORY, LONGEST, LOOK, TOGETHER = 250_000, 48, 1 << 20, 1 << 14
 
 
 @dataclass
@@ -112,7 +115,12 @@ class Encoder:
         self.bytes = [i for i, k in enumerate(v.kinds) if k == "b"]
         self.is_byte = {i: n for n, i in enumerate(self.bytes)}
         self.penalty = min((v.scores[i] for i in text), default=0.0) - 10
-        self.word = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if not any(re.search(f"[^{MARK}]{MARK}", v.pieces[i]) for i in text) else None
+        self.arrays = trie.base, np.concatenate([trie.check, np.full(len(trie.codes) + 1, -1, dtype=np.int32)]), trie.value, np.array(v.scores)
+        # Words end before a marker, and at line feeds and tabs that no piece has.
+        alone = "".join(c for c in "\n\t\r" if c not in trie.codes)
+        plain = f"[^{MARK}{alone}]"
+        apart = not any(re.search(f"[^{MARK}]{MARK}", v.pieces[i]) for i in text)
+        self.word = re.compile(f"{MARK}+{plain}*|{plain}+" + (f"|[{alone}]" if alone else "")) if apart else None
         self.known: dict[str, tuple[int, ...]] = {}
 
     def viterbi(self, text: str) -> tuple[int, ...]:
@@ -150,27 +158,89 @@ class Encoder:
             at = i
         return tuple(reversed(out))
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of new ``words``, none longer than LONGEST: the lattices of many words, step by step."""
+        words.sort(key=len, reverse=True)
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            n, longest, get = np.array([len(w) for w in part]), len(part[0]), self.codes.get
+            codes = np.zeros((len(part), longest + 1), dtype=np.int32)
+            inside = np.arange(longest + 1) < n[:, None]
+            codes[inside] = [get(c, 0) for w in part for c in w]
+            best = np.full(codes.shape, -np.inf)
+            best[:, 0] = 0
+            start, piece = np.zeros(codes.shape, dtype=np.int32), np.full(codes.shape, -1, dtype=np.int32)
+            base, check, value, scores = self.arrays
+            for i in range(longest):
+                rows = np.arange(np.searchsorted(-n, -i, side="left"))  # the longer ones come first
+                state, single = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows), dtype=bool)
+                for j in range(i, longest):
+                    c = codes[rows, j]
+                    to = base[state] + c
+                    on = (c > 0) & (check[to] == state)
+                    rows, state = rows[on], to[on]
+                    if not len(rows):
+                        break
+                    found = value[state]
+                    ends = found >= 0
+                    r, p = rows[ends], found[ends]
+                    if j == i:
+                        single[r] = True
+                    total = best[r, i] + scores[p]
+                    more = total > best[r, j + 1]
+                    r = r[more]
+                    best[r, j + 1], start[r, j + 1], piece[r, j + 1] = total[more], i, p[more]
+                r = np.flatnonzero(~single)
+                r = r[best[r, i] + self.penalty > best[r, i + 1]]
+                best[r, i + 1], start[r, i + 1], piece[r, i + 1] = best[r, i] + self.penalty, i, -1
+            out, place, width = np.zeros((len(part), longest), dtype=np.int32), n.copy(), np.zeros(len(part), dtype=np.int64)
+            odd, rows = np.zeros(len(part), dtype=bool), np.arange(len(part))
+            while len(rows):
+                width[rows] += 1
+                p = piece[rows, place[rows]]
+                odd[rows] |= p < 0
+                out[rows, longest - width[rows]] = p
+                place[rows] = start[rows, place[rows]]
+                rows = rows[place[rows] > 0]
+            ids = out.tolist()
+            self.known.update({w: tuple(x[longest - k :]) for w, x, k in zip(part, ids, width.tolist(), strict=True)})
+            for k in np.flatnonzero(odd).tolist():
+                self.known[part[k]] = self.viterbi(part[k])
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each text, in order."""
         if self.word is None:
-            return list(self.viterbi(marked))
-        out, known = [], self.known
-        for word in self.word.findall(marked):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.viterbi(word)
-                if len(word) <= LONGEST:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[word] = ids
-            out.extend(ids)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        if self.is_byte.keys().isdisjoint(ids):
-            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")[1:]
+            yield from (list(self.viterbi(MARK + t.replace(" ", MARK))) if t else [] for t in texts)
+            return
+        held: list[list[str]] = []
+        size = 0
+        for k, t in enumerate(texts):
+            held.append(self.word.findall(MARK + t.replace(" ", MARK)) if t else [])
+            size += len(t or "")
+            if size < LOOK and k + 1 < len(texts):
+                continue
+            if len(self.known) > MEMORY:
+                self.known.clear()
+            known, new = self.known, set(chain.from_iterable(held))
+            new.difference_update(known)
+            lone = {w: self.viterbi(w) for w in new if len(w) > LONGEST}
+            self.learn([w for w in new if len(w) <= LONGEST])
+            for words in held:
+                if lone:
+                    yield list(chain.from_iterable([lone[w] if w in lone else known[w] for w in words]))
+                else:
+                    yield list(chain.from_iterable(map(known.__getitem__, words)))
+            held, size = [], 0
+
+    def encode(self, text: str | None) -> list[int]:
+        return next(self.encode_all([text]))
+
+    def decode(self, ids: list[int], spelt: bool | None = None) -> str:
+        """The text of ``ids``; ``spelt`` says, if known, whether byte pieces are among them."""
+        if spelt is None:
+            spelt = not self.is_byte.keys().isdisjoint(ids)
+        if not spelt:
+            return "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")[1:]
         data = b"".join(bytes([self.is_byte[i]]) if i in self.is_byte else self.pieces[i].replace(MARK, " ").encode("utf-8", "surrogatepass") for i in ids)
         return data.decode("utf-8", "replace")[1:]
 
@@ -188,7 +258,11 @@ def add_ids(docs: DataFrame, model_file: str, text: str = "text", out: str = "in
 
     def make() -> Callable[[pd.Series], pd.DataFrame]:
         encoder = load()
-        return lambda texts: pd.DataFrame({out: [None if t is None else np.array(encoder.encode(t), dtype=np.int32) for t in texts]})
+        def step(texts: pd.Series) -> pd.DataFrame:
+            ids = encoder.encode_all(texts.tolist())
+            return pd.DataFrame({out: [None if t is None else np.array(i, dtype=np.int32) for t, i in zip(texts, ids, strict=True)]})
+
+        return step
 
     return add_columns(docs, [text], [(out, "array<int>")], make)
 
@@ -213,13 +287,15 @@ def encode_table(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
 
     def make() -> Callable[[pd.Series], pd.DataFrame]:
         encoder = load()
+        spelling = np.zeros(len(encoder.pieces), dtype=bool)
+        spelling[encoder.bytes] = True
 
         def step(texts: pd.Series) -> pd.DataFrame:
             rows = []
-            for t in texts:
-                ids = encoder.encode(t)
-                n_bytes = sum(1 for i in ids if i in encoder.is_byte) if not encoder.is_byte.keys().isdisjoint(ids) else 0
-                rows.append((None if t is None else np.array(ids, dtype=np.int32), len(ids), n_bytes, encoder.decode(ids) == (t or "").replace(MARK, " ")))
+            for t, ids in zip(texts, encoder.encode_all(texts.tolist()), strict=True):
+                array = np.array(ids, dtype=np.int32)
+                n_bytes = int(spelling[array].sum())
+                rows.append((None if t is None else array, len(ids), n_bytes, encoder.decode(ids, n_bytes > 0) == (t or "").replace(MARK, " ")))
             return pd.DataFrame(rows, columns=["input_ids", "n_tokens", "n_bytes", "round_trip"])
 
         return step

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 def word_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key``, ``pos``, ``start``, ``end``, ``text`` of every word."""
+    """``key``, ``pos``, ``start``, ``end``, ``text``, ``after`` of every word."""
     return docs.select(key, F.posexplode(T.word_spans(text)).alias("pos", "w")).select(key, "pos", "w.*")
 
 
@@ -22,12 +22,15 @@ def enumerate_spans(docs: DataFrame, key: str, max_width: int = 12, text: str =
     """
     if max_width < 1:
         raise ValueError("max_width is 1 at least")
-    words = docs.select(key, F.col(text).alias("__text"), T.word_spans(text).alias("w")).filter(F.size("w") > 0)
+    words = docs.select(key, T.word_spans(text).alias("w")).filter(F.size("w") > 0)
     starts = words.withColumn("word", F.explode(F.sequence(F.lit(0), F.size("w") - 1)))
     widths = F.explode(F.sequence(F.lit(0), F.least(F.lit(max_width), F.size("w") - F.col("word")) - 1))
     start, end = F.element_at("w", F.col("word") + 1)["start"], F.element_at("w", F.col("word") + F.col("width") + 1)["end"]
-    out = starts.withColumn("width", widths).withColumn("start", start).withColumn("end", end)
-    return out.select(key, "word", "width", "start", "end", F.substring("__text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+    # Joined from the words: cutting each span out of the whole text would read the text once per span.
+    before = F.transform(F.slice("w", F.col("word") + 1, F.col("width")), lambda x: F.concat(x["text"], x["after"]))
+    whole = F.concat(F.array_join(before, ""), F.element_at("w", F.col("word") + F.col("width") + 1)["text"])
+    out = starts.withColumn("width", widths)
+    return out.select(key, "word", "width", start.alias("start"), end.alias("end"), whole.alias("text"))
 
 
 def label_spans(spans: DataFrame, labels: list[str], logit: Callable[[Column, Column], Column], threshold: float = 0.5) -> DataFrame:
