@@ -172,6 +172,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     linked = fingerprint_components(narrow, "fp", max_distance)
     least = narrow.groupBy("fp").agg(F.min("key").alias("key")).join(linked, "fp", "left")
     chosen = cut(least.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("key").alias("key")).select("key.late", "key.id", "key.h"))
-    held = docs.withColumn(spare, key).join(chosen, F.col(f"{spare}.h") == chosen["h"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The id too, since hashes of billions of rows collide.
+    same = (F.col(f"{spare}.h") == chosen["h"]) & F.col(f"{spare}.id").eqNullSafe(chosen["id"])
+    held = docs.withColumn(spare, key).join(chosen, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = narrow.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     return held if repeated.isEmpty() else held.dropDuplicates()
