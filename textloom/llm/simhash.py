@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import add_columns, cut
 from textloom.llm.components import connected_components
+from textloom.llm.jaccard import keep_one as keep_one
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -158,22 +159,3 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     named = cut(least.join(roots, "root").select("fp", "component_id"))
     out = prints.join(named, "fp")
     return out.select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """One row of each component of near-duplicates, with the columns of ``docs``: that of the smallest id.
-
-    Of several rows with the smallest id, the one with the smallest hash stays, once; rows without ids come last.
-    """
-    spare = "__print"
-    prints = add_fingerprint(docs, text, words, spare)
-    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("late"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
-    narrow = cut(prints.select(F.col(spare).alias("fp"), key.alias("key")))
-    linked = fingerprint_components(narrow, "fp", max_distance)
-    least = narrow.groupBy("fp").agg(F.min("key").alias("key")).join(linked, "fp", "left")
-    chosen = cut(least.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("key").alias("key")).select("key.late", "key.id", "key.h"))
-    # The id too, since hashes of billions of rows collide.
-    same = (F.col(f"{spare}.h") == chosen["h"]) & F.col(f"{spare}.id").eqNullSafe(chosen["id"])
-    held = docs.withColumn(spare, key).join(chosen, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = narrow.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return held if repeated.isEmpty() else held.dropDuplicates()
