@@ -61,3 +61,38 @@ def test_tables(spark):
     hit = ("mit-notice", 1.0, line[:-1])
     assert sorted(got) == [(1, []), (2, []), (3, [hit]), (3, [hit, hit]), (4, []), (5, [hit])]
     assert L.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_insertions_of_any_length():
+    scanner = L.Scanner(L.TEMPLATES, 0.8)
+    html = 'Released under the <a href="https://opensource.org/licenses/MIT">MIT License</a>'
+    assert [(m[0], m[1], html[m[2] : m[3]]) for m in scanner.scan(html)] == [("mit-notice", 1.0, html[:-4])]
+    inside = "Released " + "x " * 50 + "All rights reserved. under the " + "y " * 3000 + "MIT License"
+    assert sorted(m[:2] for m in scanner.scan(inside)) == [("mit-notice", 1.0), ("rights-reserved", 1.0)]
+    rng = random.Random(6)
+    for _ in range(60):
+        name = rng.choice(sorted(L.TEMPLATES))
+        words = L.WORD.findall(L.TEMPLATES[name].lower())
+        for at in sorted(rng.sample(range(1, len(words)), min(len(words) - 1, rng.randint(1, 4))), reverse=True):
+            words[at:at] = rng.choices(["zzz", "the", "of", "software"], k=rng.choice([5, 39, 400]))
+        found = [m for m in scanner.scan(" ".join(words)) if m[0] == name]
+        assert len(found) == 1 and found[0][1] >= 0.8
+
+
+def test_matches_where_whole_text_alignment_has_the_coverage():
+    rng = random.Random(7)
+    templates = {"a": "p q r s t", "b": "q q s p r t u p q s"}
+    scanner = L.Scanner(templates, 0.8)
+    yes = 0
+    for _ in range(400):
+        words = rng.choices("pqrstuxyz", k=rng.randint(3, 30))
+        got = scanner.scan(" ".join(words))
+        for name, text in templates.items():
+            template = text.split()
+            enough = lcs(words, template) >= 0.8 * len(template)
+            yes += enough
+            # A template loses its words to another one only.
+            if enough and not any(m[0] != name for m in got):
+                assert any(m[0] == name for m in got)
+            assert enough or not any(m[0] == name for m in got)
+    assert yes > 100

@@ -5,10 +5,14 @@ on words that occur once in both, takes the longest increasing subsequence of th
 them the same way. Its coverage is the share of template words it matches.
 
 A match with coverage ``c`` of ``m`` template words misses at the most (1 - c) m of them, so it holds one of any
-(1 - c) m + 1 template words. The rarest of those in the document seed the windows that are aligned, so no match is
-lost and every occurrence is found, however often a license is repeated in a text. Templates of which too few words
-occur anywhere in the text are not tried. Of matches that overlap, the one that matches most words stays; ties go to
-the higher coverage, the earlier start and the first template name.
+(1 - c) m + 1 template words. The rarest of those in the document seed the windows that are aligned, so close
+occurrences are found however often a license is repeated in a text. Of such matches that overlap, the one that matches
+most words stays; ties go to the higher coverage, the earlier start and the first template name.
+
+What is left of the text is then searched for templates whose words stand in order with insertions of any length: by
+the longest common subsequence, the shortest spans that reach the coverage, until none is left. Such a match shares no
+word with another, but its span may enclose others. Templates of which too few words occur anywhere in the text are not
+tried.
 
 Null and wordless texts have no match.
 """
@@ -18,7 +22,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -89,11 +94,11 @@ def align(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> lis
     return head + middle + tail[::-1]
 
 
-def trimmed(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """``pairs`` without up to ``STRAY`` at either end that stand apart in the text but not in the template."""
+def trimmed(pairs: list[tuple[int, int]], need: int) -> list[tuple[int, int]]:
+    """``pairs``, ``need`` at least, without up to ``STRAY`` at either end that stand apart in the text but not in the template."""
     for _ in range(2):
         pairs = [(-i, -j) for i, j in reversed(pairs)]
-        for k in range(min(STRAY, len(pairs) - 1), 0, -1):
+        for k in range(min(STRAY, len(pairs) - max(need, 1)), 0, -1):
             (i, j), (x, y) = pairs[k - 1], pairs[k]
             if (x - i) - (y - j) > STRAY:
                 pairs = pairs[k:]
@@ -101,6 +106,44 @@ def trimmed(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return pairs
 
 
+def longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Matched positions of a longest common subsequence."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        row, up = [0], rows[-1]
+        for j, y in enumerate(b):
+            row.append(up[j] + 1 if x == y else max(up[j + 1], row[j]))
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        elif rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def reach(words: Iterable[str], template: list[str], need: int) -> int:
+    """How many of ``words`` hold ``need`` words of ``template`` in order, the fewest; -1 if all of them do not."""
+    masks: dict[str, int] = defaultdict(int)
+    for j, w in enumerate(template):
+        masks[w] |= 1 << j
+    # Clear bits are the steps of the last row of the common subsequence table.
+    full = (1 << len(template)) - 1
+    row, found = full, 0
+    for n, w in enumerate(words, 1):
+        hit = row & masks[w]
+        row = ((row + hit) | (row - hit)) & full
+        if hit:
+            found = len(template) - row.bit_count()
+            if found >= need:
+                return n
+    return -1
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float) -> None:
         self.coverage = coverage
@@ -122,13 +165,18 @@ class Scanner:
         for m in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[4])):
             if all(m[3] <= k[2] or m[2] >= k[3] for k in kept):
                 kept.append(m)
+        free = [True] * len(words)
+        for m in kept:
+            free[m[2] : m[3]] = [False] * (m[3] - m[2])
+        for n, t in sorted(near.items(), key=lambda x: (-len(x[1]), x[0])):
+            kept += self.scattered(n, t, words, places, free)
         # Lower-casing may change a text's length, so spans come from the text itself where it does.
         at = [m.span() for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)] if kept else []
         end = len(at) - 1
-        return [(m[4], m[1], at[min(m[2], end)][0], at[min(m[3] - 1, end)][1]) for m in sorted(kept, key=lambda m: m[2])]
+        return [(m[4], m[1], at[min(m[2], end)][0], at[min(m[3] - 1, end)][1]) for m in sorted(kept, key=lambda m: (m[2], m[3], m[4]))]
 
     def matches(self, name: str, template: list[str], words: list[str], places: dict[str, list[int]]) -> set[tuple[int, float, int, int, str]]:
-        m = len(template)
+        m, need = len(template), self.need(template)
         slack = max(4, m // 4)
         seeds = sorted(range(m), key=lambda j: (len(places[template[j]]), j))[: int((1 - self.coverage) * m + 1e-9) + 1]
         out = set()
@@ -136,12 +184,35 @@ class Scanner:
             for p in places[template[j]]:
                 left = align(words, template, max(0, p - j - slack), p, 0, j)
                 right = align(words, template, p + 1, min(len(words), p + m - j + slack), j + 1, m)
-                pairs = trimmed([*left, (p, j), *right])
+                pairs = trimmed([*left, (p, j), *right], need)
                 n = len(pairs)
-                if n >= self.coverage * m - 1e-9:
+                if n >= need:
                     out.add((n, n / m, pairs[0][0], pairs[-1][0] + 1, name))
         return out
 
+    def need(self, template: list[str]) -> int:
+        return ceil(self.coverage * len(template) - 1e-9)
+
+    def scattered(self, name: str, template: list[str], words: list[str], places: dict[str, list[int]], free: list[bool]) -> list[tuple[int, float, int, int, str]]:
+        """Matches with any insertions in the ``free`` words, which they take, in order of their ends; the shortest spans first."""
+        m, need, out = len(template), self.need(template), []
+        slack = max(4, m // 4)
+        while True:
+            at = [i for i in sorted(i for w in set(template) for i in places[w]) if free[i]]
+            begin, taken = 0, False
+            while (n := reach((words[i] for i in at[begin:]), template, need)) > 0:
+                end = begin + n
+                back = reach((words[i] for i in reversed(at[begin:end])), template[::-1], need)
+                first, last = at[end - back] - slack, at[end - 1] + slack
+                near = at[bisect_left(at, first, begin) : bisect_left(at, last + 1)]
+                pairs = [(near[i], j) for i, j in longest([words[i] for i in near], template)]
+                for i, _ in pairs:
+                    free[i] = False
+                out.append((len(pairs), len(pairs) / m, pairs[0][0], pairs[-1][0] + 1, name))
+                begin, taken = max(end, bisect_left(at, pairs[-1][0] + 1)), True
+            if not taken:
+                return out
+
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` with ``license_matches`` (license, coverage, start, end), which replaces a column of that name."""
