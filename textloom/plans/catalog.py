@@ -6,6 +6,7 @@ can be checked. Floats are rounded to six places.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -387,41 +388,45 @@ f AS (SELECT doc_id, word, width, label_pos, [{', '.join(f"'{x}'" for x in LABEL
  FROM s, unnest(range(0, 3)) l(label_pos)), g AS (SELECT * FROM f WHERE score >= 0.7)"""
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of up to three words with a stand-in score of 0.7 or more."""
+#: Longest span in words and least score of the named queries, and of their ``_w12`` forms: the reference's defaults.
+NARROW, WIDE = (3, 0.7), (12, 0.5)
+
+
+def _found(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    """Spans of up to so many words with a stand-in score of so much or more."""
     logit = lambda s, p: ((F.col("doc_id") + s["word"] * 7 + s["width"] * 13 + p * 29) % 41) / 4.0 - 8.7
-    return spans.label_spans(spans.enumerate_spans(table(spark, sf_dir, "documents"), "doc_id", 3), LABELS, logit, 0.7)
+    return spans.label_spans(spans.enumerate_spans(table(spark, sf_dir, "documents"), "doc_id", bounds[0]), LABELS, logit, bounds[1])
 
 
 @query(f"WITH {SPANS_SQL} SELECT doc_id, count(*)::BIGINT AS n_spans, sum(width)::BIGINT AS widths FROM s GROUP BY doc_id")
-def span_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = spans.enumerate_spans(table(spark, sf_dir, "documents"), "doc_id", 3)
+def span_enumerate(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    each = spans.enumerate_spans(table(spark, sf_dir, "documents"), "doc_id", bounds[0])
     return each.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("width").cast("bigint").alias("widths"))
 
 
 @query(f"WITH {SPANS_SQL} SELECT doc_id, word::INTEGER AS word, width::INTEGER AS width, label, round(score, 6) AS score FROM g")
-def ner_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).select("doc_id", "word", "width", "label", r6("score").alias("score"))
+def ner_threshold(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    return _found(spark, sf_dir, bounds).select("doc_id", "word", "width", "label", r6("score").alias("score"))
 
 
 @query(f"WITH {SPANS_SQL} SELECT label, count(*)::BIGINT AS n FROM g GROUP BY label")
-def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+def label_distribution(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    return _found(spark, sf_dir, bounds).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def _entities(spark: SparkSession, sf_dir: str, **rules: bool) -> DataFrame:
-    each = spans.greedy(_found(spark, sf_dir), "doc_id", **rules).select("doc_id", F.inline("entities"))
+def _entities(spark: SparkSession, sf_dir: str, bounds: tuple[int, float], **rules: bool) -> DataFrame:
+    each = spans.greedy(_found(spark, sf_dir, bounds), "doc_id", **rules).select("doc_id", F.inline("entities"))
     return each.select("doc_id", "start", "end", "text", "label", r6("score").alias("score"))
 
 
 @query()
-def ner_greedy_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entities(spark, sf_dir)
+def ner_greedy_flat(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    return _entities(spark, sf_dir, bounds)
 
 
 @query()
-def ner_greedy_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entities(spark, sf_dir, flat=False, multi_label=True)
+def ner_greedy_multi(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    return _entities(spark, sf_dir, bounds, flat=False, multi_label=True)
 
 
 BIO_SQL = f"""k AS (SELECT doc_id, i - 1 AS pos FROM documents, unnest(range(1, len(regexp_extract_all(text, '{WORD_SQL}')) + 1)) t(i)),
@@ -495,31 +500,41 @@ def gold_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTS_SQL = f"WITH {SPANS_SQL}, n AS (SELECT d.doc_id, count(g.doc_id) AS n FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id)"
 
 
-def _per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
+def _per_doc(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    counts = _found(spark, sf_dir, bounds).groupBy("doc_id").agg(F.count("*").alias("n"))
     return table(spark, sf_dir, "documents").select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(COUNTS_SQL + " SELECT count(*)::BIGINT AS n, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, max(n)::DOUBLE AS max FROM n")
-def entities_per_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.order_statistics(_per_doc(spark, sf_dir), "n").select("n", r6("mean").alias("mean"), "median", "max")
+def entities_per_doc_stats(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    return evaluate.order_statistics(_per_doc(spark, sf_dir, bounds), "n").select("n", r6("mean").alias("mean"), "median", "max")
 
 
 @query(COUNTS_SQL + """, r AS (SELECT n, row_number() OVER (ORDER BY n) AS k, count(*) OVER () AS t FROM n)
 SELECT round(max(n) FILTER (k = (t + 1) * 19 // 20) + (max(n) FILTER (k = (t + 1) * 19 // 20 + 1) - max(n) FILTER (k = (t + 1) * 19 // 20)) * (((t + 1) * 19 % 20) / 20.0::DOUBLE), 6)::DOUBLE AS p95 FROM r GROUP BY t""")
-def p95_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.order_statistics(_per_doc(spark, sf_dir), "n").select(r6("p95_exclusive").alias("p95"))
+def p95_exclusive(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    return evaluate.order_statistics(_per_doc(spark, sf_dir, bounds), "n").select(r6("p95_exclusive").alias("p95"))
 
 
 @query(COUNTS_SQL + """, r AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS t FROM n)
 SELECT max(n) FILTER (k = t // 2)::DOUBLE AS p50, max(n) FILTER (k = least(t - 1, t * 19 // 20))::DOUBLE AS p95 FROM r""")
-def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.order_statistics(_per_doc(spark, sf_dir), "n").select("p50", "p95")
+def p95_nearest_rank(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    return evaluate.order_statistics(_per_doc(spark, sf_dir, bounds), "n").select("p50", "p95")
 
 
 @query(COUNTS_SQL + " SELECT doc_id FROM n WHERE n = 0")
-def zero_entity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(_found(spark, sf_dir), "doc_id", "left_anti")
+def zero_entity_docs(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(_found(spark, sf_dir, bounds), "doc_id", "left_anti")
+
+
+WIDE_SQL = SPANS_SQL.replace("range(0, 3)) x(width)", f"range(0, {WIDE[0]})) x(width)").replace("score >= 0.7", f"score >= {WIDE[1]}")
+for _narrow in (
+    span_enumerate, ner_threshold, label_distribution, ner_greedy_flat, ner_greedy_multi, entities_per_doc_stats, p95_exclusive, p95_nearest_rank,
+    zero_entity_docs,
+):
+    QUERIES[f"{_narrow.__name__}_w{WIDE[0]}"] = functools.partial(_narrow, bounds=WIDE)
+    if _narrow.__name__ in SQL:
+        SQL[f"{_narrow.__name__}_w{WIDE[0]}"] = SQL[_narrow.__name__].replace(SPANS_SQL, WIDE_SQL)
 
 
 REGISTRY = [("embed", "small-static", "a" * 40), ("embed", "base-dense", "0123456789" * 4), ("rerank", "pair-base", "main"), ("nli", "nli-base", "f" * 40), ("ner", "ner-zero", "F" * 40)]
