@@ -56,3 +56,25 @@ def test_repeated_ids_and_no_rows(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(df).collect())
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_of_borderline_pairs_at_the_production_parameters(spark):
+    """Of 2000 planted pairs at cosine 0.90 to 0.92, links and kept rows equal brute force for all but the stated share."""
+    rng = np.random.default_rng(11)
+    rows, cosines = [], rng.uniform(0.9005, 0.92, 2000)
+    for c in cosines:
+        u, w = rng.standard_normal((2, 64))
+        u /= np.linalg.norm(u)
+        w -= (w @ u) * u
+        rows += [u, c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w)]
+    x = np.array(rows, dtype=np.float32)
+    links, root = brute(x)
+    assert links.tolist() == [1] * len(x) and (root == np.arange(len(x)) // 2 * 2).all()
+    df = spark.createDataFrame([(i, v.tolist(), "", None) for i, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: r for r in E.near_duplicates(df).collect()}
+    found = [i for i in range(0, len(x), 2) if got[i].n_links == 1]
+    print("recall", len(found) / 2000)
+    for i in range(0, len(x), 2):
+        hit = got[i].n_links == 1
+        assert (got[i + 1].n_links, got[i + 1].component_id, got[i + 1].kept) == ((1, i, False) if hit else (0, i + 1, True))
+    assert len(found) / 2000 >= 0.97
