@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in ``spark.checkpoint.dir``; a local session without one gets its own folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: ``spark.checkpoint.dir``; a local session without that setting gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local["):
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="textloom-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` read back from a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table into the shared folder and read back, so columns can be read one by one."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def numbered(df: DataFrame, order: list[str], out: str = "n") -> DataFrame:
     """``df`` with ``out`` counting rows from 0 in ``order``: range partitions, their sizes, and places within each."""
     spread = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.functions import text as T
-from textloom.operators.numbering import cut
+from textloom.operators.numbering import shared_folder
 
 
 def scored(stream: DataFrame, text: str = "text") -> DataFrame:
@@ -26,7 +26,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream, appended to an index in the shared checkpoint folder; the index read back."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*")
-    cut(spark.range(1))  # makes sure that there is a shared folder
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid4()}"
+    base = f"{shared_folder(spark)}/stream-{uuid4()}"
     append_to(stream.select("doc_id", "text"), f"{base}/index", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/index").select("doc_id", F.col("n_tokens"), "snippet")
