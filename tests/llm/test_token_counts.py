@@ -1,4 +1,6 @@
+import functools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -9,10 +11,16 @@ from textloom.llm import token_counts as T
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def brute(text, sections, rule):
-    """By the offsets of another library."""
+@functools.cache
+def other_library():
     t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     t.encode_special_tokens = True
+    return t
+
+
+def brute(text, sections, rule):
+    """By the offsets of another library."""
+    t = other_library()
     spans = t.encode(text, add_special_tokens=False).offsets if text else []
     owner = [next((k for k, (a, b) in enumerate(sections) if a <= i < b), -1) for i in range(len(text))]
     counts, crossing = Counter(), 0
@@ -55,3 +63,19 @@ def test_lines_nulls_long_texts_and_no_rows(spark):
     assert T.count_tokens(df.limit(0), RANKS).count() == 0
     with pytest.raises(ValueError):
         T.count_tokens(df, RANKS, rule="last")
+
+
+def test_long_runs_of_any_character(spark, monkeypatch):
+    tokenizer = T.Tokenizer(T.read_ranks(RANKS))
+    with monkeypatch.context() as m:
+        m.setattr(T, "LONG_BLANK", re.compile(T.LONG_BLANK.pattern.replace("10000", "3")))
+        rng = random.Random(2)
+        for _ in range(400):
+            text = "".join(rng.choice(["a", "b1", ".", " ", "\n", "\t", "\u3000"]) * rng.choice([1, 1, 2, 3, 9]) for _ in range(rng.randint(0, 14)))
+            assert tokenizer.encode(text) == tokenizer.encoding.encode_ordinary(text)
+    for c in " \t\na^\u3000":
+        for text in (c * 20000, f"x{c * 20000}y"):
+            assert tokenizer.encode(text) == tokenizer.encoding.encode_ordinary(text)
+    texts = [f"{c * 1_000_000}x" for c in " \t\na^\u3000"] + [" " * 1_000_000]
+    rows = T.count_tokens(spark.createDataFrame([(t,) for t in texts], "text string"), RANKS).select("n_tokens", "section_tokens", "text").collect()
+    assert len(rows) == len(texts) and all(r.n_tokens == sum(r.section_tokens) > 1000 for r in rows)

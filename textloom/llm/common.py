@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.operators.numbering import cut as cut
+
 
 #: Rows that Python hands back at once, so that wide results of long texts stay small.
 ROWS_BACK = 500
@@ -19,20 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` read back from a checkpoint in the cluster's shared folder (``spark.checkpoint.dir``).
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    Only a local session without that setting gets a folder of its own; on a cluster it has to be set.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-            shared = tempfile.mkdtemp(prefix="textloom-checkpoints-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+
+def sample_below(limit: int, n: int) -> int:
+    """The signed 64-bit number below which a uniform hash of about ``limit`` of ``n`` rows lies, whatever ``n``; all rows if ``n <= limit``."""
+    return min((limit << 64) // max(1, n), (1 << 64) - 1) - (1 << 63)
 
 
 def add_columns(df: DataFrame, inputs: list[str | Column], fields: list[tuple[str, str]], make: Callable[[], Callable[..., pd.DataFrame]]) -> DataFrame:
@@ -53,7 +51,7 @@ def add_columns(df: DataFrame, inputs: list[str | Column], fields: list[tuple[st
 
     columns = [F.col(c) if isinstance(c, str) else c for c in inputs]
     names = [n for n, _ in fields]
-    held = "__computed"
+    held = free_name(df, "__computed")
     rest = [c for c in df.columns if c not in names]
     out = df.withColumn(held, computed(*columns))
     return out.select(*[F.col(f"`{c}`") for c in rest], *[F.col(held)[n].alias(n) for n in names])

@@ -17,6 +17,7 @@ sections overlap, the one that comes first in the list has the characters. A nul
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -29,6 +30,8 @@ from textloom.llm.common import add_columns
 
 #: Fixed value: the public split pattern that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as that pattern has it, in runs that are cut out of a text before the pattern sees it.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 RULES = ("first", "most", "share")
 FIELDS = [("n_tokens", "bigint"), ("n_crossing", "bigint"), ("outside", "double"), ("section_tokens", "array<double>")]
 
@@ -40,9 +43,23 @@ class Tokenizer:
         for token, i in ranks.items():
             self.sizes[i] = len(token)
 
+    def encode(self, text: str) -> list[int]:
+        """The ids of ``text``. The pattern backtracks through a run of white space, so long runs go past it.
+
+        A run is one piece up to its last character, which begins the next piece unless the text ends there; so the
+        ids are those of the whole text.
+        """
+        ids, at = [], 0
+        for m in LONG_BLANK.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids += self.encoding.encode_ordinary(text[at : m.start()])
+            ids += self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return ids + self.encoding.encode_ordinary(text[at:]) if at else self.encoding.encode_ordinary(text)
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Start and end of every token in code points, and the number of code points."""
-        ids = self.encoding.encode_ordinary(text)
+        ids = self.encode(text)
         ends = np.cumsum(self.sizes[ids])
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
         if len(data) == len(text):
