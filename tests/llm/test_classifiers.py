@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from textloom.llm import language, quality
+from textloom.llm.common import sample_below
 
 TABLES = "doc_id long, text string, lang string, score string"
 
@@ -84,3 +85,82 @@ def test_feature_kernel_is_gaussian():
     x = rng.standard_normal((2, 4))
     z = m.features(x)[:, :-1]
     assert z[0] @ z[1] == pytest.approx(np.exp(-((x[0] - x[1]) ** 2).sum() / 2), abs=0.03)
+
+
+def test_samples_of_any_size():
+    for limit, n in ((3000, 0), (3000, 10), (3000, 3001), (3000, 10**6), (3000, 10**11), (20_000, 10**14)):
+        rate = (sample_below(limit, n) + 2**63 + 1) / 2**64
+        assert rate * max(n, 1) == pytest.approx(min(limit, max(n, 1)), rel=1e-3)
+        assert -(2**63) <= sample_below(limit, n) < 2**63
+
+
+def test_what_a_letter_is():
+    assert [language.trigrams(t) is None for t in (None, "", "12 _ !", "½ ²", "Ⅷ ①", "\u0301", "a", "½é", "字", "x²")] == [True] * 6 + [False] * 4
+    assert (language.trigrams("a½b²") == language.trigrams("a b")).all()
+
+
+def test_three_hundred_languages(spark):
+    rng = random.Random(5)
+    docs, truth = [], {}
+    for k in range(300):
+        stems = ["".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(2)) for _ in range(6)]
+        for _ in range(6):
+            i = len(docs)
+            docs.append((i, " ".join(rng.choices(stems, k=12)), f"l{k:03d}", None))
+            truth[i] = f"l{k:03d}"
+    rows = language.identify(spark.createDataFrame(docs, TABLES)).collect()
+    assert len({r.lang_pred for r in rows}) > 290
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows if not r.held_out]) > 0.98
+
+
+def test_decoding_like_a_plain_one(spark):
+    """Weights from all rows at once, and the codeword of the least weighted loss by loops."""
+    docs, _ = corpus(300)
+    df = spark.createDataFrame(docs, TABLES)
+    model = language.fit(df)
+    sums = {}
+    for i, text, lang, _ in docs:
+        if lang and not out(i):
+            c = language.trigrams(text)
+            sums[lang] = sums.get(lang, 0) + c / np.sqrt(c.sum())
+    names = sorted(sums)
+    share = np.array([(sums[x] + 0.01) / (sums[x] + 0.01).sum() for x in names])
+    code = language.codewords(len(names))
+    weights = np.array([[np.log(share[code[:, b] > 0, k].mean() / share[code[:, b] < 0, k].mean()) for b in range(code.shape[1])] for k in range(0, language.BUCKETS, 16)])
+    assert model.languages == names and np.allclose(model.weights[::16], weights)
+    gap = [np.mean([code[m, b] * (share[m] @ model.weights[:, b]) for m in range(len(names))]) for b in range(code.shape[1])]
+    assert np.allclose(model.reliability, np.array(gap) / np.mean(gap))
+    for _, text, _, _ in docs[:60]:
+        c = language.trigrams(text)
+        losses = []
+        for m in range(len(names)):
+            margin = [sum(c[k] * model.weights[k, b] for k in np.flatnonzero(c)) / c.sum() ** 0.5 for b in range(code.shape[1])]
+            losses.append(sum(r * np.log1p(np.exp(-code[m, b] * margin[b])) for b, r in enumerate(model.reliability)))
+        lang, score, ambiguous = model.predict(text)
+        assert lang == names[int(np.argmin(losses))] and score == pytest.approx(1 / sum(np.exp(min(losses) - x) for x in losses))
+        assert ambiguous == (sorted(losses)[1] - min(losses) < language.AMBIGUOUS)
+
+
+def test_scores_like_one_plain_fit(spark):
+    """The kernel ridge scores from all learnable rows in one matrix, calibrated by the max-min formula."""
+    docs, labels = corpus(400)
+    rng = random.Random(8)
+    labels = [(i, q if rng.random() < 0.85 else 1 - q) for i, q, _ in labels]
+    df, lab = spark.createDataFrame(docs, TABLES), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.classify(df, lab).collect()}
+    model = quality.fit(df, lab)
+    known = [i for i, _ in labels if not out(i)]
+    apart = {r.id for r in spark.createDataFrame([(i,) for i in known], "id long").selectExpr("id", "pmod(xxhash64(id, 2), 4) = 0 AS apart").collect() if r.apart}
+    stats = {i: quality.statistics(t) for i, t, _, _ in docs}
+    x = np.array([stats[i] for i in known])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale**2, np.maximum(x.var(axis=0), 1e-9), atol=1e-7)
+    fitted, y = [i for i in known if i not in apart], dict(labels)
+    z = np.hstack([np.sqrt(2 / 256) * np.cos(np.clip((np.array([stats[i] for i in fitted]) - model.mean) / model.scale, -6, 6) @ model.weights + model.phases), np.ones((len(fitted), 1))])
+    beta = np.linalg.solve(z.T @ z + quality.RIDGE * len(z) * np.eye(257), z.T @ np.array([y[i] for i in fitted]))
+    assert np.allclose(model.raw(x), model.features(x) @ beta, atol=1e-5)
+    at = np.clip(np.searchsorted(np.linspace(-0.5, 1.5, 513), model.raw(np.array([stats[i] for i in sorted(apart)]))) - 1, 0, 511)
+    bins = sorted(set(at.tolist()))
+    ys, ns = [[float(sum(v[at == b])) for b in bins] for v in (np.array([y[i] for i in sorted(apart)]), np.ones(len(at)))]
+    level = [max(min(sum(ys[a : b + 1]) / sum(ns[a : b + 1]) for b in range(k, len(bins))) for a in range(k + 1)) for k in range(len(bins))]
+    assert len(set(np.round(level, 9))) == len(model.curve[1]) and np.allclose(sorted(set(np.round(level, 9))), model.curve[1])
+    assert all(got[i] == pytest.approx(float(model.score(stats[i][None])[0])) for i in stats)

@@ -29,7 +29,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def sample_below(limit: int, n: int) -> int:
-    """The signed 64-bit number below which a uniform hash of about ``limit`` of ``n`` rows lies, whatever ``n``; all rows if ``n <= limit``."""
+    """The signed 64-bit number at or below which a uniform hash of about ``limit`` of ``n`` rows lies, whatever ``n``; all rows if ``n <= limit``."""
     return min((limit << 64) // max(1, n), (1 << 64) - 1) - (1 << 63)
 
 

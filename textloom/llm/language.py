@@ -6,8 +6,10 @@ least reliability-weighted logistic loss is the language, the score is its share
 two losses lie close is marked ambiguous.
 
 Counts come from a bounded sample of labelled rows (about ``per_language`` rows of each language, picked by a hash of
-the id). Every text is predicted whole. Texts that are null or have no letter are ``und`` with score 0; so is every
-text if nothing is labelled. With one language only, every other text is of it with score 1.
+the id). They are summed by language and bucket, and then by bucket and bit, in Spark; the driver gets the names of the
+languages, of which every one can be predicted, and a row of bit weights for each bucket. Every text is predicted
+whole. Texts that are null or have no letter (Unicode category L) are ``und`` with score 0; so is every text if nothing
+is labelled. With one language only, every other text is of it with score 1. Ties go to the first name.
 """
 
 from __future__ import annotations
@@ -18,23 +20,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import add_columns
+from textloom.llm.common import add_columns, cut, free_name, sample_below
 
-PER_LANGUAGE, MAX_LANGUAGES = 3000, 256
+PER_LANGUAGE = 3000
 BUCKETS = 1 << 13
 #: Characters that are hashed at once, so that a very long text takes no more memory.
 CHUNK = 1 << 20
 AMBIGUOUS = 0.35
 SEED = 5
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What a language has in every bucket beside its counts.
+SPARE = 0.01
+_NOT_WORDS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def trigrams(text: str | None) -> np.ndarray | None:
     """Counts of the hashed letter trigrams of the lower-cased text, or None if there is no letter."""
-    letters = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    letters = _NOT_WORDS.sub(" ", text.lower()).strip() if text else ""
+    if not letters.replace(" ", "").isalpha():  # rare: numbers that are no digits, or nothing at all
+        letters = _NOT_LETTERS.sub(" ", letters).strip()
     if not letters:
         return None
     letters = f" {letters} "
@@ -47,15 +55,19 @@ def trigrams(text: str | None) -> np.ndarray | None:
 
 
 def codewords(n: int) -> np.ndarray:
-    """A row of +1 and -1 for each of ``n`` languages: all splits up to 6 languages, else random ones far apart."""
+    """A row of +1 and -1 for each of ``n`` languages: all splits up to 6 languages, else random ones far apart.
+
+    Up to 512 languages the best of 50 codes is taken; beyond, any one, since random codewords of this length differ
+    in about half their bits.
+    """
     if n <= 6:
         bits = [[1 if b >> i & 1 else -1 for i in range(n)] for b in range(1, 1 << (n - 1))]
         return np.array(bits, dtype=float).T.reshape(n, -1)
     best, far = None, -1
-    for k in range(50):
+    for k in range(50 if n <= 512 else 1):
         code = np.random.default_rng([SEED, n, k]).choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n)))))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        near = (code.shape[1] - (code @ code.T - np.eye(n) * 1e9).max()) / 2
+        near = (code.shape[1] - (code @ code.T - np.eye(n) * 1e9).max()) / 2 if n <= 512 else 0
         if near > far:
             best, far = code, near
     return best
@@ -86,14 +98,14 @@ def learned(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Learn from the rows of ``docs`` that may be learned from and have a ``lang``, the most frequent languages first."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """Learn from the rows of ``docs`` that may be learned from and have a ``lang``."""
     usable = docs.select(F.col("doc_id").alias("id"), "text", "lang").filter(F.col("lang").isNotNull() & learned(F.col("doc_id")))
-    n = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    if not n:
-        return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0)), np.zeros(0))
-    rate = F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, int(min(1.0, per_language / c) * 1_000_000))])
-    sample = usable.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0)))
+    # One row per language.
+    rates = [(r.lang, sample_below(per_language, r.n)) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    spark = docs.sparkSession
+    limits = F.broadcast(spark.createDataFrame(rates, "lang string, below bigint"))
+    sample = usable.join(limits, "lang").filter(F.xxhash64("id", F.lit(3)) <= F.col("below"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -106,20 +118,37 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int =
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": c[at]})
 
-    summed = sample.select("text", "lang").mapInPandas(run, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = summed.toPandas()  # at most max_languages * BUCKETS rows
-    languages = sorted(table["lang"].unique())
+    counts = cut(sample.select("text", "lang").mapInPandas(run, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    totals = {r.lang: r.n + SPARE * BUCKETS for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0)), np.zeros(0))
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[table["lang"].map(languages.index).to_numpy(dtype=np.int64), table["bucket"].to_numpy(dtype=np.int64)] = table["n"]
-    shares = (counts + 0.01) / (counts + 0.01).sum(axis=1, keepdims=True)
     code = codewords(len(languages))
-    plus, minus = (code > 0).astype(float), (code < 0).astype(float)
-    odds = np.log(shares.T @ plus / plus.sum(axis=0)) - np.log(shares.T @ minus / minus.sum(axis=0))
+    sent = spark.sparkContext.broadcast(({x: i for i, x in enumerate(languages)}, np.array([totals[x] for x in languages]), code > 0))
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, total, plus = sent.value
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b["lang"].map(place).to_numpy(dtype=np.int64)
+            share = b["n"].to_numpy() / total[at]
+            for bucket, i, x in zip(b["bucket"].tolist(), at.tolist(), share.tolist(), strict=True):
+                own = sums.setdefault(bucket, np.zeros(plus.shape[1] + 1))
+                own[-1] += x
+                own[:-1][plus[i]] += x
+        yield pd.DataFrame({"bucket": list(sums), "shares": list(sums.values())})
+
+    # A bucket's row: the shares of the languages with +1 in each bit, then of all languages.
+    rows = counts.repartition("bucket").mapInPandas(bits, "bucket int, shares array<double>").collect()
+    shares = np.zeros((BUCKETS, code.shape[1] + 1))
+    shares[[r.bucket for r in rows]] = [r.shares for r in rows]
+    spare = SPARE / np.array([totals[x] for x in languages])
+    plus = shares[:, :-1] + spare @ (code > 0)
+    minus = shares[:, -1:] + spare.sum() - plus
+    odds = np.log(plus / (code > 0).sum(axis=0)) - np.log(minus / (code < 0).sum(axis=0))
     # A bit is as reliable as its classifier separates the languages on average.
-    gap = (code * (shares @ odds)).mean(axis=0)
-    return Model(list(languages), code, odds, gap / gap.mean() if gap.size else gap)
+    gap = (odds * (plus - minus)).sum(axis=0) / len(languages)
+    return Model(languages, code, odds, gap / gap.mean() if gap.size else gap)
 
 
 FIELDS = [("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")]
@@ -143,5 +172,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is found and not ambiguous, with the columns of ``docs``."""
-    names = ("__lang", "__score", "__ambiguous")
+    names = tuple(free_name(docs, n) for n in ("__lang", "__score", "__ambiguous"))
     return add_language(docs, fit(docs), "text", names).filter(f"{names[0]} <> 'und' AND NOT {names[2]}").drop(*names)

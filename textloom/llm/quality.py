@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import add_columns, cut
+from textloom.llm.common import add_columns, cut, free_name, sample_below
 
 MAX_LABELLED = 20_000
 FEATURES, RIDGE, SEED = 256, 1e-4, 11
-#: Partitions of the sample; each sends its sums, about (FEATURES + 1) squared doubles, to the driver.
-PARTS = 16
+#: Partitions of the sample, and those in which their sums, about (FEATURES + 1) squared doubles each, are added up.
+PARTS, SUMS = 16, 4
 BINS = 512
 
 _CLASSES = np.zeros((256, 10))
@@ -91,16 +91,28 @@ def isotonic(x: np.ndarray, total: np.ndarray, count: np.ndarray) -> tuple[np.nd
 def _summed(sample: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all partitions of what ``fn`` makes of each batch of statistics and labels."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for b in batches:
             if len(b):
-                part = fn(np.stack(b["stats"].to_list()), b["y"].to_numpy())
+                yield fn(np.stack(b["stats"].to_list()), b["y"].to_numpy())
+
+    def given(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield from map(np.asarray, b["total"])
+
+    def added(read: Callable[[Iterator[pd.DataFrame]], Iterator[np.ndarray]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for part in read(batches):
                 total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"total": [total.ravel()]})
+            if total is not None:
+                yield pd.DataFrame({"total": [total.ravel()]})
+
+        return run
 
-    return np.sum([np.asarray(r.total) for r in sample.mapInPandas(run, "total array<double>").toLocalIterator()], axis=0)
+    schema = "total array<double>"
+    tree = sample.mapInPandas(added(parts), schema).repartition(SUMS).mapInPandas(added(given), schema)
+    return np.sum([np.asarray(r.total) for r in tree.collect()], axis=0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model | None:
@@ -108,8 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & learned(F.col("id")))
     known = known.groupBy("id").agg(F.avg("y").alias("y"))
     n = known.count()
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000))
-    picked = known.filter(part < int(min(1.0, max_labelled / max(1, n)) * 1_000_000))
+    picked = known.filter(F.xxhash64("id", F.lit(1)) <= sample_below(max_labelled, n))
     # About max_labelled rows of 16 bytes.
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
 
@@ -175,5 +186,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with the columns of ``docs``."""
-    spare = "__score"
+    spare = free_name(docs, "__score")
     return add_score(docs, fit(docs, labels), "text", spare).filter(F.col(spare) >= threshold).drop(spare)
