@@ -2,17 +2,20 @@
 
 Text and template become lower-case words. An alignment matches the words that begin and end both alike, then anchors
 on words that occur once in both, takes the longest increasing subsequence of the anchors and aligns the gaps between
-them the same way. Its coverage is the share of template words it matches.
+them the same way; a gap without anchors is aligned by its longest common subsequence. Its coverage is the share of
+template words it matches.
 
 A match with coverage ``c`` of ``m`` template words misses at the most (1 - c) m of them, so it holds one of any
-(1 - c) m + 1 template words. The rarest of those in the document seed the windows that are aligned, so close
-occurrences are found however often a license is repeated in a text. Of such matches that overlap, the one that matches
-most words stays; ties go to the higher coverage, the earlier start and the first template name.
+(1 - c) m + 1 template words. The rarest of those in the document seed windows of about the template's length that are
+aligned, so close occurrences are found however often a license is repeated in a text. Words that stand in order with
+insertions of any length are found by the shortest spans of template words that reach the coverage; what such a span
+lacks at its ends is aligned with the text up to the spans before and behind it. Of all these, the match that has most
+template words less those that it lacks takes its words, then the next one whose words are left, and so on; ties go to
+the shorter span, the earlier start and the first template name. The words that are left are searched again until
+nothing is found. Matches share no word, but one may stand in an insertion of another.
 
-What is left of the text is then searched for templates whose words stand in order with insertions of any length: by
-the longest common subsequence, the shortest spans that reach the coverage, until none is left. Such a match shares no
-word with another, but its span may enclose others. Templates of which too few words occur anywhere in the text are not
-tried.
+Up to ``STRAY`` matched words at an end that more than ``STRAY`` inserted words set apart are left off as chance, again
+and again, as long as the coverage holds; a match of every template word stays whole. Templates of which too few words occur anywhere in the text are not tried.
 
 Null and wordless texts have no match.
 """
@@ -20,15 +23,19 @@ Null and wordless texts have no match.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from textloom.llm.common import add_columns
+from textloom.llm.license_texts import TEMPLATES as TEMPLATES
 
 WORD = re.compile(r"[^\W_]+")
 COVERAGE = 0.8
@@ -36,23 +43,6 @@ COVERAGE = 0.8
 STRAY = 3
 FIELDS = [("license_matches", "array<struct<license:string,coverage:double,start:int,end:int>>")]
 
-#: Notices and short license texts.
-TEMPLATES = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-    "provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-    "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
-    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
-    "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included "
-    "in all copies or substantial portions of the Software.",
-    "mit-notice": "Released under the MIT License.",
-    "rights-reserved": "All rights reserved.",
-}
-
-
 def increasing(values: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence."""
     tails: list[int] = []
@@ -69,8 +59,8 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
-    """Matched positions of ``a[a0:a1]`` and ``b[b0:b1]`` by patience, in order."""
+def align(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int, late: bool = False) -> list[tuple[int, int]]:
+    """Matched positions of ``a[a0:a1]`` and ``b[b0:b1]`` by patience, in order; ``late`` as for ``longest``."""
     head: list[tuple[int, int]] = []
     tail: list[tuple[int, int]] = []
     while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
@@ -81,16 +71,20 @@ def align(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> lis
         tail.append((a1, b1))
     middle: list[tuple[int, int]] = []
     if a0 < a1 and b0 < b1:
-        in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-        place = {w: i for i, w in enumerate(a[a0:a1], a0) if in_a[w] == 1}
+        in_b = Counter(b[b0:b1])
+        shared = [i for i in range(a0, a1) if a[i] in in_b]
+        in_a = Counter([a[i] for i in shared])
+        place = {a[i]: i for i in shared if in_a[a[i]] == 1}
         anchors = [(place[w], j) for j, w in enumerate(b[b0:b1], b0) if in_b[w] == 1 and w in place]
         x, y = a0, b0
         for i in increasing([p for p, _ in anchors]):
             p, q = anchors[i]
-            middle += [*align(a, b, x, p, y, q), (p, q)]
+            middle += [*align(a, b, x, p, y, q, late), (p, q)]
             x, y = p + 1, q + 1
         if middle:
-            middle += align(a, b, x, a1, y, b1)
+            middle += align(a, b, x, a1, y, b1, late)
+        elif shared:
+            middle = [(shared[i], b0 + j) for i, j in longest([a[i] for i in shared], b[b0:b1], late)]
     return head + middle + tail[::-1]
 
 
@@ -98,120 +92,177 @@ def trimmed(pairs: list[tuple[int, int]], need: int) -> list[tuple[int, int]]:
     """``pairs``, ``need`` at least, without up to ``STRAY`` at either end that stand apart in the text but not in the template."""
     for _ in range(2):
         pairs = [(-i, -j) for i, j in reversed(pairs)]
-        for k in range(min(STRAY, len(pairs) - max(need, 1)), 0, -1):
-            (i, j), (x, y) = pairs[k - 1], pairs[k]
-            if (x - i) - (y - j) > STRAY:
-                pairs = pairs[k:]
-                break
+        while k := next((k for k in range(min(STRAY, len(pairs) - max(need, 1)), 0, -1) if pairs[k][0] - pairs[k - 1][0] - (pairs[k][1] - pairs[k - 1][1]) > STRAY), 0):
+            pairs = pairs[k:]
     return pairs
 
 
-def longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Matched positions of a longest common subsequence."""
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        row, up = [0], rows[-1]
-        for j, y in enumerate(b):
-            row.append(up[j] + 1 if x == y else max(up[j + 1], row[j]))
-        rows.append(row)
+def longest(a: list[str], b: list[str], late: bool = False) -> list[tuple[int, int]]:
+    """Matched positions of a longest common subsequence; the last word matched as early in ``a`` as can be, with ``late`` the first one as late."""
+    if late:
+        return [(len(a) - 1 - i, len(b) - 1 - j) for i, j in reversed(longest(a[::-1], b[::-1]))]
+    rows = [(1 << len(b)) - 1, *steps(a, b)]
+
+    def length(i: int, j: int) -> int:
+        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+
     out, i, j = [], len(a), len(b)
-    while i and j:
-        if rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        elif rows[i][j] == rows[i - 1][j]:
+    left = length(i, j)
+    while left:
+        if length(i - 1, j) == left:
             i -= 1
+        elif length(i, j - 1) == left:
+            j -= 1
         else:
-            i, j = i - 1, j - 1
+            i, j, left = i - 1, j - 1, left - 1
             out.append((i, j))
     return out[::-1]
 
 
-def reach(words: Iterable[str], template: list[str], need: int) -> int:
-    """How many of ``words`` hold ``need`` words of ``template`` in order, the fewest; -1 if all of them do not."""
+def steps(words: Iterable[str], template: list[str]) -> Iterator[int]:
+    """After each word, the row of the common subsequence table, whose clear bits are its steps."""
     masks: dict[str, int] = defaultdict(int)
     for j, w in enumerate(template):
         masks[w] |= 1 << j
-    # Clear bits are the steps of the last row of the common subsequence table.
-    full = (1 << len(template)) - 1
-    row, found = full, 0
-    for n, w in enumerate(words, 1):
-        hit = row & masks[w]
+    row = full = (1 << len(template)) - 1
+    for w in words:
+        hit = row & masks.get(w, 0)
         row = ((row + hit) | (row - hit)) & full
-        if hit:
-            found = len(template) - row.bit_count()
-            if found >= need:
-                return n
+        yield row
+
+
+def reach(words: Iterable[str], template: list[str], need: int) -> int:
+    """How many of ``words`` hold ``need`` words of ``template`` in order, the fewest; -1 if all of them do not."""
+    for n, row in enumerate(steps(words, template), 1):
+        if len(template) - row.bit_count() >= need:
+            return n
     return -1
 
 
+@dataclass
+class Match:
+    """Matched positions of text and template of ``size`` words, in order; ``whole`` with those left off, if they make it whole."""
+
+    name: str
+    size: int
+    pairs: list[tuple[int, int]]
+    whole: list[tuple[int, int]] | None
+
+    @classmethod
+    def of(cls, name: str, size: int, pairs: list[tuple[int, int]], need: int) -> Match:
+        kept = trimmed(pairs, need)
+        return cls(name, size, kept, pairs if len(pairs) == size > len(kept) else None)
+
+    @property
+    def coverage(self) -> float:
+        return len(self.pairs) / self.size
+
+    @property
+    def start(self) -> int:
+        return self.pairs[0][0]
+
+    @property
+    def end(self) -> int:
+        return self.pairs[-1][0] + 1
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float) -> None:
         self.coverage = coverage
         self.templates = {n: w for n, t in sorted(templates.items()) if (w := WORD.findall(t.lower()))}
+        self.counts = {n: Counter(t) for n, t in self.templates.items()}
+        self.words = {n: frozenset(t) for n, t in self.templates.items()}
+
+    def need(self, template: list[str]) -> int:
+        return ceil(self.coverage * len(template) - 1e-9)
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of every match, in order; spans in code points."""
-        words = WORD.findall(text.lower()) if text else []
-        seen = set(words)
-        near = {n: t for n, t in self.templates.items() if sum(map(seen.__contains__, t)) >= self.coverage * len(t) - 1e-9}
+        lower = text.lower() if text else ""
+        words = WORD.findall(lower)
+        seen, near = set(words), {}
+        for n, t in self.templates.items():
+            lost = self.words[n] - seen
+            if len(t) - sum(self.counts[n][w] for w in lost) >= self.need(t):
+                near[n] = t
         if not near:
             return []
         wanted, places = set().union(*near.values()), defaultdict(list)
         for i, w in enumerate(words):
             if w in wanted:
                 places[w].append(i)
-        found = [m for n, t in near.items() for m in self.matches(n, t, words, places)]
-        kept: list[tuple[int, float, int, int, str]] = []
-        for m in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[4])):
-            if all(m[3] <= k[2] or m[2] >= k[3] for k in kept):
-                kept.append(m)
-        free = [True] * len(words)
-        for m in kept:
-            free[m[2] : m[3]] = [False] * (m[3] - m[2])
-        for n, t in sorted(near.items(), key=lambda x: (-len(x[1]), x[0])):
-            kept += self.scattered(n, t, words, places, free)
-        # Lower-casing may change a text's length, so spans come from the text itself where it does.
-        at = [m.span() for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)] if kept else []
-        end = len(at) - 1
-        return [(m[4], m[1], at[min(m[2], end)][0], at[min(m[3] - 1, end)][1]) for m in sorted(kept, key=lambda m: (m[2], m[3], m[4]))]
-
-    def matches(self, name: str, template: list[str], words: list[str], places: dict[str, list[int]]) -> set[tuple[int, float, int, int, str]]:
+        free = bytearray(b"\x01") * len(words)
+        kept: list[Match] = []
+        found = [m for n, t in near.items() for m in self.close(n, t, words, places)]
+        while True:
+            found += [m for n, t in near.items() for m in self.scattered(n, t, words, places, free)]
+            taken = []
+            for m in sorted(found, key=lambda m: (m.size - 2 * len(m.pairs), m.end - m.start, m.start, m.name, m.whole is None)):
+                if all(free[i] for i, _ in m.pairs):
+                    taken.append(m)
+                    for i, _ in m.pairs:
+                        free[i] = 0
+            for m in taken:
+                own = {i for i, _ in m.pairs}
+                if m.whole and all(free[i] or i in own for i, _ in m.whole):
+                    m.pairs = m.whole
+                    for i, _ in m.pairs:
+                        free[i] = 0
+            if not taken:
+                break
+            kept, found = kept + taken, []
+        at = spans(text, lower) if kept else []
+        return [(m.name, m.coverage, at[m.start][0], at[m.end - 1][1]) for m in sorted(kept, key=lambda m: (m.start, m.end, m.name))]
+
+    def close(self, name: str, template: list[str], words: list[str], places: dict[str, list[int]]) -> list[Match]:
+        """Close occurrences: windows around the seeds."""
         m, need = len(template), self.need(template)
         slack = max(4, m // 4)
         seeds = sorted(range(m), key=lambda j: (len(places[template[j]]), j))[: int((1 - self.coverage) * m + 1e-9) + 1]
-        out = set()
+        out: dict[tuple[int, int, int], Match] = {}
+        whole: list[int] = []  # where the template stands word for word
         for j in seeds:
             for p in places[template[j]]:
+                at = bisect_right(whole, p) - 1
+                if at >= 0 and p < whole[at] + m:
+                    continue
                 left = align(words, template, max(0, p - j - slack), p, 0, j)
                 right = align(words, template, p + 1, min(len(words), p + m - j + slack), j + 1, m)
-                pairs = trimmed([*left, (p, j), *right], need)
-                n = len(pairs)
-                if n >= need:
-                    out.add((n, n / m, pairs[0][0], pairs[-1][0] + 1, name))
+                if len(left) + 1 + len(right) >= need:
+                    found = Match.of(name, m, [*left, (p, j), *right], need)
+                    out[len(found.pairs), found.start, found.end] = found
+                    if len(found.pairs) == m == found.end - found.start:
+                        insort(whole, found.start)
+        return list(out.values())
+
+    def scattered(self, name: str, template: list[str], words: list[str], places: dict[str, list[int]], free: bytearray) -> list[Match]:
+        """Occurrences with any insertions among the ``free`` words, none of which share a word."""
+        m, need = len(template), self.need(template)
+        at = sorted(i for w in set(template) for i in places[w] if free[i])
+        here, backward = [words[i] for i in at], template[::-1]
+        begin, found, out = 0, [], []
+        while (n := reach(islice(here, begin, None), template, need)) > 0:
+            end = begin + n
+            found.append((end - reach((here[k] for k in range(end - 1, begin - 1, -1)), backward, need), end))
+            begin = end
+        last = 0
+        for k, (begin, end) in enumerate(found):
+            stop = found[k + 1][0] if k + 1 < len(found) else len(at)
+            pairs = [(begin + i, j) for i, j in longest(here[begin:end], template)]
+            before = align(here, template, last, begin, 0, pairs[0][1], late=True)
+            behind = align(here, template, end, stop, pairs[-1][1] + 1, m)
+            last = behind[-1][0] + 1 if behind else end
+            out.append(Match.of(name, m, [(at[i], j) for i, j in (*before, *pairs, *behind)], need))
         return out
 
-    def need(self, template: list[str]) -> int:
-        return ceil(self.coverage * len(template) - 1e-9)
 
-    def scattered(self, name: str, template: list[str], words: list[str], places: dict[str, list[int]], free: list[bool]) -> list[tuple[int, float, int, int, str]]:
-        """Matches with any insertions in the ``free`` words, which they take, in order of their ends; the shortest spans first."""
-        m, need, out = len(template), self.need(template), []
-        slack = max(4, m // 4)
-        while True:
-            at = [i for i in sorted(i for w in set(template) for i in places[w]) if free[i]]
-            begin, taken = 0, False
-            while (n := reach((words[i] for i in at[begin:]), template, need)) > 0:
-                end = begin + n
-                back = reach((words[i] for i in reversed(at[begin:end])), template[::-1], need)
-                first, last = at[end - back] - slack, at[end - 1] + slack
-                near = at[bisect_left(at, first, begin) : bisect_left(at, last + 1)]
-                pairs = [(near[i], j) for i, j in longest([words[i] for i in near], template)]
-                for i, _ in pairs:
-                    free[i] = False
-                out.append((len(pairs), len(pairs) / m, pairs[0][0], pairs[-1][0] + 1, name))
-                begin, taken = max(end, bisect_left(at, pairs[-1][0] + 1)), True
-            if not taken:
-                return out
+def spans(text: str, lower: str) -> list[tuple[int, int]]:
+    """The spans in ``text`` of the words of its ``lower`` form, which may be longer."""
+    at = [m.span() for m in WORD.finditer(lower)]
+    if len(lower) == len(text):
+        return at
+    ends = np.cumsum([len(c.lower()) for c in text])  # where each character's lower form ends
+    return [(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, b - 1, side="right")) + 1) for a, b in at]
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
