@@ -31,12 +31,14 @@ def brute(x, t=0.9):
         root = new
 
 
-def test_against_brute_force_in_any_block_size(spark):
+def test_against_brute_force_in_any_block_size(spark, monkeypatch):
     x = vectors()
     df = spark.createDataFrame([(i, v.tolist(), "", None) for i, v in enumerate(x)], SCHEMA)
     links, root = brute(x)
-    for tables, block in ((48, 1024), (48, 16)):
-        got = {r.vec_id: r for r in E.near_duplicates(df, tables=tables, signs=8, block=block).collect()}
+    for block, whole, sampled in ((1024, E.WHOLE, E.SAMPLED), (16, E.WHOLE, 1), (16, 40, 1)):
+        monkeypatch.setattr(E.link, "__defaults__", (whole,))
+        monkeypatch.setattr(E, "SAMPLED", sampled)
+        got = {r.vec_id: r for r in E.near_duplicates(df, tables=60, signs=6, block=block).collect()}
         assert [got[i].n_links for i in range(len(x))] == links.tolist()
         assert [got[i].component_id for i in range(len(x))] == root.tolist()
         assert all(got[i].kept == (root[i] == i) for i in range(len(x)))
@@ -78,3 +80,15 @@ def test_recall_of_borderline_pairs_at_the_production_parameters(spark):
         hit = got[i].n_links == 1
         assert (got[i + 1].n_links, got[i + 1].component_id, got[i + 1].kept) == ((1, i, False) if hit else (0, i + 1, True))
     assert len(found) / 2000 >= 0.97
+
+
+def test_groups_of_like_sketches():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        task = np.sort(rng.integers(0, 6, 40))
+        sketches = rng.integers(-8, 8, (40, 2))
+        near = (task[:, None] == task) & (np.bitwise_count((sketches[:, None] ^ sketches).view(np.uint64)).sum(axis=2) <= 1)
+        root = np.arange(40)
+        for _ in range(40):
+            root = np.array([root[near[i]].min() for i in range(40)])
+        assert E.alike(task, sketches, 1).tolist() == root.tolist()

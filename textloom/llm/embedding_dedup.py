@@ -1,12 +1,17 @@
 """Embedding near-duplicates: sign hashing in several tables, exact cosine, connected components.
 
 Each table hashes a vector to the signs of its products with random hyperplanes. Vectors that share a bucket in any
-table are compared by cosine in double precision, so no link below the threshold is made. A pair at cosine 0.9 shares
-a bucket with probability 0.98 (16 tables of 10 signs), a closer pair with a higher one.
-
-Equal vectors are one point with a weight. A bucket is dealt out in blocks of ``block`` points, each pair of blocks a
-task of its own, so no task gathers a whole bucket; a task gives each point's number of links and one edge to the
-smallest point of its local component, never the pairs. A pair that shares several buckets counts in the first.
+table and whose sketches (``SKETCH`` more signs) differ in few enough bits are candidates; a pair at the threshold
+passes but for five standard deviations. Buckets hold ids and sketches only. Candidates that reach each other form a
+group, a vector goes once to its group, and every pair of a group is compared by cosine in double precision, so no link
+below the threshold is made. A pair at cosine 0.9 shares a bucket with probability 0.98 (44 tables of 16 signs), a
+closer pair with a higher one; that probability depends on the tables and signs and not on the number of vectors. A
+bucket holds about one vector in 2 ** ``signs``: far more than 100 million vectors want more signs in more tables.
+
+Equal vectors are one point with a weight. Full buckets and groups are dealt out in blocks, each pair of blocks a task
+of its own, so no task gathers a whole one; a task gives each point's number of links and one edge to the smallest
+point of its local component, never the pairs. A group of over ``WHOLE`` points, which chains of candidates may hold
+together, is compared bucket by bucket instead; a pair that shares several buckets counts in the first.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows without an id link with nothing:
 0 links, their own id as component. Vectors of different lengths never link. Rows with one id are one node.
@@ -24,15 +29,20 @@ from pyspark.sql import functions as F
 from textloom.llm.common import add_columns, cut
 from textloom.llm.components import connected_components
 
-TABLES, SIGNS, BLOCK, SEED = 16, 10, 1024, 20240229
+TABLES, SIGNS, BLOCK, SEED = 44, 16, 1024, 20240229
+SKETCH, WHOLE = 128, 8192
+#: Sketches that a block holds for each vector of one, and the share of points that full buckets are told by.
+SMALLER, SAMPLED = 4, 64
+#: Rows up to which a table of full buckets or large groups is broadcast; beyond, it is joined by shuffle.
+FEW = 1_000_000
 
 
-def planes(dim: int, tables: int, signs: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((tables * signs, dim))
+def planes(dim: int, n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).standard_normal((n, dim))
 
 
-def add_signatures(df: DataFrame, vec: str, tables: int, signs: int, seed: int, out: str = "sigs") -> DataFrame:
-    """``df`` with each vector's bucket in every table."""
+def add_signatures(df: DataFrame, vec: str, tables: int, signs: int, seed: int, out: tuple[str, str] = ("sigs", "sketch")) -> DataFrame:
+    """``df`` with each vector's bucket in every table, and its sketch."""
     powers = 1 << np.arange(signs)
 
     def make():
@@ -44,19 +54,50 @@ def add_signatures(df: DataFrame, vec: str, tables: int, signs: int, seed: int,
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 if d not in known:
-                    known[d] = planes(int(d), tables, signs, seed)
+                    known[d] = planes(int(d), tables * signs + SKETCH, seed)
                 x = np.stack([np.asarray(vectors.iloc[i], dtype=np.float64) for i in at])
-                codes = ((x @ known[d].T > 0).reshape(len(at), tables, signs) * powers).sum(axis=2)
-                for i, c in zip(at, codes, strict=True):
-                    found[i] = c.astype(np.int32)
-            return pd.DataFrame({out: found})
+                bits = x @ known[d].T > 0
+                codes = (bits[:, SKETCH:].reshape(len(at), tables, signs) * powers).sum(axis=2)
+                sketches = np.packbits(bits[:, :SKETCH], axis=1).view(np.int64)
+                for i, c, s in zip(at, codes, sketches, strict=True):
+                    found[i] = (c.astype(np.int32), s)
+            return pd.DataFrame(found, columns=list(out))
 
         return step
 
-    return add_columns(df, [vec], [(out, "array<int>")], make)
+    return add_columns(df, [vec], [(out[0], "array<int>"), (out[1], "array<bigint>")], make)
+
+
+def differing(threshold: float) -> int:
+    """Bits in which the sketches of two vectors at ``threshold`` differ at the most, five standard deviations allowed."""
+    p = np.arccos(threshold) / np.pi
+    return int(SKETCH * p + 5 * np.sqrt(SKETCH * p * (1 - p)))
+
+
+def join_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Make the places ``a`` and ``b`` share their least root, in ``root``."""
+    while (apart := root[a] != root[b]).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while ((up := root[root]) != root).any():
+            root[:] = up
 
 
-def block_links(x: np.ndarray, weights: np.ndarray, nodes: np.ndarray, sigs: np.ndarray, side: np.ndarray, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def alike(task: np.ndarray, sketches: np.ndarray, most: int) -> np.ndarray:
+    """Each row's least row that rows with the same ``task``, which stand together, and like sketches reach from it."""
+    sketches = np.ascontiguousarray(sketches).view(np.uint64)  # bits of a negative number are not counted as they are
+    root, step = np.arange(len(task)), 1
+    at = np.flatnonzero(task[1:] == task[:-1])
+    while len(at):
+        near = at[np.bitwise_count(sketches[at] ^ sketches[at + step]).sum(axis=1) <= most]
+        join_up(root, near, near + step)
+        step += 1
+        at = at[at < len(task) - step]
+        at = at[task[at] == task[at + step]]
+    return root
+
+
+def block_links(x: np.ndarray, weights: np.ndarray, nodes: np.ndarray, sigs: np.ndarray | None, side: np.ndarray, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each point to points of the other block (within, where there is one), and its local component's node."""
     lengths = np.sqrt((x * x).sum(axis=1))
     close = (x @ x.T) / np.outer(lengths, lengths) >= threshold
@@ -78,19 +119,64 @@ def block_links(x: np.ndarray, weights: np.ndarray, nodes: np.ndarray, sigs: np.
     return links, root
 
 
-def link(points: DataFrame, threshold: float, tables: int, signs: int, seed: int, block: int) -> DataFrame:
+def with_large(rows: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``large``, one row per key, or null; broadcast only if it has few rows."""
+    large = cut(large)
+    return rows.join(F.broadcast(large) if large.limit(FEW + 1).count() <= FEW else large, key, "left")
+
+
+def dealt(rows: DataFrame, group: str, blocks: str = "blocks") -> DataFrame:
+    """``rows`` with ``task``, ``own`` and ``within``, a row for each task: every pair of a group's ``blocks``, and every one alone."""
+    own = F.pmod(F.xxhash64("node"), F.coalesce(blocks, F.lit(1))).cast("int")
+    each = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(blocks, F.lit(1)).cast("int") - 1)))
+    task = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
+    return each.withColumn("task", task).withColumn("within", F.col("own") == F.col("other")).drop("other", blocks)
+
+
+def candidates(signed: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``a``, ``b``: edges that join the points (``node``, ``bucket``, ``sketch``) that share a bucket and have like sketches."""
+    counted = signed.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SAMPLED)) == 0).groupBy("bucket").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") * SAMPLED / (block * SMALLER)).cast("int")
+    full = counted.select("bucket", blocks.alias("blocks")).filter("blocks > 1")
+    tasks = dealt(with_large(signed, full, "bucket"), "bucket").select("task", "node", F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"))
+    most = differing(threshold)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((0, 4), dtype=np.int64)
+
+        def edges(rows: np.ndarray) -> pd.DataFrame:
+            root = alike(rows[:, 0], rows[:, 2:], most)
+            at = np.flatnonzero(root != np.arange(len(rows)))
+            return pd.DataFrame({"a": rows[root[at], 1], "b": rows[at, 1]})
+
+        for batch in batches:
+            rows = np.concatenate([held, batch.to_numpy(dtype=np.int64)])
+            if not len(rows):
+                continue
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # where the last task begins
+            held = rows[last:]
+            yield edges(rows[:last])
+        yield edges(held)
+
+    return tasks.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a long, b long")
+
+
+def link(points: DataFrame, threshold: float, tables: int, signs: int, seed: int, block: int, whole: int = WHOLE) -> DataFrame:
     """``node``, ``links``, ``root`` from every task in which a point has a link. ``points``: node, weight, vec."""
-    signed = cut(add_signatures(points, "vec", tables, signs, seed))
-    each = signed.select("node", "weight", "vec", "sigs", F.posexplode("sigs").alias("table", "sig"))
-    key = ["table", "sig", "dim"]
-    each = each.withColumn("dim", F.size("vec"))
-    sizes = each.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    dealt = each.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = dealt.withColumn("other", other).select(
-        "node", "weight", "vec", "sigs", "table", "own",
-        F.xxhash64(*key, F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") == F.col("other")).alias("within"),
-    )
+    signed = cut(add_signatures(points.select("node", "vec", F.size("vec").alias("dim")), "vec", tables, signs, seed).drop("vec"))
+    each = signed.select("node", "dim", "sketch", F.posexplode("sigs").alias("table", "sig"))
+    each = each.select("node", "table", "sketch", F.xxhash64("table", "sig", "dim").alias("bucket"))
+    reached = connected_components(candidates(each, threshold, block))
+    sizes = reached.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    placed = cut(with_large(reached, sizes, "root"))
+    blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    small = placed.filter(F.coalesce("n", F.lit(0)) <= whole).select("node", F.xxhash64(F.lit(0), "root").alias("grp"), F.lit(-1).alias("table"), blocks)
+    wide = each.join(placed.filter(F.col("n") > whole).select("node"), "node", "left_semi").select("node", F.col("bucket").alias("grp"), "table")
+    counts = wide.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("grp", blocks)
+    tasks = dealt(small.unionByName(with_large(wide, counts, "grp").select(small.columns)), "grp")
+    # Buckets are looked at again for points of wide groups only.
+    held = points.join(signed.select("node", "sigs"), "node").select("node", "weight", "vec", "sigs")
+    paired = tasks.join(held, "node").withColumn("sigs", F.when(F.col("table") >= 0, F.col("sigs")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in grouped(batches, "task"):
@@ -98,9 +184,10 @@ def link(points: DataFrame, threshold: float, tables: int, signs: int, seed: int
                 continue
             within = group["within"].to_numpy()
             side = np.zeros(len(group), dtype=np.int64) if within.all() else group["own"].to_numpy()
-            nodes = group["node"].to_numpy()
+            nodes, table = group["node"].to_numpy(), int(group["table"].iloc[0])
             x = np.stack([np.asarray(v, dtype=np.float64) for v in group["vec"]])
-            links, root = block_links(x, group["weight"].to_numpy(), nodes, np.stack(group["sigs"].to_list()), side, int(group["table"].iloc[0]), threshold)
+            sigs = np.stack(group["sigs"].to_list()) if table > 0 else None
+            links, root = block_links(x, group["weight"].to_numpy(), nodes, sigs, side, table, threshold)
             out = pd.DataFrame({"node": nodes, "links": links, "root": root})
             yield out[(links > 0) | (root != nodes)]
 
