@@ -5,7 +5,8 @@ consecutive words of an item; an item with fewer words, but not none, is one win
 hashes are a broadcast set; every window of a document is hashed and looked up, and a hit is verified word by word.
 
 Only windows up to ``max_windows`` are broadcast at once. A larger benchmark is worked off in blocks of that many
-windows, all documents against each block, and the blocks' hits are merged by row.
+windows: all documents against one block, the texts with hits (by SHA-256) kept in a checkpoint, the block's broadcast
+released before the next one; at the end the hits of all blocks are merged by text. Driver and workers hold one block.
 
 Null texts have no words. Items with a null id mark words but are not listed. Repeated ids count once.
 """
@@ -15,13 +16,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import add_columns, cut
+from textloom.llm.common import add_columns, cut, free_name
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows in one broadcast: about 1 KB each with their words, so 200 MB at the most.
@@ -131,20 +133,33 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = 10,
     """
     if n < 1:
         raise ValueError("a window has one word at least")
-    out, names = docs, [f for f, _ in FIELDS]
-    for k, block in enumerate(blocks(item_windows(benchmark, n, item_id, item_text), max_windows)):
-        rows = [(r.words, r.items) for r in block.toLocalIterator()]  # at most max_windows, give or take the hashing
-        seen = docs.sparkSession.sparkContext.broadcast(rows)
-        if k == 0:
-            out = add_columns(docs, [text], FIELDS, _scanner(seen))
-            continue
-        earlier = {c: f"__earlier_{c}" for c in names[1:]}
-        out = add_columns(out.withColumnsRenamed(earlier), [text], FIELDS, _scanner(seen))
-        runs = merged_runs(F.concat(F.col(earlier["hit_words"]), F.col("hit_words")))
-        out = out.withColumn("hit_items", F.array_sort(F.array_union(earlier["hit_items"], "hit_items"))).withColumn("hit_words", runs)
-        n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
-        out = out.withColumn("n_hit", n_hit).drop(*earlier.values())
-    return out
+    names, sc = [f for f, _ in FIELDS], docs.sparkSession.sparkContext
+    parts = list(blocks(item_windows(benchmark, n, item_id, item_text), max_windows))
+    if len(parts) == 1:
+        return add_columns(docs, [text], FIELDS, _scanner(sc.broadcast(_rows(parts[0]))))
+    digest = F.sha2(F.col(f"`{text}`"), 256)
+    hits = []
+    for block in parts:
+        seen = sc.broadcast(_rows(block))
+        found = add_columns(docs.select(F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL"), ["text"], FIELDS, _scanner(seen)).filter("n_hit > 0")
+        hits.append(cut(found.select(F.sha2("text", 256).alias("digest"), "hit_items", "hit_words").distinct()))
+        seen.destroy()
+    merged = reduce(DataFrame.unionAll, hits).groupBy("digest").agg(F.flatten(F.collect_list("hit_items")).alias("items"), F.flatten(F.collect_list("hit_words")).alias("words"))
+    # The words are counted in a pass of their own, without windows.
+    counted = add_columns(docs, [text], FIELDS, _scanner(sc.broadcast([]))).drop(*names[1:])
+    key, found = free_name(counted, "__digest"), free_name(counted, "__found")
+    held = merged.select(F.col("digest").alias(key), F.struct("items", "words").alias(found))
+    joined = counted.withColumn(key, digest).join(held, key, "left")
+    items, words = F.array_sort(F.array_distinct(F.col(found)["items"])), merged_runs(F.col(found)["words"])
+    none_items, none_words = F.array().cast("array<string>"), F.from_json(F.lit("[]"), FIELDS[3][1])
+    out = joined.withColumn("hit_items", F.coalesce(items, none_items)).withColumn("hit_words", F.coalesce(words, none_words))
+    n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
+    return out.withColumn("n_hit", n_hit).select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *names)
+
+
+def _rows(block: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """At most ``max_windows`` windows, give or take the hashing."""
+    return [(r.words, r.items) for r in block.toLocalIterator()]
 
 
 def merged_runs(runs: Column) -> Column:
