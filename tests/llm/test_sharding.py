@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm import sharding
@@ -47,3 +49,25 @@ def test_files_hold_every_row(spark, tmp_path):
     df = spark.createDataFrame(rows(50), SCHEMA).drop("shard")
     sharding.write_shards(df, str(tmp_path / "out"), "doc_id", 3)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_choice_like_a_plain_one(spark):
+    """The shard of the least -ln(u) / weight, with u from a hash of key and shard."""
+
+    def cost(key, shard, weight):
+        first = 42 if key is None else xxhash.xxh64_intdigest(str(key).encode(), 42)
+        bits = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), first) >> 11
+        return -math.log((bits + 0.5) * 2.0**-53) / weight
+
+    for weights in (None, [1.0, 0.5, 3.0, 2.0, 1.0, 1.0, 4.0]):
+        given = weights or [1.0] * 7
+        got = {r.doc_id: r.shard for r in sharding.assign_shards(spark.createDataFrame([*rows(800), (None, "", "", "")], SCHEMA), "doc_id", 7, weights).collect()}
+        for key, shard in got.items():
+            assert shard == min(range(7), key=lambda s: (cost(key, s, given[s]), s))
+
+
+def test_written_shards_hold_their_rows(spark, tmp_path):
+    df = spark.createDataFrame([*rows(300), *[(7, "same", "s", None)] * 200], SCHEMA)
+    sharding.write_shards(df, f"{tmp_path}/out", "doc_id", 5)
+    want = sorted((r.doc_id, r.text, r.shard) for r in sharding.assign_shards(df, "doc_id", 5).collect())
+    assert sorted((r.doc_id, r.text, r.shard) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want

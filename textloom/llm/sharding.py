@@ -73,8 +73,11 @@ def shard_manifest(df: DataFrame, key: str, text: str, shards: int, weights: lis
     )
 
 
-def write_shards(df: DataFrame, path: str, key: str, shards: int, weights: list[float] | None = None, files_per_shard: int = 8) -> None:
-    """Write ``df`` as Parquet in one folder per shard, each dealt over ``files_per_shard`` tasks by content."""
-    placed = assign_shards(df, key, shards, weights)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(files_per_shard))
-    placed.repartition("shard", salt).write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, key: str, shards: int, weights: list[float] | None = None) -> None:
+    """Write ``df`` as Parquet in one folder per shard.
+
+    Rows are brought together by shard, and adaptive execution splits shards that are too large for a task by the map
+    outputs they come from, so neither a hot key nor repeated rows end in one task, and a task that runs again writes the
+    same rows. Columns named ``shard`` are replaced.
+    """
+    assign_shards(df, key, shards, weights).hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
