@@ -13,8 +13,8 @@ Counts are kept in unary (00, 01, 11), so a step on the grid is one bit and Manh
 Equal texts have equal fingerprints and are one point throughout. A cell that a large group of near copies fills is
 never expanded into pairs: all its points are compared with the smallest one, and links found so are contracted. Then
 small cells are searched for links between different components; of a large cell, only the points outside the
-component that has most of it are compared with points of other components. Every pair that can link two components
-is examined, so the components are exact.
+component that has most of it are compared with points of other components, in blocks of ``BLOCK_CELL`` points, so no
+task has a whole cell. Every pair that can link two components is examined, so the components are exact.
 """
 
 from __future__ import annotations
@@ -41,7 +41,9 @@ _LOW = 0x5555555555555555
 _FIRST = (1 << FIRST_BITS) - 1
 MAX_DISTANCE = 4
 #: Points from which a cell is searched by its components; up to so many, each is compared with each.
-LARGE_CELL = 64
+LARGE_CELL, BLOCK_CELL = 64, 4096
+#: Tasks over which the members of one component are spread where they look up its smallest id.
+SALT = 16
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -134,11 +136,14 @@ def fingerprint_components(prints: DataFrame, fp: str = "fingerprint", max_dista
 
     full = cut(placed.join(large, "cell"))
     counts = full.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    most = counts.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = cut(full.join(most.select("cell", F.col("most.root").alias("main")), "cell"))
+    most = counts.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1")
+    blocks = F.ceil(F.col("n") / BLOCK_CELL).cast("int").alias("blocks")
+    mixed = cut(full.join(most.select("cell", F.col("most.root").alias("main"), blocks), "cell"))
+    beside = mixed.filter("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inner = mixed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # Two outside the main component meet once; one outside and one inside always.
     met = (F.col("a") != F.col("b")) & ((F.col("b") == F.col("main")) | (F.col("x") < F.col("y"))) & linked("x", "y")
-    outside = mixed.filter("root <> main").select("cell", x, a).join(mixed.select("cell", y, b, "main"), "cell").filter(met)
+    outside = beside.select("cell", "block", x, a).join(inner.select("cell", "block", y, b, "main"), ["cell", "block"]).filter(met)
     bridges = inside.select("a", "b").union(outside.select("a", "b")).distinct()
     far = connected_components(bridges)
     joined = near.join(far.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
@@ -153,9 +158,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     """
     prints = cut(add_fingerprint(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", words, "fp").drop("text"))
     linked = fingerprint_components(prints, "fp", max_distance)
-    least = prints.groupBy("fp").agg(F.min("id").alias("least")).join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    # One row per distinct fingerprint against many per hot one: both sides are plain shuffles that AQE can split.
-    named = cut(least.join(roots, "root").select("fp", "component_id"))
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int").alias("salt")
+    members = cut(linked.join(least, "fp").select("fp", "root", "least", salt))
+    # Only fingerprints that link to another are here; each looks its component up under one of SALT keys.
+    roots = members.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
+    found = members.join(roots, ["root", "salt"]).select("fp", F.struct("component_id").alias("found"))
+    component = F.when(F.col("found").isNotNull(), F.col("found.component_id")).otherwise(F.col("least"))
+    named = cut(least.join(found, "fp", "left").select("fp", component.alias("component_id")))
     out = prints.join(named, "fp")
     return out.select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
