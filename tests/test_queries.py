@@ -46,4 +46,5 @@ def test_entry_and_stream(spark):
     assert e.entry(spark).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert catalog.queries()["stream_append_index"](spark, SF).count() == docs
+    for name in ("stream_append_index", "model_tokens", "pair_tokens"):
+        assert catalog.queries()[name](spark, SF).count() == docs

@@ -28,8 +28,11 @@ class PairScorer(Protocol):
     def score_pairs(self, query: str, texts: list[str]) -> list[float]: ...
 
 
-def embed_udf(load: Callable[[], Embedder]) -> Callable[[Column], Column]:
-    """An Arrow function that embeds texts with unit length; ``load`` runs once per task. Null gives null."""
+def embed_udf(load: Callable[[], Embedder], dim: int = 0) -> Callable[[Column], Column]:
+    """An Arrow function that embeds texts with unit length; ``load`` runs once per task. Null gives null.
+
+    Another number of rows than texts raises an error, and so does another size than ``dim``, unless that is 0.
+    """
 
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -41,6 +44,8 @@ def embed_udf(load: Callable[[], Embedder]) -> Callable[[Column], Column]:
                 x = np.asarray(model.embed(texts[there].tolist()), dtype=np.float64)
                 if len(x) != there.sum():
                     raise ValueError(f"the embedder gave {len(x)} rows for {there.sum()} texts")
+                if dim and x.shape[1:] != (dim,):
+                    raise ValueError(f"the embedder gave vectors of {x.shape[1:]} where {dim} were expected")
                 length = np.linalg.norm(x, axis=1, keepdims=True)
                 known = iter(x / np.where(length == 0, 1, length))
             yield pd.Series([next(known) if t else None for t in there], dtype=object)
@@ -60,6 +65,51 @@ def score_udf(load: Callable[[], PairScorer], query: str) -> Callable[[Column],
     return score
 
 
+#: Backends by name. Those that are retired are named, so that asking for one says so.
+BACKENDS: dict[str, Callable[..., Embedder]] = {}
+RETIRED = {"fastembed": "onnx", "sentence-transformers": "onnx"}
+#: Tokens that a text may have: per backend, unless a model says otherwise.
+NO_LIMIT = 1 << 20
+
+
+def backend(name: str, static: bool = False) -> Callable[..., Embedder]:
+    """The embedder class of a backend; ``auto`` is ``static`` for static models, else ``onnx``."""
+    asked = ("static" if static else "onnx") if name == "auto" else name
+    if asked in RETIRED:
+        raise ValueError(f"the backend {asked} is retired; use {RETIRED[asked]}")
+    if asked not in BACKENDS:
+        raise ValueError(f"no backend {asked}; there are auto, {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[asked]
+
+
+def register(name: str) -> Callable[[type], type]:
+    def add(cls: type) -> type:
+        BACKENDS[name] = cls
+        return cls
+
+    return add
+
+
+@register("static")
+class StaticEmbedder:
+    """The mean of the rows of a token table: a text's known white-space words, lower-cased."""
+
+    max_seq_len = NO_LIMIT
+
+    def __init__(self, vectors: dict[str, list[float]]) -> None:
+        self.places = {w: i for i, w in enumerate(vectors)}
+        self.table = np.array(list(vectors.values()), dtype=np.float64)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.table.shape[1]))
+        for k, text in enumerate(texts):
+            known = [self.places[w] for w in text.lower().split() if w in self.places]
+            if known:
+                out[k] = self.table[known].mean(axis=0)
+        return out
+
+
+@register("onnx")
 class OnnxEmbedder:
     """Mean- or CLS-pooled embeddings from an ONNX session and a tokenizer, both given as open objects or local paths."""
 
@@ -78,7 +128,7 @@ class OnnxEmbedder:
             tokenizer = Tokenizer.from_file(tokenizer)
             tokenizer.enable_truncation(max_length)
             tokenizer.enable_padding()
-        self.session, self.tokenizer, self.pooling = session, tokenizer, pooling
+        self.session, self.tokenizer, self.pooling, self.max_seq_len = session, tokenizer, pooling, max_length
 
     def embed(self, texts: list[str]) -> np.ndarray:
         encoded = self.tokenizer.encode_batch(texts)
@@ -91,26 +141,20 @@ class OnnxEmbedder:
         return (hidden * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)
 
 
-def hash_vector(token: Column) -> Column:
-    """The stand-in vector of a token: ``DIM`` components from -1 to 1 out of its MD5."""
-    part = lambda j: F.conv(F.substring(F.md5(F.concat(token, F.lit(f":{j // 4}")).cast("binary")), 8 * (j % 4) + 1, 8), 16, 10).cast("bigint")
-    return F.array(*[(part(j) % 2001 - 1000) / F.lit(1000.0) for j in range(DIM)])
-
-
 def vocab_embed(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys``, ``n_tokens``, ``embedding``: the unit mean of the token vectors of each text, from a vocabulary table.
+    """``keys``, ``n_tokens``, ``embedding``: the unit mean of the token vectors of each text.
 
-    Tokens are lower-cased white-space words; a text without any has a zero vector. Counts per (text, token) are summed
-    before the vocabulary is joined, and each distinct token is hashed once.
+    Tokens are lower-cased white-space words; a text without any has a zero vector. A token's vector comes from the
+    token itself, so there is no vocabulary to join: one scan, and one aggregation that adds whole numbers up before
+    the shuffle.
     """
-    base = texts.select(*keys, F.col(text).alias("__text")).withColumn("__tokens", T.white_space_words(F.lower("__text")))
-    counts = base.select(*keys, F.explode("__tokens").alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
-    vocabulary = counts.select("token").distinct().select("token", hash_vector(F.col("token")).alias("v"))
-    sums = [F.sum(F.col("v")[j] * F.col("n")).alias(f"s{j}") for j in range(DIM)]
-    summed = counts.join(vocabulary, "token").groupBy(*keys).agg(F.sum("n").alias("n_tokens"), *sums)
-    mean = F.array(*[F.coalesce(F.col(f"s{j}") / F.col("n_tokens"), F.lit(0.0)) for j in range(DIM)])
-    joined = texts.select(*keys).distinct().join(summed, keys, "left")
-    return joined.select(*keys, F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), V.unit(mean).alias("embedding"))
+    # Without words the outer explode keeps the row, and no filter on the words is inferred.
+    each = texts.select(*keys, F.explode_outer(T.white_space_words(F.lower(F.col(text)))).alias("__token"))
+    digests = each.select(*keys, "__token", *[F.md5(F.concat("__token", F.lit(f":{k}")).cast("binary")).alias(f"__d{k}") for k in range(DIM // 4)])
+    part = lambda j: F.conv(F.substring(f"__d{j // 4}", 8 * (j % 4) + 1, 8), 16, 10).cast("bigint") % 2001 - 1000
+    summed = digests.groupBy(*keys).agg(F.count("__token").alias("n_tokens"), *[F.sum(part(j)).alias(f"__s{j}") for j in range(DIM)])
+    total = F.array(*[F.coalesce(F.col(f"__s{j}"), F.lit(0)).cast("double") for j in range(DIM)])
+    return summed.select(*keys, "n_tokens", V.unit(total).alias("embedding"))
 
 
 def lexical_logit(query: str, text: Column | str) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Patterns for words (with hyphens and underscores inside), or else single marks; white-space words; sentences.
 WORD = r"\w+(?:[-_]\w+)*|\S"
 SENTENCE = r"[^.!?\n]+[.!?]*"
+#: The units of a text: each match, without white space around it. A paragraph goes on over lines that are not blank.
+UNITS = {"paragraph": r"\S(?:.|\n(?!\s*\n))*", "sentence": SENTENCE, "line": r"[^\n]+"}
 
 
 def words(text: Column | str) -> Column:
@@ -81,6 +83,33 @@ def word_spans(text: Column | str) -> Column:
     return _spans(WORD.replace(r"\w", r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]"), _c(text))
 
 
+def spans_of(pattern: str, text: Column | str) -> Column:
+    """``start``, ``end`` and ``text`` of every match of ``pattern`` that is not blank, without white space around it."""
+    found = regex.compile(pattern)
+
+    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+    def units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                each = []
+                for m in found.finditer(t or ""):
+                    held = m.group()
+                    own = held.strip()
+                    if own:
+                        at = m.start() + len(held) - len(held.lstrip())
+                        each.append({"start": at, "end": at + len(own), "text": own})
+                rows.append(each)
+            yield pd.Series(rows)
+
+    return units(_c(text))
+
+
+def slug(text: Column | str) -> Column:
+    """Lower case, with ``_`` for slash, hyphen and dot."""
+    return F.translate(F.lower(_c(text)), "/-.", "___")
+
+
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions import vectors as V
 from textloom.operators.numbering import cut
 
 
@@ -26,6 +27,59 @@ def gold_missed(gold: DataFrame, predicted: DataFrame, key: str, gold_col: str =
     return gold.join(p, (F.col(key) == F.col("__key")) & matches(F.col(gold_col), F.col("__pred")), "left_anti")
 
 
+def matched_predictions(gold: DataFrame, predicted: DataFrame, key: str, gold_col: str = "gold", pred_col: str = "pred") -> DataFrame:
+    """``predicted`` rows that some gold of their document matches: the hits of the precision proxy."""
+    g = gold.select(F.col(key).alias("__key"), F.col(gold_col).alias("__gold"))
+    return predicted.join(g, (F.col(key) == F.col("__key")) & matches(F.col("__gold"), F.col(pred_col)), "left_semi")
+
+
+def not_redacted(text: Column) -> Column:
+    """Whether a gold string is one without the redaction mark."""
+    return ~F.contains(text, F.lit("[*]"))
+
+
+def invalid_probabilities(scored: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which a probability is not from 0 to 1 or their sum not within 0.01 of 1; null counts as invalid."""
+    each = [F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False)) for c in columns]
+    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    valid = total.between(0.99, 1.01)
+    for c in each:
+        valid &= c
+    return scored.filter(~F.coalesce(valid, F.lit(False)))
+
+
+def chunk_metrics(chunks: DataFrame, parent: str, tokens: str = "tokens") -> DataFrame:
+    """One row: ``n_docs``, ``n_chunks``, ``max_tokens``, ``mean_tokens``, ``mean_chunks`` per document."""
+    each = chunks.groupBy(parent).agg(F.count("*").alias("n"), F.sum(tokens).alias("tokens"), F.max(tokens).alias("most"))
+    total = each.agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chunks"), F.max("most").alias("max_tokens"), F.sum("tokens").alias("t"))
+    n = F.col("n_chunks")
+    return total.select("n_docs", F.coalesce(n, F.lit(0)).alias("n_chunks"), "max_tokens", F.try_divide("t", n).alias("mean_tokens"), F.try_divide(n, "n_docs").alias("mean_chunks"))
+
+
+def least_cosine(rows: DataFrame, reference: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """One row: ``n`` rows that the reference has too, and their ``least`` cosine to it."""
+    other = reference.select(key, F.col(vec).alias("__other"))
+    return rows.join(other, key).agg(F.count("*").alias("n"), F.min(V.cosine(vec, "__other")).alias("least"))
+
+
+def entity_totals(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """One row: ``n_docs``, ``n_entities``, ``n_ok`` documents with an entity and ``n_failed`` without."""
+    counts = found.groupBy(key).agg(F.count("*").alias("n"))
+    each = docs.select(key).join(counts, key, "left")
+    return each.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_entities"), F.count_if(F.col("n").isNotNull()).alias("n_ok"), F.count_if(F.col("n").isNull()).alias("n_failed"))
+
+
+def disjoint(registry: DataFrame, excluded: DataFrame) -> DataFrame:
+    """One row: how many models are both registered and excluded, and whether none is."""
+    both = registry.select("model_id").intersect(excluded.select("model_id"))
+    return both.agg(F.count("*").alias("n_both"), (F.count("*") == 0).alias("disjoint"))
+
+
+def distinctness(rows: DataFrame, column: str) -> DataFrame:
+    """One row: ``n`` values, ``n_distinct``, and whether all differ; nulls are not counted."""
+    return rows.agg(F.count(column).alias("n"), F.count_distinct(column).alias("n_distinct"), (F.count(column) == F.count_distinct(column)).alias("all_distinct"))
+
+
 def ratio(hits: Column, total: Column) -> Column:
     """hits / total, 0 for an empty total."""
     return F.coalesce(F.try_divide(hits.cast("double"), total.cast("double")), F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -35,6 +35,12 @@ def best_hypothesis(scored: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key).agg(top.alias("t")).select(key, "t.hypothesis", "t.entailment")
 
 
+def ranked_hypotheses(scored: DataFrame, key: str) -> DataFrame:
+    """``scored`` with ``rank`` from 0: each premise's hypotheses by falling entailment, equals in their order."""
+    order = Window.partitionBy(key).orderBy(F.desc("entailment"), "hyp_pos")
+    return scored.withColumn("rank", F.row_number().over(order) - 1)
+
+
 def first_keyword(texts: DataFrame, keywords: list[tuple[str, str]], text: str = "text") -> Column:
     """The hypothesis of the first keyword that the lower-cased text holds, else null."""
     return F.coalesce(*[F.when(F.contains(F.lower(F.col(text)), F.lit(k.lower())), F.lit(h)) for k, h in keywords])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.functions import vectors as V
 from textloom.operators.numbering import cut
 
@@ -27,27 +28,36 @@ def ranked(scored: DataFrame, group: str, id_col: str, k: int | None = None) ->
     return out if k is None else out.filter(F.col("rank") < k)
 
 
+def reranked(units: DataFrame, group: str, id_col: str, logit: Column, k: int | None = None, diversify: float = 0.0) -> DataFrame:
+    """``ranked`` by the score of a pair scorer, sigmoid(logit). There are no vectors here, so ``diversify`` changes nothing."""
+    if not 0 <= diversify <= 1:
+        raise ValueError("diversify is from 0 to 1")
+    return ranked(units.withColumn("score", T.sigmoid(logit)), group, id_col, k)
+
+
 def mmr(scored: DataFrame, group: str, id_col: str, k: int, diversify: float, vec: str = "embedding") -> DataFrame:
     """The first ``k`` picks of each group by maximal marginal relevance, with ``rank``; ``score`` stays the raw one.
 
     The first pick has the highest score; each later one the highest (1 - d) * score - d * (greatest cosine to a pick),
-    ties to the lowest id. Every round is one combined maximum per group and one pass that carries each row's greatest
-    cosine on, so groups of any size stay spread out.
+    ties to the lowest id. The rows are kept once; every round is one combined maximum per group over them and the
+    picks so far, which alone are carried on, so groups of any size stay spread out.
     """
     if not 0 <= diversify <= 1:
         raise ValueError("diversify is from 0 to 1")
-    rows = scored.select(group, F.col(id_col).alias("id"), "score", V.unit(vec).alias("v"), F.lit(None).cast("double").alias("near"))
+    rows = cut(scored.select(group, F.col(id_col).alias("id"), "score", V.unit(vec).alias("v"))) if k > 1 else scored.select(group, F.col(id_col).alias("id"), "score", V.unit(vec).alias("v"))
     picks = None
     for rank in range(max(0, k)):
-        value: Column = F.col("score") if rank == 0 else (1 - diversify) * F.col("score") - diversify * F.col("near")
+        if picks is None:
+            left, value = rows, F.col("score")
+        else:
+            taken = picks.groupBy(group).agg(F.collect_list(F.struct("id", "v")).alias("picks"))
+            left = rows.join(taken, group).filter(~F.exists("picks", lambda p: p["id"] == F.col("id")))
+            near = F.array_max(F.transform("picks", lambda p: V.dot("v", p["v"])))
+            value = (1 - diversify) * F.col("score") - diversify * near
         # The greatest of (value, -id) with the vector behind it.
-        top = rows.groupBy(group).agg(F.max(F.struct(value.alias("value"), (-F.col("id")).alias("back"), "score", F.col("v").alias("pick"))).alias("t"))
-        top = cut(top.select(group, (-F.col("t.back")).alias("id"), F.col("t.score").alias("score"), F.col("t.pick").alias("pick"), F.lit(rank).alias("rank")))
-        picks = top.drop("pick") if picks is None else picks.unionByName(top.drop("pick"))
-        if rank + 1 < k:
-            last = top.select(group, F.col("id").alias("picked"), "pick")
-            joined = rows.join(last, group).filter(F.col("id") != F.col("picked"))
-            rows = cut(joined.withColumn("near", F.greatest("near", V.dot("v", "pick"))).drop("pick", "picked"))
+        top = left.groupBy(group).agg(F.max(F.struct(value.alias("value"), (-F.col("id")).alias("back"), "score", "v")).alias("t"))
+        top = cut(top.select(group, (-F.col("t.back")).alias("id"), F.col("t.score").alias("score"), F.col("t.v").alias("v"), F.lit(rank).alias("rank")))
+        picks = top if picks is None else picks.unionByName(top)
     if picks is None:
         picks = scored.select(group, F.col(id_col).alias("id"), "score", F.lit(0).alias("rank")).limit(0)
-    return picks.withColumnRenamed("id", id_col)
+    return picks.drop("v").withColumnRenamed("id", id_col)

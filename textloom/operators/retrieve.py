@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
 
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 2048
+#: Query vectors that meet in a task, and index rows that they meet there where there are more of them.
+QUERY_BLOCK, INDEX_SPLIT = 2048, 65_536
 
 
 def scored(index: DataFrame, query: DataFrame, vec_col: str = "embedding", query_col: str = "q") -> DataFrame:
@@ -32,44 +31,64 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.where(length == 0, 1, length)
 
 
-def top_k_batch(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "doc_id", vec_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each row of ``scores`` the places of its ``k`` highest, by falling score and then rising id."""
+    k = min(k, scores.shape[1])
+    if scores.shape[1] > 4 * k:
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        n = int((scores >= least).sum(axis=1).max())  # more than k where the last score is tied
+        near = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    else:
+        near = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    order = np.lexsort((ids[near], -np.take_along_axis(scores, near, 1)), axis=1)[:, :k]
+    return np.take_along_axis(near, order, 1)
+
+
+def top_k_batch(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "doc_id", vec_col: str = "embedding", block: int = QUERY_BLOCK, split: int = INDEX_SPLIT) -> DataFrame:
     """``query_id``, id, ``score`` and ``rank`` (from 0) of the k rows nearest to each query.
 
-    Queries go out in blocks; each task keeps its own k best per query, so only those are shuffled.
+    Up to ``block`` queries are broadcast, and the index stays where it is. More are dealt out in blocks, the index in
+    splits of about ``split`` rows, and every (block, split) is a task of its own. Either way a task keeps its own k
+    best per query, so only those are ranked. Ids are integers; rows and queries without a vector are left out.
     """
+    schema = f"{query_id} bigint, {id_col} bigint, score double"
+    asked = queries.select(F.col(query_id).cast("bigint").alias(query_id), F.col(vec_col).alias("q")).filter("q IS NOT NULL")
+    usable = index.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec_col).alias("v")).filter("v IS NOT NULL")
     if k <= 0:
-        return index.select(F.lit(None).cast("bigint").alias(query_id), F.col(id_col).cast("bigint").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return index.sparkSession.createDataFrame([], f"{schema}, rank int")
+
+    def nearest(q: tuple[np.ndarray, np.ndarray], batches: Iterable[pd.DataFrame]) -> pd.DataFrame:
+        best = pd.DataFrame({query_id: q[0][:0], id_col: np.zeros(0, dtype=np.int64), "score": np.zeros(0)})
+        for b in batches:
+            if len(b) and len(q[0]):
+                scores, rows = q[1] @ _unit(b["v"].to_list()).T, b[id_col].to_numpy()
+                at = best_of(scores, rows, k)
+                found = pd.DataFrame({query_id: np.repeat(q[0], at.shape[1]), id_col: rows[at].ravel(), "score": np.take_along_axis(scores, at, 1).ravel()})
+                both = pd.concat([best, found]) if len(best) else found
+                best = both.sort_values([query_id, "score", id_col], ascending=[True, False, True]).groupby(query_id).head(k)
+        return best
+
+    few = asked.limit(block + 1).collect()
+    if len(few) <= block:
+        sent = index.sparkSession.sparkContext.broadcast((np.array([r[0] for r in few], dtype=np.int64), _unit([r[1] for r in few]) if few else np.zeros((0, 1))))
 
-    def near(sent: object):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            best: list[pd.DataFrame] = []
-            for b in batches:
-                if not len(b):
-                    continue
-                scores = q @ _unit(b[vec_col].to_list()).T
-                rows = b[id_col].to_numpy()
-                order = np.lexsort((np.broadcast_to(rows, scores.shape), -scores), axis=1)[:, :k]
-                found = pd.DataFrame({query_id: np.repeat(ids, order.shape[1]), id_col: rows[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-                joined = pd.concat([*best, found]).sort_values([query_id, "score", id_col], ascending=[True, False, True])
-                best = [joined.groupby(query_id).head(k)]
-            yield from best
-
-        return run
-
-    held = queries.select(query_id, vec_col).filter(F.col(vec_col).isNotNull()).toLocalIterator()
-    parts, rows = [], []
-    for r in held:
-        rows.append(r)
-        if len(rows) == block:
-            parts.append(rows)
-            rows = []
-    parts.append(rows)
-    sc, found = index.sparkSession.sparkContext, []
-    usable = index.select(id_col, vec_col).filter(F.col(vec_col).isNotNull())
-    for rows in parts:
-        sent = sc.broadcast((np.array([r[0] for r in rows], dtype=np.int64), _unit([r[1] for r in rows]) if rows else np.zeros((0, 1))))
-        source = usable if rows else usable.limit(0)
-        found.append(source.mapInPandas(near(sent), f"{query_id} bigint, {id_col} bigint, score double"))
+            yield nearest(sent.value, batches)
+
+        found = usable.mapInPandas(run, schema)
+    else:
+        blocks, splits = -(-asked.count() // block), max(1, -(-usable.count() // split))
+        mine = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = asked.withColumn("block", mine(query_id, blocks, 1)).withColumn("split", all_of(splits))
+        spread = usable.withColumn("split", mine(id_col, splits, 2)).withColumn("block", all_of(blocks))
+
+        def task(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(rows):
+                return pd.DataFrame({query_id: [], id_col: [], "score": []})
+            step = 8192
+            return nearest((asked[query_id].to_numpy(), _unit(asked["q"].to_list())), (rows.iloc[i : i + step] for i in range(0, len(rows), step)))
+
+        found = dealt.groupBy("block", "split").cogroup(spread.groupBy("block", "split")).applyInPandas(task, schema)
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)
+    return found.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)

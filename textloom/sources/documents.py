@@ -17,6 +17,21 @@ def from_texts(texts: DataFrame, text: str = "text", order: list[str] | None = N
     return numbered(texts, order or [text], "doc_id")
 
 
+def from_collection(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", external_id: str | None = None, metadata: str | None = None) -> DataFrame:
+    """``doc_id``, ``text``, ``external_id``, ``metadata`` of a collection; without such columns, null and an empty map."""
+    none = F.create_map().cast("map<string,string>")
+    return rows.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(external_id).cast("string") if external_id else F.lit(None).cast("string")).alias("external_id"),
+        (F.coalesce(F.col(metadata), none) if metadata else none).alias("metadata"),
+    )
+
+
+def external_ids(rows: DataFrame) -> DataFrame:
+    """Candidates with ``external_id`` out of their metadata again, which keeps the rest."""
+    rest = F.map_filter("metadata", lambda k, _: k != "external_id")
+    return rows.withColumn("external_id", F.try_element_at("metadata", F.lit("external_id"))).withColumn("metadata", rest)
+
+
 def _checked(item: Column, parsed: Column) -> Column:
     wrong = F.concat(F.lit("documents need a string or an object with text, not: "), F.substring(item, 1, 200))
     return F.when(parsed["text"].isNotNull(), parsed["text"]).otherwise(F.raise_error(wrong).cast("string"))
@@ -44,9 +59,10 @@ def candidates(items: DataFrame, item: str = "item") -> DataFrame:
     return p.select(_checked(c, F.col("__p")).alias("text"), F.col("__p.doc_id").alias("doc_id"), F.coalesce("__p.score", F.lit(0.0)).alias("score"), metadata.alias("metadata"))
 
 
-def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``id``, ``text`` of JSON lines that have text, content or body; blank lines are skipped."""
+def corpus_lines(spark: SparkSession, path: str, records: int | None = None) -> DataFrame:
+    """``id``, ``text`` of JSON lines that have text, content or body; blank lines are skipped. ``records``: so many at the most."""
     rows = spark.read.schema("id string, text string, content string, body string").json(path)
+    rows = rows if records is None else rows.limit(records)
     return rows.select("id", T.first_text("text", "content", "body").alias("text"))
 
 
