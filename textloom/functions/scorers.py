@@ -145,14 +145,15 @@ def vocab_embed(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
     """``keys``, ``n_tokens``, ``embedding``: the unit mean of the token vectors of each text.
 
     Tokens are lower-cased white-space words; a text without any has a zero vector. A token's vector comes from the
-    token itself, so there is no vocabulary to join: one scan, and one aggregation that adds whole numbers up before
-    the shuffle.
+    token itself, so there is no vocabulary to join. A text's tokens are counted where it is read, so only its distinct
+    ones are dealt out and hashed, once for each text, and whole numbers are added up.
     """
     # Without words the outer explode keeps the row, and no filter on the words is inferred.
     each = texts.select(*keys, F.explode_outer(T.white_space_words(F.lower(F.col(text)))).alias("__token"))
-    digests = each.select(*keys, "__token", *[F.md5(F.concat("__token", F.lit(f":{k}")).cast("binary")).alias(f"__d{k}") for k in range(DIM // 4)])
-    part = lambda j: F.conv(F.substring(f"__d{j // 4}", 8 * (j % 4) + 1, 8), 16, 10).cast("bigint") % 2001 - 1000
-    summed = digests.groupBy(*keys).agg(F.count("__token").alias("n_tokens"), *[F.sum(part(j)).alias(f"__s{j}") for j in range(DIM)])
+    counts = each.groupBy(*keys, "__token").agg(F.count("__token").alias("__n"))
+    digests = [F.md5(F.concat("__token", F.lit(f":{k}")).cast("binary")) for k in range(DIM // 4)]
+    part = lambda j: F.conv(F.substring(digests[j // 4], 8 * (j % 4) + 1, 8), 16, 10).cast("bigint") % 2001 - 1000
+    summed = counts.groupBy(*keys).agg(F.sum("__n").alias("n_tokens"), *[F.sum(part(j) * F.col("__n")).alias(f"__s{j}") for j in range(DIM)])
     total = F.array(*[F.coalesce(F.col(f"__s{j}"), F.lit(0)).cast("double") for j in range(DIM)])
     return summed.select(*keys, "n_tokens", V.unit(total).alias("embedding"))
 
