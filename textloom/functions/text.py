@@ -17,6 +17,16 @@ SENTENCE = r"[^.!?\n]+[.!?]*"
 UNITS = {"paragraph": r"\S(?:.|\n(?!\s*\n))*", "sentence": SENTENCE, "line": r"[^\n]+"}
 
 
+#: Texts that Python answers at once, so that the lists it makes of them stay small.
+TEXTS_BACK = 200
+
+
+def _parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        for at in range(0, len(texts), TEXTS_BACK):
+            yield texts.iloc[at : at + TEXTS_BACK]
+
+
 def words(text: Column | str) -> Column:
     """The words and marks of a text, in order."""
     return F.regexp_extract_all(_c(text), F.lit(f"(?U)({WORD})"), 1)
@@ -65,7 +75,7 @@ def _spans(pattern: str, text: Column) -> Column:
 
     @F.pandas_udf("struct<start:array<int>,end:array<int>,text:array<string>,after:array<string>>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in _parts(batches):
             rows = []
             for t in texts:
                 each = [] if t is None else list(found.finditer(t))
@@ -74,8 +84,10 @@ def _spans(pattern: str, text: Column) -> Column:
                 rows.append((at[:, 0], at[:, 1], [m.group() for m in each], gaps))
             yield pd.DataFrame(rows, columns=["start", "end", "text", "after"])
 
-    s = spans(text)
-    return F.when(text.isNotNull(), F.arrays_zip(*[s[x].alias(x) for x in ("start", "end", "text", "after")]))
+    # Named once and not deterministic by declaration: else a filter on the words would run the function a second time.
+    held = F.array(spans.asNondeterministic()(text))
+    zipped = F.transform(held, lambda s: F.arrays_zip(*[s[x].alias(x) for x in ("start", "end", "text", "after")]))
+    return F.when(text.isNotNull(), F.get(zipped, F.lit(0)))
 
 
 def word_spans(text: Column | str) -> Column:
@@ -89,7 +101,7 @@ def spans_of(pattern: str, text: Column | str) -> Column:
 
     @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
     def units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in _parts(batches):
             rows = []
             for t in texts:
                 each = []

@@ -18,19 +18,20 @@ def word_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def enumerate_spans(docs: DataFrame, key: str, max_width: int = 12, text: str = "text") -> DataFrame:
     """Every run of up to ``max_width`` words: ``key``, ``word``, ``width`` (0: one word), ``start``, ``end``, ``text``.
 
-    Words stay an array, so runs need no join and no shuffle.
+    Words stay an array, so runs need no join and no shuffle; each word goes on with the ``max_width`` words from it
+    alone, so a long text makes no rows as long as itself.
     """
     if max_width < 1:
         raise ValueError("max_width is 1 at least")
-    words = docs.select(key, T.word_spans(text).alias("w")).filter(F.size("w") > 0)
-    starts = words.withColumn("word", F.explode(F.sequence(F.lit(0), F.size("w") - 1)))
-    widths = F.explode(F.sequence(F.lit(0), F.least(F.lit(max_width), F.size("w") - F.col("word")) - 1))
-    start, end = F.element_at("w", F.col("word") + 1)["start"], F.element_at("w", F.col("word") + F.col("width") + 1)["end"]
+    words = docs.select(key, T.word_spans(text).alias("w"))
+    near = F.transform("w", lambda x, i: F.struct(i.alias("word"), F.slice("w", i + 1, max_width).alias("near")))
+    starts = words.select(key, F.explode_outer(near).alias("s")).filter(F.col("s").isNotNull()).select(key, "s.*")
+    each = starts.withColumn("width", F.explode(F.sequence(F.lit(0), F.size("near") - 1)))
+    first, last = F.get("near", F.lit(0)), F.get("near", F.col("width"))
     # Joined from the words: cutting each span out of the whole text would read the text once per span.
-    before = F.transform(F.slice("w", F.col("word") + 1, F.col("width")), lambda x: F.concat(x["text"], x["after"]))
-    whole = F.concat(F.array_join(before, ""), F.element_at("w", F.col("word") + F.col("width") + 1)["text"])
-    out = starts.withColumn("width", widths)
-    return out.select(key, "word", "width", start.alias("start"), end.alias("end"), whole.alias("text"))
+    before = F.transform(F.slice("near", F.lit(1), F.col("width")), lambda x: F.concat(x["text"], x["after"]))
+    whole = F.concat(F.array_join(before, ""), last["text"])
+    return each.select(key, "word", "width", first["start"].alias("start"), last["end"].alias("end"), whole.alias("text"))
 
 
 def label_spans(spans: DataFrame, labels: list[str], logit: Callable[[Column, Column], Column], threshold: float = 0.5) -> DataFrame:
