@@ -33,6 +33,15 @@ def sample_below(limit: int, n: int) -> int:
     return min((limit << 64) // max(1, n), (1 << 64) - 1) - (1 << 63)
 
 
+#: Rows up to which a table is broadcast; a larger one is joined by a shuffle.
+FEW = 1_000_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``; the table, which is small or kept, is broadcast only if it has at most ``FEW`` rows."""
+    return rows.join(F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table, keys, how)
+
+
 def add_columns(df: DataFrame, inputs: list[str | Column], fields: list[tuple[str, str]], make: Callable[[], Callable[..., pd.DataFrame]]) -> DataFrame:
     """``df`` with the columns ``fields`` (name, type) that Python computes from ``inputs``.
 

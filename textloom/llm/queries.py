@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, embedding_dedup, language, licenses, pieces, quality, sharding, simhash, token_counts
+from textloom.llm import chat, decontaminate, divergence, embedding_dedup, language, licenses, pieces, prefix_trie, quality, sharding, simhash, token_counts
 from textloom.llm.common import table
 
 SHARDS = 40
@@ -65,9 +65,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language and their telling terms; nulls are empty strings, ties go by item."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of rebuilt conversations; nulls are empty strings, a null turn comes first, no rows give no nodes."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": chat.DIGEST_SQL, "op7_decontamination": decontaminate.DIGEST_SQL}
+    return {"op6_chat_formatting": chat.DIGEST_SQL, "op7_decontamination": decontaminate.DIGEST_SQL, "op12_source_divergence": divergence.AUDIT_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}
