@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, divergence, embedding_dedup, language, licenses, pieces, prefix_trie, quality, sharding, simhash, token_counts
+from textloom.llm import chat, decontaminate, divergence, embedding_dedup, language, licenses, neural_lm, pieces, prefix_trie, quality, sharding, simhash, token_counts
 from textloom.llm.common import table
 
 SHARDS = 40
@@ -65,6 +65,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and network scores of every document; null texts are empty, repeated rows count each, no rows give none."""
+    return neural_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of the sources of each language and their telling terms; nulls are empty strings, ties go by item."""
     return divergence.audit(table(spark, sf_dir, "documents"))
