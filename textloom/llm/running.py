@@ -66,7 +66,7 @@ def running_sums(rows: DataFrame, key: str, sums: dict[str, str], last: str | No
     after: dict[int, int] = {}
     at: tuple[int, np.ndarray] | None = None
     parts = sorted(found, key=lambda r: r.part)
-    for r, follower in zip(parts, [*parts[1:], None], strict=True):
+    for r, follower in zip(parts, [*parts[1:], *([None] if parts else [])], strict=True):
         held = np.array(r["held"], dtype=np.int64)
         if at is not None and at[0] == r["first"]:
             before[r.part] = at
