@@ -44,6 +44,30 @@ def test_against_brute_force_in_any_block_size(spark, monkeypatch):
         assert all(got[i].kept == (root[i] == i) for i in range(len(x)))
 
 
+def test_the_same_links_whatever_the_size_of_a_group(spark, monkeypatch):
+    """At so few tables many close pairs share no bucket; the same ones count on both sides of the limit."""
+    rng = np.random.default_rng(8)
+    hub = rng.standard_normal(16)
+    x = [hub + rng.standard_normal(16) * 0.09 for _ in range(300)]
+    df = spark.createDataFrame([(i, v.tolist(), "", None) for i, v in enumerate(x)], SCHEMA)
+    got = []
+    for block, whole, few in ((1024, 8192, 10**6), (64, 8192, 10**6), (64, 50, 0)):
+        monkeypatch.setattr(E.link, "__defaults__", (whole,))
+        monkeypatch.setattr("textloom.llm.common.FEW", few)
+        got.append(sorted(map(tuple, E.near_duplicates(df, tables=2, signs=12, block=block).collect())))
+    assert got[0] == got[1] == got[2]
+    every, found = int(brute(np.array(x))[0].sum()), sum(r[1] for r in got[0])
+    assert 0.2 * every < found < 0.999 * every
+
+
+def test_a_task_of_one_side_counts_nothing():
+    x, one = np.ones((2, 3)), np.ones(2, dtype=np.int64)
+    nodes, sigs = np.arange(2), np.zeros((2, 4), dtype=np.int32)
+    assert E.block_links(x, one, nodes, sigs, np.zeros(2, dtype=np.int64), -1, 0.9)[0].tolist() == [0, 0]
+    assert E.block_links(x, one, nodes, sigs, None, -1, 0.9)[0].tolist() == [1, 1]
+    assert E.block_links(x, one, nodes, sigs, None, 1, 0.9)[0].tolist() == [0, 0]
+
+
 def test_unsound_vectors_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0])]

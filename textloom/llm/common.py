@@ -33,13 +33,27 @@ def sample_below(limit: int, n: int) -> int:
     return min((limit << 64) // max(1, n), (1 << 64) - 1) - (1 << 63)
 
 
-#: Rows up to which a table is broadcast; a larger one is joined by a shuffle.
-FEW = 1_000_000
+#: Rows up to which a table is broadcast; rows that share a key from which it is looked up apart from the others.
+FEW, MANY = 1_000_000, 200_000
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table`` on ``keys``; the table, which is small or kept, is broadcast only if it has at most ``FEW`` rows."""
-    return rows.join(F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table, keys, how)
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", plain: bool = False) -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``, both small or kept.
+
+    A table of at most ``FEW`` rows is broadcast. A larger one is joined by a shuffle, but for the keys that over
+    ``MANY`` of ``rows`` share, of which there are at most a ``MANY``-th as many as rows; their part of the table is broadcast.
+    ``plain``: no key has many rows, so that is not looked for.
+    """
+    if table.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(table), keys, how)
+    if plain:
+        return rows.join(table, keys, how)
+    hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > MANY).drop("__n"))
+    if hot.limit(FEW + 1).count() > FEW or hot.isEmpty():
+        return rows.join(table, keys, how)
+    part = table.join(F.broadcast(hot), keys, "left_semi")
+    apart = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(part), keys, how)
+    return rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how).unionByName(apart)
 
 
 def add_columns(df: DataFrame, inputs: list[str | Column], fields: list[tuple[str, str]], make: Callable[[], Callable[..., pd.DataFrame]]) -> DataFrame:

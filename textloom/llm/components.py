@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, looked_up
 
 
 def flat(pointers: DataFrame) -> DataFrame:
     """``pointers`` (``node`` to a smaller ``to``) followed to the end, by doubling."""
     while True:
         up = pointers.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        looked = cut(pointers.join(up, "to", "left"))
+        # The members of a star point to one node.
+        looked = cut(looked_up(pointers, up, ["to"], "left"))
         pointers = looked.select("node", F.coalesce("up", "to").alias("to"))
         if looked.filter("up IS NOT NULL").isEmpty():
             return pointers

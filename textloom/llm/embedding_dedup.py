@@ -3,15 +3,16 @@
 Each table hashes a vector to the signs of its products with random hyperplanes. Vectors that share a bucket in any
 table and whose sketches (``SKETCH`` more signs) differ in few enough bits are candidates; a pair at the threshold
 passes but for five standard deviations. Buckets hold ids and sketches only. Candidates that reach each other form a
-group, a vector goes once to its group, and every pair of a group is compared by cosine in double precision, so no link
-below the threshold is made. A pair at cosine 0.9 shares a bucket with probability 0.98 (44 tables of 16 signs), a
+group, and of a group the pairs that share a bucket are compared by cosine in double precision, so no link below the
+threshold is made. A pair at cosine 0.9 shares a bucket with probability 0.98 (44 tables of 16 signs), a
 closer pair with a higher one; that probability depends on the tables and signs and not on the number of vectors. A
 bucket holds about one vector in 2 ** ``signs``: far more than 100 million vectors want more signs in more tables.
 
 Equal vectors are one point with a weight. Full buckets and groups are dealt out in blocks, each pair of blocks a task
 of its own, so no task gathers a whole one; a task gives each point's number of links and one edge to the smallest
-point of its local component, never the pairs. A group of over ``WHOLE`` points, which chains of candidates may hold
-together, is compared bucket by bucket instead; a pair that shares several buckets counts in the first.
+point of its local component, never the pairs. A vector goes once to its group; where a group has over ``WHOLE`` points,
+which chains of candidates may hold together, it goes to its buckets instead, and a pair that shares several counts in
+the first. Either way the same pairs are links.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows without an id link with nothing:
 0 links, their own id as component. Vectors of different lengths never link. Rows with one id are one node.
@@ -26,15 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import add_columns, cut
+from textloom.llm.common import add_columns, cut, looked_up
 from textloom.llm.components import connected_components
 
 TABLES, SIGNS, BLOCK, SEED = 44, 16, 1024, 20240229
 SKETCH, WHOLE = 128, 8192
 #: Sketches that a block holds for each vector of one, and the share of points that full buckets are told by.
 SMALLER, SAMPLED = 4, 64
-#: Rows up to which a table of full buckets or large groups is broadcast; beyond, it is joined by shuffle.
-FEW = 1_000_000
 
 
 def planes(dim: int, n: int, seed: int) -> np.ndarray:
@@ -97,17 +96,28 @@ def alike(task: np.ndarray, sketches: np.ndarray, most: int) -> np.ndarray:
     return root
 
 
-def block_links(x: np.ndarray, weights: np.ndarray, nodes: np.ndarray, sigs: np.ndarray | None, side: np.ndarray, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each point to points of the other block (within, where there is one), and its local component's node."""
+def block_links(x: np.ndarray, weights: np.ndarray, nodes: np.ndarray, sigs: np.ndarray, side: np.ndarray | None, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each point to points of the other ``side`` (None: there is but one), and its local component's node.
+
+    Points link that share a bucket. With a ``table`` from 0 on they share that one's, and links that share one before are not counted.
+    """
     lengths = np.sqrt((x * x).sum(axis=1))
     close = (x @ x.T) / np.outer(lengths, lengths) >= threshold
     np.fill_diagonal(close, False)
-    if side.min() != side.max():
+    if side is not None:
         close &= side[:, None] != side[None, :]
     i, j = np.nonzero(close)
-    new = np.ones(len(i), dtype=bool)
-    for t in range(table):
-        new &= sigs[i, t] != sigs[j, t]
+    # Places of pairs for which no shared bucket has been found yet.
+    left = np.arange(len(i))
+    for t in range(table if table >= 0 else sigs.shape[1]):
+        left = left[sigs[i[left], t] != sigs[j[left], t]]
+        if not len(left):
+            break
+    new = np.zeros(len(i), dtype=bool)
+    new[left] = True
+    if table < 0:
+        i, j = i[~new], j[~new]
+        new = np.ones(len(i), dtype=bool)
     links = np.bincount(i[new], weights=weights[j[new]], minlength=len(x)).astype(np.int64)
     root = nodes.copy()
     while len(i):
@@ -119,12 +129,6 @@ def block_links(x: np.ndarray, weights: np.ndarray, nodes: np.ndarray, sigs: np.
     return links, root
 
 
-def with_large(rows: DataFrame, large: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``large``, one row per key, or null; broadcast only if it has few rows."""
-    large = cut(large)
-    return rows.join(F.broadcast(large) if large.limit(FEW + 1).count() <= FEW else large, key, "left")
-
-
 def dealt(rows: DataFrame, group: str, blocks: str = "blocks") -> DataFrame:
     """``rows`` with ``task``, ``own`` and ``within``, a row for each task: every pair of a group's ``blocks``, and every one alone."""
     own = F.pmod(F.xxhash64("node"), F.coalesce(blocks, F.lit(1))).cast("int")
@@ -138,7 +142,7 @@ def candidates(signed: DataFrame, threshold: float, block: int) -> DataFrame:
     counted = signed.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SAMPLED)) == 0).groupBy("bucket").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") * SAMPLED / (block * SMALLER)).cast("int")
     full = counted.select("bucket", blocks.alias("blocks")).filter("blocks > 1")
-    tasks = dealt(with_large(signed, full, "bucket"), "bucket").select("task", "node", F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"))
+    tasks = dealt(looked_up(signed, cut(full), ["bucket"], "left"), "bucket").select("task", "node", F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"))
     most = differing(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,27 +171,24 @@ def link(points: DataFrame, threshold: float, tables: int, signs: int, seed: int
     each = signed.select("node", "dim", "sketch", F.posexplode("sigs").alias("table", "sig"))
     each = each.select("node", "table", "sketch", F.xxhash64("table", "sig", "dim").alias("bucket"))
     reached = connected_components(candidates(each, threshold, block))
-    sizes = reached.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    placed = cut(with_large(reached, sizes, "root"))
+    sizes = cut(reached.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > block))
+    placed = cut(looked_up(reached, sizes, ["root"], "left"))
     blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
     small = placed.filter(F.coalesce("n", F.lit(0)) <= whole).select("node", F.xxhash64(F.lit(0), "root").alias("grp"), F.lit(-1).alias("table"), blocks)
-    wide = each.join(placed.filter(F.col("n") > whole).select("node"), "node", "left_semi").select("node", F.col("bucket").alias("grp"), "table")
+    wide = each.join(placed.filter(F.col("n") > whole).select("node", "root"), "node").select("node", F.xxhash64("bucket", "root").alias("grp"), "table")
     counts = wide.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("grp", blocks)
-    tasks = dealt(small.unionByName(with_large(wide, counts, "grp").select(small.columns)), "grp")
-    # Buckets are looked at again for points of wide groups only.
+    tasks = dealt(small.unionByName(looked_up(wide, cut(counts), ["grp"], "left").select(small.columns)), "grp")
     held = points.join(signed.select("node", "sigs"), "node").select("node", "weight", "vec", "sigs")
-    paired = tasks.join(held, "node").withColumn("sigs", F.when(F.col("table") >= 0, F.col("sigs")))
+    paired = tasks.join(held, "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in grouped(batches, "task"):
             if len(group) < 2:
                 continue
-            within = group["within"].to_numpy()
-            side = np.zeros(len(group), dtype=np.int64) if within.all() else group["own"].to_numpy()
+            side = None if group["within"].iloc[0] else group["own"].to_numpy()
             nodes, table = group["node"].to_numpy(), int(group["table"].iloc[0])
             x = np.stack([np.asarray(v, dtype=np.float64) for v in group["vec"]])
-            sigs = np.stack(group["sigs"].to_list()) if table > 0 else None
-            links, root = block_links(x, group["weight"].to_numpy(), nodes, sigs, side, table, threshold)
+            links, root = block_links(x, group["weight"].to_numpy(), nodes, np.stack(group["sigs"].to_list()), side, table, threshold)
             out = pd.DataFrame({"node": nodes, "links": links, "root": root})
             yield out[(links > 0) | (root != nodes)]
 
@@ -228,10 +229,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embe
     held = marked.filter("sound").join(twins, "id", "left_semi").select("id", "vec").distinct().join(points.select("vec", "node"), "vec").select("id", "node")
     same_id = held.join(held.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(same_id))
-    placed = points.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("id").alias("least"))
-    named = cut(placed.join(least, "root").select(F.col("vec").alias("point"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "least"))
-    out = marked.join(named, F.col("sound") & (F.col("vec") == F.col("point")), "left")
+    # Vectors stay where they are; components go by numbers and ids.
+    placed = cut(roots.join(points.select("node", "id"), "node"))
+    least = cut(placed.groupBy("root").agg(F.min("id").alias("least")))
+    component = looked_up(placed.select("node", "root"), least, ["root"]).select("node", "least")
+    numbers = links.join(component, "node", "full")
+    named = points.join(numbers, "node", "left").select(
+        F.col("vec").alias("point"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("least", "id").alias("least"))
+    out = marked.join(cut(named), F.col("sound") & (F.col("vec") == F.col("point")), "left")
     component = F.coalesce(F.col("least"), F.col("id"))
     return out.select(
         F.col("id").alias(vec_id), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"),

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import add_columns, cut
 from textloom.llm.components import connected_components
-from textloom.llm.jaccard import keep_one as keep_one
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
