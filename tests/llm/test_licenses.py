@@ -122,7 +122,10 @@ def test_pieces_of_the_search():
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
         need = rng.randint(1, len(b))
         want = next((n for n in range(1, len(a) + 1) if lcs(a[:n], b) >= need), -1)
-        assert L.reach(a, b, need) == want
+        marks = [L.masks_of(b).get(w, 0) for w in a]
+        assert L.reach(marks, 0, len(a), 1, len(b), need) == want
+        turned = [L.masks_of(b[::-1]).get(w, 0) for w in a]
+        assert L.reach(turned, len(a) - 1, -1, -1, len(b), need) == next((n for n in range(1, len(a) + 1) if lcs(a[::-1][:n], b[::-1]) >= need), -1)
     assert L.trimmed([(0, 0), (9, 1), (10, 2), (11, 3), (12, 4), (30, 5), (60, 6)], 2) == [(9, 1), (10, 2), (11, 3), (12, 4)]
     assert len(L.trimmed([(0, 0), (9, 1), (99, 2)], 2)) == 2
 
@@ -142,3 +145,18 @@ def test_repeats_and_long_texts_take_linear_time():
     began = time.time()
     assert scanner.scan("the of software to in " * 200_000 + "Released under the MIT License.")[-1][:2] == ("mit-notice", 1.0)
     assert max(*took, time.time() - began) < 20
+
+
+def seconds(scanner, text):
+    began = time.process_time()
+    scanner.scan(text)
+    return time.process_time() - began
+
+
+def test_time_grows_as_the_text():
+    """Repeated notices, and random words of all templates, in which every template stands in order again and again."""
+    scanner, rng = L.Scanner(L.TEMPLATES, 0.8), random.Random(1)
+    soup = rng.choices([w for t in scanner.templates.values() for w in t], k=80_000)
+    for made in (lambda n: "Released under the MIT License.\n" * (n // 4), lambda n: " ".join(soup[:n])):
+        took = [min(seconds(scanner, made(n)) for _ in range(2)) for n in (20_000, 40_000)]
+        assert took[1] < 3.2 * took[0] + 0.2 and took[0] < 8

@@ -79,3 +79,12 @@ def test_long_runs_of_any_character(spark, monkeypatch):
     texts = [f"{c * 1_000_000}x" for c in " \t\na^\u3000"] + [" " * 1_000_000]
     rows = T.count_tokens(spark.createDataFrame([(t,) for t in texts], "text string"), RANKS).select("n_tokens", "section_tokens", "text").collect()
     assert len(rows) == len(texts) and all(r.n_tokens == sum(r.section_tokens) > 1000 for r in rows)
+
+
+def test_null_sections(spark):
+    schema = "doc_id long, text string, parts array<struct<start:int,end:int>>"
+    rows = [(1, "one two three", [(0, 3), None, (None, 9), (4, None), (4, 13)]), (2, "one", None), (3, None, [None]), (4, "", [])]
+    got = {r.doc_id: r for r in T.count_tokens(spark.createDataFrame(rows, schema), RANKS, sections="parts").collect()}
+    assert len(got[1].section_tokens) == 5 and list(got[1].section_tokens)[1:4] == [0, 0, 0]
+    assert got[1].outside + sum(got[1].section_tokens) == got[1].n_tokens > 2
+    assert (got[2].outside, list(got[2].section_tokens)) == (got[2].n_tokens, []) and (got[3].n_tokens, list(got[3].section_tokens)) == (0, [0])

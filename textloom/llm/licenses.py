@@ -11,8 +11,8 @@ aligned, so close occurrences are found however often a license is repeated in a
 insertions of any length are found by the shortest spans of template words that reach the coverage; what such a span
 lacks at its ends is aligned with the text up to the spans before and behind it. Of all these, the match that has most
 template words less those that it lacks takes its words, then the next one whose words are left, and so on; ties go to
-the shorter span, the earlier start and the first template name. The words that are left are searched again until
-nothing is found. Matches share no word, but one may stand in an insertion of another.
+the shorter span, the earlier start and the first template name. A match whose words are taken is looked for again
+between its neighbours, and the words that are left are searched again until nothing is found. Matches share no word, but one may stand in an insertion of another.
 
 Up to ``STRAY`` matched words at an end that more than ``STRAY`` inserted words set apart are left off as chance, again
 and again, as long as the coverage holds; a match of every template word stays whole. Templates of which too few words occur anywhere in the text are not tried.
@@ -27,7 +27,8 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from heapq import heapify, heappop, heappush
+from itertools import count as count_from
 from math import ceil
 
 import numpy as np
@@ -119,11 +120,17 @@ def longest(a: list[str], b: list[str], late: bool = False) -> list[tuple[int, i
     return out[::-1]
 
 
+def masks_of(template: list[str]) -> dict[str, int]:
+    """For each word of ``template`` the bits of its places."""
+    masks: dict[str, int] = {}
+    for j, w in enumerate(template):
+        masks[w] = masks.get(w, 0) | 1 << j
+    return masks
+
+
 def steps(words: Iterable[str], template: list[str]) -> Iterator[int]:
     """After each word, the row of the common subsequence table, whose clear bits are its steps."""
-    masks: dict[str, int] = defaultdict(int)
-    for j, w in enumerate(template):
-        masks[w] |= 1 << j
+    masks = masks_of(template)
     row = full = (1 << len(template)) - 1
     for w in words:
         hit = row & masks.get(w, 0)
@@ -131,12 +138,22 @@ def steps(words: Iterable[str], template: list[str]) -> Iterator[int]:
         yield row
 
 
-def reach(words: Iterable[str], template: list[str], need: int) -> int:
-    """How many of ``words`` hold ``need`` words of ``template`` in order, the fewest; -1 if all of them do not."""
-    for n, row in enumerate(steps(words, template), 1):
-        if len(template) - row.bit_count() >= need:
+def reach(marks: list[int], begin: int, stop: int, step: int, size: int, need: int) -> int:
+    """How many of ``marks[begin:stop:step]``, the words' places in a template of ``size`` words, hold ``need`` of it in order, the fewest; -1 if all do not."""
+    row = full = (1 << size) - 1
+    n, lacking = 0, need
+    while True:
+        # A word brings a step at the most, so as many as are lacking go without a count.
+        last = begin + step * (n + lacking)
+        if (last > stop) if step > 0 else (last < stop):
+            return -1
+        for x in marks[begin + step * n : last : step] if last >= 0 else marks[begin + step * n :: step]:
+            hit = row & x
+            row = ((row + hit) | (row - hit)) & full
+        n += lacking
+        lacking = need - size + row.bit_count()
+        if lacking <= 0:
             return n
-    return -1
 
 
 @dataclass
@@ -172,6 +189,7 @@ class Scanner:
         self.templates = {n: w for n, t in sorted(templates.items()) if (w := WORD.findall(t.lower()))}
         self.counts = {n: Counter(t) for n, t in self.templates.items()}
         self.words = {n: frozenset(t) for n, t in self.templates.items()}
+        self.masks = {n: masks_of(t) for n, t in self.templates.items()}
 
     def need(self, template: list[str]) -> int:
         return ceil(self.coverage * len(template) - 1e-9)
@@ -193,39 +211,63 @@ class Scanner:
                 places[w].append(i)
         free = bytearray(b"\x01") * len(words)
         kept: list[Match] = []
-        found = [m for n, t in near.items() for m in self.close(n, t, words, places)]
-        while True:
-            found += [m for n, t in near.items() for m in self.scattered(n, t, words, places, free)]
+        own_places = {n: sorted(i for w in self.words[n] for i in places[w]) for n in near}
+        found = [m for n, t in near.items() for m in self.close(n, t, words, places, own_places[n])]
+        order = lambda m: (m.size - 2 * len(m.pairs), m.end - m.start, m.start, m.name, m.whole is None)
+        count = count_from(0)
+        waiting = [(order(m), next(count), m, 0, 0) for m in found]
+
+        def search(name: str, begin: int, stop: int) -> bool:
+            """Let what stands among the free words of a stretch wait for its turn, each match with the stretch between its neighbours."""
+            own, t = own_places[name], near[name]
+            at = [i for i in own[bisect_left(own, begin) : bisect_left(own, stop)] if free[i]]
+            left = Counter([words[i] for i in at])
+            if sum(min(k, left[w]) for w, k in self.counts[name].items()) < self.need(t):
+                return False
+            more = self.scattered(name, t, words, at)
+            for k, m in enumerate(more):
+                heappush(waiting, (order(m), next(count), m, more[k - 1].end if k else begin, more[k + 1].start if k + 1 < len(more) else stop))
+            return bool(more)
+
+        heapify(waiting)
+        tried = set(near)
+        while tried or waiting:
+            # Words only go, so a template that finds nothing in all of them finds nothing later.
+            tried = {n for n in tried if search(n, 0, len(words))}
             taken = []
-            for m in sorted(found, key=lambda m: (m.size - 2 * len(m.pairs), m.end - m.start, m.start, m.name, m.whole is None)):
+            while waiting:
+                _, _, m, begin, stop = heappop(waiting)
                 if all(free[i] for i, _ in m.pairs):
                     taken.append(m)
                     for i, _ in m.pairs:
                         free[i] = 0
+                elif stop:
+                    search(m.name, begin, stop)
             for m in taken:
                 own = {i for i, _ in m.pairs}
                 if m.whole and all(free[i] or i in own for i, _ in m.whole):
                     m.pairs = m.whole
                     for i, _ in m.pairs:
                         free[i] = 0
-            if not taken:
-                break
-            kept, found = kept + taken, []
+            kept += taken
         at = spans(text, lower) if kept else []
         return [(m.name, m.coverage, at[m.start][0], at[m.end - 1][1]) for m in sorted(kept, key=lambda m: (m.start, m.end, m.name))]
 
-    def close(self, name: str, template: list[str], words: list[str], places: dict[str, list[int]]) -> list[Match]:
-        """Close occurrences: windows around the seeds."""
+    def close(self, name: str, template: list[str], words: list[str], places: dict[str, list[int]], own: list[int]) -> list[Match]:
+        """Close occurrences: windows around the seeds, of which only those are aligned whose common subsequence is long enough."""
         m, need = len(template), self.need(template)
         slack = max(4, m // 4)
         seeds = sorted(range(m), key=lambda j: (len(places[template[j]]), j))[: int((1 - self.coverage) * m + 1e-9) + 1]
         out: dict[tuple[int, int, int], Match] = {}
+        marks = [self.masks[name][words[i]] for i in own]
         whole: list[int] = []  # where the template stands word for word
         for j in seeds:
             for p in places[template[j]]:
                 at = bisect_right(whole, p) - 1
                 if at >= 0 and p < whole[at] + m:
                     continue
+                if reach(marks, bisect_left(own, p - j - slack), bisect_left(own, p + m - j + slack), 1, m, need) < 0:
+                    continue
                 left = align(words, template, max(0, p - j - slack), p, 0, j)
                 right = align(words, template, p + 1, min(len(words), p + m - j + slack), j + 1, m)
                 if len(left) + 1 + len(right) >= need:
@@ -235,15 +277,18 @@ class Scanner:
                         insort(whole, found.start)
         return list(out.values())
 
-    def scattered(self, name: str, template: list[str], words: list[str], places: dict[str, list[int]], free: bytearray) -> list[Match]:
-        """Occurrences with any insertions among the ``free`` words, none of which share a word."""
+    def scattered(self, name: str, template: list[str], words: list[str], at: list[int]) -> list[Match]:
+        """Occurrences with any insertions among the words ``at`` these places, none of which share a word."""
         m, need = len(template), self.need(template)
-        at = sorted(i for w in set(template) for i in places[w] if free[i])
-        here, backward = [words[i] for i in at], template[::-1]
+        here, masks = [words[i] for i in at], self.masks[name]
+        forward = [masks[w] for w in here]
+        # The same places counted from the template's end.
+        turned = {w: int(f"{x:0{m}b}"[::-1], 2) for w, x in masks.items()}
+        backward = [turned[w] for w in here]
         begin, found, out = 0, [], []
-        while (n := reach(islice(here, begin, None), template, need)) > 0:
+        while (n := reach(forward, begin, len(at), 1, m, need)) > 0:
             end = begin + n
-            found.append((end - reach((here[k] for k in range(end - 1, begin - 1, -1)), backward, need), end))
+            found.append((end - reach(backward, end - 1, begin - 1, -1, m, need), end))
             begin = end
         last = 0
         for k, (begin, end) in enumerate(found):

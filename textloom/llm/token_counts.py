@@ -108,8 +108,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def count_tokens(docs: DataFrame, ranks_file: str, text: str = "text", sections: str | None = None, rule: str = "most") -> DataFrame:
     """``docs`` with ``n_tokens``, ``n_crossing``, ``outside`` and ``section_tokens`` (in the order of the sections).
 
-    ``sections`` names an ``array<struct<start, end>>`` column; without one, a document's lines are its sections. Null
-    sections are none. The rank file is read on the driver and broadcast; its size is that of the vocabulary. Columns
+    ``sections`` names an ``array<struct<start, end>>`` column; without one, a document's lines are its sections. A null
+    column has no sections; a section that is null, or whose start or end is, is empty and keeps its place in the list.
+    Repeated rows count each, an empty table gives no rows. The rank file is read on the driver and broadcast; its size is that of the vocabulary. Columns
     with the new names are replaced.
     """
     if rule not in RULES:
@@ -123,11 +124,15 @@ def count_tokens(docs: DataFrame, ranks_file: str, text: str = "text", sections:
             starts, ends, n = tokenizer.spans(text or "")
             return (len(starts), *allocate(starts, ends, n, spans, rule))
 
+        def span(s: dict | None) -> tuple[int, int]:
+            ends = (0, 0) if s is None else (s["start"], s["end"])
+            return (0, 0) if pd.isna(ends[0]) or pd.isna(ends[1]) else (int(ends[0]), int(ends[1]))
+
         def step(texts: pd.Series, given: pd.Series | None = None) -> pd.DataFrame:
             if given is None:
                 rows = [row(t, lines(t or "")) for t in texts]
             else:
-                rows = [row(t, [] if g is None else [(int(s["start"]), int(s["end"])) for s in g]) for t, g in zip(texts, given, strict=True)]
+                rows = [row(t, [] if g is None else list(map(span, g))) for t, g in zip(texts, given, strict=True)]
             return pd.DataFrame(rows, columns=[n for n, _ in FIELDS])
 
         return step
