@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,51 +71,76 @@ def first_text(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit(""))
 
 
-def _spans(pattern: str, text: Column) -> Column:
-    found = regex.compile(pattern)
+_WORDS = regex.compile(WORD.replace(r"\w", r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]"))
+_ASCII_WORDS = re.compile(WORD, re.ASCII)
+
+
+def offsets_of(text: str | None) -> np.ndarray:
+    """Start and end of every word of ``text``, a row each; for functions that see whole texts in Python."""
+    # In ASCII both patterns find the same, but for four control characters that only one counts as white space.
+    plain = bool(text) and text.isascii() and not _SEPARATORS.search(text)
+    each = [m.span() for m in (_ASCII_WORDS if plain else _WORDS).finditer(text)] if text else []
+    return np.array(each, dtype=np.int32).reshape(-1, 2)
+
+
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+
+
+def word_offsets(text: Column | str) -> Column:
+    """``start`` and ``end`` of every word as two arrays."""
+
+    @F.pandas_udf("struct<start:array<int>,end:array<int>>")
+    def offsets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in _parts(batches):
+            at = [offsets_of(t) for t in texts]
+            yield pd.DataFrame({"start": [x[:, 0] for x in at], "end": [x[:, 1] for x in at]})
+
+    return F.when(_c(text).isNotNull(), offsets(_c(text)))
+
+
+def word_spans(text: Column | str) -> Column:
+    """Every word with its offsets and what stands ``after`` it, up to the next word, in one pass over the text."""
 
     @F.pandas_udf("struct<start:array<int>,end:array<int>,text:array<string>,after:array<string>>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in _parts(batches):
             rows = []
             for t in texts:
-                each = [] if t is None else list(found.finditer(t))
-                at = np.array([m.span() for m in each], dtype=np.int32).reshape(-1, 2)
-                gaps = [t[a:b] for a, b in zip(at[:, 1].tolist(), [*at[1:, 0].tolist(), len(t)], strict=True)] if each else []
-                rows.append((at[:, 0], at[:, 1], [m.group() for m in each], gaps))
+                at = offsets_of(t)
+                starts, ends = at[:, 0].tolist(), at[:, 1].tolist()
+                own = [t[a:b] for a, b in zip(starts, ends, strict=True)]
+                gaps = [t[a:b] for a, b in zip(ends, [*starts[1:], len(t)], strict=True)] if starts else []
+                rows.append((at[:, 0], at[:, 1], own, gaps))
             yield pd.DataFrame(rows, columns=["start", "end", "text", "after"])
 
     # Named once and not deterministic by declaration: else a filter on the words would run the function a second time.
-    held = F.array(spans.asNondeterministic()(text))
+    held = F.array(spans.asNondeterministic()(_c(text)))
     zipped = F.transform(held, lambda s: F.arrays_zip(*[s[x].alias(x) for x in ("start", "end", "text", "after")]))
-    return F.when(text.isNotNull(), F.get(zipped, F.lit(0)))
-
-
-def word_spans(text: Column | str) -> Column:
-    """Every word with its offsets and what stands ``after`` it, up to the next word, in one pass over the text."""
-    return _spans(WORD.replace(r"\w", r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]"), _c(text))
+    return F.when(_c(text).isNotNull(), F.get(zipped, F.lit(0)))
 
 
 def spans_of(pattern: str, text: Column | str) -> Column:
     """``start``, ``end`` and ``text`` of every match of ``pattern`` that is not blank, without white space around it."""
     found = regex.compile(pattern)
 
-    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
-    def units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<start:array<int>,end:array<int>,text:array<string>>")
+    def units(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in _parts(batches):
             rows = []
             for t in texts:
-                each = []
+                starts, own = [], []
                 for m in found.finditer(t or ""):
                     held = m.group()
-                    own = held.strip()
-                    if own:
-                        at = m.start() + len(held) - len(held.lstrip())
-                        each.append({"start": at, "end": at + len(own), "text": own})
-                rows.append(each)
-            yield pd.Series(rows)
-
-    return units(_c(text))
+                    unit = held.strip()
+                    if unit:
+                        starts.append(m.start() + len(held) - len(held.lstrip()))
+                        own.append(unit)
+                at = np.array(starts, dtype=np.int32)
+                rows.append((at, at + np.array([len(x) for x in own], dtype=np.int32), own))
+            yield pd.DataFrame(rows, columns=["start", "end", "text"])
+
+    held = F.array(units.asNondeterministic()(_c(text)))
+    return F.get(F.transform(held, lambda s: F.arrays_zip(*[s[x].alias(x) for x in ("start", "end", "text")])), F.lit(0))
 
 
 def slug(text: Column | str) -> Column:

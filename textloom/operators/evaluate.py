@@ -62,11 +62,9 @@ def least_cosine(rows: DataFrame, reference: DataFrame, key: str, vec: str = "em
     return rows.join(other, key).agg(F.count("*").alias("n"), F.min(V.cosine(vec, "__other")).alias("least"))
 
 
-def entity_totals(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """One row: ``n_docs``, ``n_entities``, ``n_ok`` documents with an entity and ``n_failed`` without."""
-    counts = found.groupBy(key).agg(F.count("*").alias("n"))
-    each = docs.select(key).join(counts, key, "left")
-    return each.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_entities"), F.count_if(F.col("n").isNotNull()).alias("n_ok"), F.count_if(F.col("n").isNull()).alias("n_failed"))
+def entity_totals(counts: DataFrame, n: str = "n") -> DataFrame:
+    """One row: ``n_docs``, ``n_entities``, ``n_ok`` documents with an entity and ``n_failed`` without, of each document's number ``n``."""
+    return counts.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(n), F.lit(0)).alias("n_entities"), F.count_if(F.col(n) > 0).alias("n_ok"), F.count_if(F.coalesce(n, F.lit(0)) == 0).alias("n_failed"))
 
 
 def disjoint(registry: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,9 +239,9 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT doc_id, i, length(w[i]) AS size, sum(length(gaps[i]) + length(w[i])) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM d, unnest(range(1, len(w) + 1)) t(i))
 SELECT doc_id, count(*)::BIGINT AS n_words, sum(stop - size)::BIGINT AS starts, sum(stop)::BIGINT AS ends, max(stop)::BIGINT AS last_end FROM e GROUP BY doc_id""")
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "documents").select("doc_id", T.word_spans("text").alias("w")).filter(F.size("w") > 0)
+    w = table(spark, sf_dir, "documents").select("doc_id", T.word_offsets("text").alias("w")).select("doc_id", "w.*").filter(F.size("start") > 0)
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return w.select("doc_id", F.size("w").cast("bigint").alias("n_words"), total("w.start").alias("starts"), total("w.end").alias("ends"), F.element_at("w.end", -1).cast("bigint").alias("last_end"))
+    return w.select("doc_id", F.size("start").cast("bigint").alias("n_words"), total("start").alias("starts"), total("end").alias("ends"), F.element_at("end", -1).cast("bigint").alias("last_end"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '[^{SPACE}]+'))::BIGINT AS n_tokens FROM documents")
@@ -260,7 +261,9 @@ def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
-@query(f"SELECT count(*)::BIGINT AS n_words, 0::BIGINT AS n_wrong FROM (SELECT unnest(regexp_extract_all(text, '{WORD_SQL}')) FROM documents)")
+@query(f"""WITH d AS (SELECT text, regexp_extract_all(text, '{WORD_SQL}') AS w, string_split(regexp_replace(text, '{WORD_SQL}', chr(1), 'g'), chr(1)) AS gaps FROM documents),
+e AS (SELECT text, w, list_transform(w, lambda x, i: list_sum(list_transform(w[:i], lambda y: length(y))) + list_sum(list_transform(gaps[:i], lambda y: length(y))) - length(x)) AS starts FROM d WHERE len(w) <= 2000)
+SELECT (SELECT sum(len(w)) FROM d)::BIGINT AS n_words, count(*) FILTER (substring(text, starts[i]::BIGINT + 1, length(w[i])) <> w[i])::BIGINT AS n_wrong FROM e, unnest(range(1, len(w) + 1)) t(i)""")
 def offset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "documents").select("text", F.explode(T.word_spans("text")).alias("w"))
     wrong = F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")) != F.col("w.text")
@@ -393,16 +396,28 @@ f AS (SELECT doc_id, word, width, label_pos, [{', '.join(f"'{x}'" for x in LABEL
 NARROW, WIDE = (3, 0.7), (12, 0.5)
 
 
+class SpanLogits:
+    """Stand-in logits: plain arithmetic over document, word, width and label."""
+
+    def span_logits(self, key: int, text: str, words: np.ndarray, first: int, stop: int, max_width: int, labels: list[str]) -> np.ndarray:
+        word, width, label = np.ogrid[first:stop, 0:max_width, 0 : len(labels)]
+        return (key + word * 7 + width * 13 + label * 29) % 41 / 4.0 - 8.7
+
+
+def _entities(spark: SparkSession, sf_dir: str, bounds: tuple[int, float], **rules: bool) -> DataFrame:
+    """The entities of each document: spans of up to so many words with a stand-in score of so much or more."""
+    return spans.extract(table(spark, sf_dir, "documents"), "doc_id", LABELS, SpanLogits, *bounds, **rules)
+
+
 def _found(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
-    """Spans of up to so many words with a stand-in score of so much or more."""
-    logit = lambda s, p: ((F.col("doc_id") + s["word"] * 7 + s["width"] * 13 + p * 29) % 41) / 4.0 - 8.7
-    return spans.label_spans(spans.enumerate_spans(table(spark, sf_dir, "documents"), "doc_id", bounds[0]), LABELS, logit, bounds[1])
+    """All of them, before the walk, a row each."""
+    return _entities(spark, sf_dir, bounds, walk=False).select("doc_id", F.inline("entities"))
 
 
 @query(f"WITH {SPANS_SQL} SELECT doc_id, count(*)::BIGINT AS n_spans, sum(width)::BIGINT AS widths FROM s GROUP BY doc_id")
 def span_enumerate(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
-    each = spans.enumerate_spans(table(spark, sf_dir, "documents"), "doc_id", bounds[0])
-    return each.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("width").cast("bigint").alias("widths"))
+    each = spans.span_table(table(spark, sf_dir, "documents"), "doc_id", bounds[0]).filter(F.size("word") > 0)
+    return each.select("doc_id", F.size("word").cast("bigint").alias("n_spans"), F.aggregate("width", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("widths"))
 
 
 @query(f"WITH {SPANS_SQL} SELECT doc_id, word::INTEGER AS word, width::INTEGER AS width, label, round(score, 6) AS score FROM g")
@@ -412,11 +427,12 @@ def ner_threshold(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] =
 
 @query(f"WITH {SPANS_SQL} SELECT label, count(*)::BIGINT AS n FROM g GROUP BY label")
 def label_distribution(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
-    return _found(spark, sf_dir, bounds).groupBy("label").agg(F.count("*").alias("n"))
+    each = _entities(spark, sf_dir, bounds, walk=False).select(F.explode("entities.label").alias("label"))
+    return each.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def _entities(spark: SparkSession, sf_dir: str, bounds: tuple[int, float], **rules: bool) -> DataFrame:
-    each = spans.greedy(_found(spark, sf_dir, bounds), "doc_id", **rules).select("doc_id", F.inline("entities"))
+def _survivors(spark: SparkSession, sf_dir: str, bounds: tuple[int, float], **rules: bool) -> DataFrame:
+    each = _entities(spark, sf_dir, bounds, **rules).select("doc_id", F.inline("entities"))
     return each.select("doc_id", "start", "end", "text", "label", r6("score").alias("score"))
 
 
@@ -449,12 +465,12 @@ APART = "(c.b >= r.e OR r.b >= c.e)"
 
 @query(_greedy_sql(APART))
 def ner_greedy_flat(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
-    return _entities(spark, sf_dir, bounds)
+    return _survivors(spark, sf_dir, bounds)
 
 
 @query(_greedy_sql(f"({APART} OR c.label_pos <> r.label_pos)"))
 def ner_greedy_multi(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
-    return _entities(spark, sf_dir, bounds, flat=False, multi_label=True)
+    return _survivors(spark, sf_dir, bounds, flat=False, multi_label=True)
 
 
 BIO_SQL = f"""k AS (SELECT doc_id, i - 1 AS pos FROM documents, unnest(range(1, len(regexp_extract_all(text, '{WORD_SQL}')) + 1)) t(i)),
@@ -467,28 +483,34 @@ g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM
 o AS (SELECT doc_id, any_value(cat) AS label, min(pos)::INTEGER AS first_pos, max(pos)::INTEGER AS last_pos, min(prob) AS score FROM g WHERE cat IS NOT NULL GROUP BY doc_id, span)"""
 
 
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word with the label and probability of its stand-in logits."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.words("text")).alias("pos", "word"))
-    logits = F.array(*[((F.col("pos") * (7 * (j + 3)) + F.col("doc_id") * 11 + j * 5) % 23) / 3.0 for j in range(5)])
-    each = words.select("doc_id", "pos", logits.alias("x")).withColumn("p", T.softmax(F.col("x")))
-    label = F.element_at(F.array(*[F.lit(x) for x in BIO]), T.first_argmax(F.col("x")) + 1)
-    return each.select("doc_id", "pos", label.alias("label"), F.array_max("p").alias("prob"))
+class TagLogits:
+    """Stand-in logits of each word: plain arithmetic over document and place."""
+
+    def tag_logits(self, key: int, text: str, words: np.ndarray) -> np.ndarray:
+        pos, label = np.ogrid[0 : len(words), 0 : len(BIO)]
+        return (pos * (7 * (label + 3)) + key * 11 + label * 5) % 23 / 3.0
+
+
+def _bio(spark: SparkSession, sf_dir: str, threshold: float = 0.0) -> DataFrame:
+    found = spans.tag_spans(table(spark, sf_dir, "documents"), "doc_id", BIO, TagLogits, threshold).select("doc_id", F.inline("spans"))
+    return found.select("doc_id", "label", "first_pos", "last_pos", r6("score").alias("score"))
 
 
 @query(f"WITH {BIO_SQL} SELECT doc_id, pos::INTEGER AS pos, label, round(prob, 6) AS prob FROM b")
 def bio_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir).withColumn("prob", r6("prob"))
+    each = spans.tag_words(table(spark, sf_dir, "documents"), "doc_id", BIO, TagLogits).select("doc_id", F.posexplode(F.arrays_zip("place", "prob")).alias("pos", "w"))
+    label = F.element_at(F.array(*[F.lit(x) for x in BIO]), F.col("w.place") + 1)
+    return each.select("doc_id", "pos", label.alias("label"), r6("w.prob").alias("prob"))
 
 
 @query(f"WITH {BIO_SQL} SELECT doc_id, label, first_pos, last_pos, round(score, 6) AS score FROM o")
 def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.bio_spans(_tagged(spark, sf_dir), "doc_id").select("doc_id", "label", "first_pos", "last_pos", r6("score").alias("score"))
+    return _bio(spark, sf_dir)
 
 
 @query(f"WITH {BIO_SQL} SELECT doc_id, label, first_pos, last_pos, round(score, 6) AS score FROM o WHERE score >= 0.5")
 def pii_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.bio_spans(_tagged(spark, sf_dir), "doc_id", threshold=0.5).select("doc_id", "label", "first_pos", "last_pos", r6("score").alias("score"))
+    return _bio(spark, sf_dir, 0.5)
 
 
 @query("SELECT unnest(['EMAIL', 'PERSON']) AS category")
@@ -529,8 +551,7 @@ COUNTS_SQL = f"WITH {SPANS_SQL}, n AS (SELECT d.doc_id, count(g.doc_id) AS n FRO
 
 
 def _per_doc(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
-    counts = _found(spark, sf_dir, bounds).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return _entities(spark, sf_dir, bounds, walk=False).select("doc_id", F.size("entities").cast("bigint").alias("n"))
 
 
 @query(COUNTS_SQL + " SELECT count(*)::BIGINT AS n, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, max(n)::DOUBLE AS max FROM n")
@@ -552,7 +573,7 @@ def p95_nearest_rank(spark: SparkSession, sf_dir: str, bounds: tuple[int, float]
 
 @query(COUNTS_SQL + " SELECT doc_id FROM n WHERE n = 0")
 def zero_entity_docs(spark: SparkSession, sf_dir: str, bounds: tuple[int, float] = NARROW) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(_found(spark, sf_dir, bounds), "doc_id", "left_anti")
+    return _per_doc(spark, sf_dir, bounds).filter("n = 0").select("doc_id")
 
 
 WIDE_SQL = SPANS_SQL.replace("range(0, 3)) x(width)", f"range(0, {WIDE[0]})) x(width)").replace("score >= 0.7", f"score >= {WIDE[1]}")

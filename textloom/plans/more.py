@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import scorers, tokens
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import chunk, evaluate, pairs, rank, spans
+from textloom.operators import chunk, evaluate, pairs, rank
 from textloom.operators.numbering import shared_folder
 from textloom.plans import catalog as C
 from textloom.plans.catalog import query, r6, table
@@ -158,8 +158,7 @@ def doc_rerank_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {C.BIO_SQL} SELECT doc_id, label, first_pos, last_pos FROM o WHERE label IN ('PERSON', 'PLACE')")
 def label_set_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.bio_spans(C._tagged(spark, sf_dir), "doc_id")
-    return found.filter(F.col("label").isin("PERSON", "PLACE")).select("doc_id", "label", "first_pos", "last_pos")
+    return C._bio(spark, sf_dir).filter(F.col("label").isin("PERSON", "PLACE")).select("doc_id", "label", "first_pos", "last_pos")
 
 
 @query("SELECT doc_id, gold FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'by [*] of ' || source ELSE source END AS gold FROM documents) WHERE NOT contains(gold, '[*]')")
@@ -193,7 +192,7 @@ def gold_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {C.SPANS_SQL}, n AS (SELECT d.doc_id, count(g.doc_id) AS n FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id) "
     "SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_entities, count(*) FILTER (n > 0)::BIGINT AS n_ok, count(*) FILTER (n = 0)::BIGINT AS n_failed FROM n")
 def entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.entity_totals(table(spark, sf_dir, "documents"), C._found(spark, sf_dir), "doc_id")
+    return evaluate.entity_totals(C._per_doc(spark, sf_dir), "n")
 
 
 @query(f"WITH {C.U_}, f AS (SELECT vec_id, list_transform(v, lambda x: round(x, 2)) AS w FROM u) SELECT count(*)::BIGINT AS n, round(min(list_cosine_similarity(v, w)), 6) AS least FROM u JOIN f USING (vec_id)")
