@@ -164,3 +164,17 @@ def lexical_logit(query: str, text: Column | str) -> Column:
     words = F.array_distinct(T.white_space_words(F.lower(F.lit(query))))
     both, either = F.size(F.array_intersect(own, words)), F.size(F.array_union(own, words))
     return F.when(either > 0, both / F.greatest(either, F.lit(1))).otherwise(0.0) * 8.0 - 2.0
+
+
+class LexicalPairs:
+    """``lexical_logit`` as a pair scorer; the words of the last texts are held, so that many queries cost them once."""
+
+    def __init__(self) -> None:
+        self.held: tuple[list[str], list[set[str]]] = ([], [])
+
+    def score_pairs(self, query: str, texts: list[str]) -> list[float]:
+        if self.held[0] is not texts:
+            self.held = (texts, [set(T.white_space_split(t)) for t in texts])
+        asked = set(T.white_space_split(query))
+        both = [len(asked & w) for w in self.held[1]]
+        return [8.0 * b / max(len(asked) + len(w) - b, 1) - 2.0 for b, w in zip(both, self.held[1], strict=True)]

@@ -37,6 +37,14 @@ def white_space_words(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(r"(?U)(\S+)"), 1)
 
 
+_SPACES = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
+
+
+def white_space_split(text: str) -> list[str]:
+    """The lower-cased white-space words of a text, for functions that see it in Python."""
+    return [w for w in _SPACES.split(text.lower()) if w]
+
+
 def token_count(text: Column | str) -> Column:
     """White-space words; 0 for null."""
     return F.coalesce(F.size(white_space_words(text)), F.lit(0)).cast("bigint")

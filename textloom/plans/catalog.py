@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textloom.functions import scorers
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import chunk, evaluate, index, pairs, rank, retrieve, spans
+from textloom.operators import chunk, contain, evaluate, index, pairs, rank, retrieve, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -520,31 +520,83 @@ def pii_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Evaluation
 
-GOLD_SQL = f"""gold AS (SELECT d.doc_id, w[1] AS gold FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) d),
-pred AS (SELECT doc_id, w[2] AS pred FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN w[1] || ',' ELSE w[3] END FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
-nm AS (SELECT g.doc_id, g.gold, regexp_replace(lower(regexp_replace(gold, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '^[,.;:"''() ]+|[,.;:"''() ]+$', '', 'g') AS a,
- regexp_replace(lower(regexp_replace(pred, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '^[,.;:"''() ]+|[,.;:"''() ]+$', '', 'g') AS b FROM gold g JOIN pred p USING (doc_id)),
-hit AS (SELECT DISTINCT doc_id FROM nm WHERE a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)))"""
+def _norm_sql(c: str) -> str:
+    return f"""regexp_replace(lower(regexp_replace({c}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '^[,.;:"''() ]+|[,.;:"''() ]+$', '', 'g')"""
 
 
-def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    w = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    at = lambda i: F.try_element_at("w", F.lit(i))
-    second = w.select("doc_id", at(2).alias("pred"))
-    return w.select("doc_id", at(1).alias("gold")), second.unionByName(w.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(at(1), F.lit(","))).otherwise(at(3)).alias("pred")))
+#: Gold are the benchmark's items, predictions whole documents; one may hold the other.
+GOLD_SQL = f"""gold AS (SELECT item_id, {_norm_sql("text")} AS g FROM benchmark), pred AS (SELECT doc_id, {_norm_sql("text")} AS p FROM documents),
+hit AS (SELECT DISTINCT g, p FROM (SELECT DISTINCT g FROM gold WHERE g <> '') JOIN (SELECT DISTINCT p FROM pred WHERE p <> '') ON contains(g, p) OR contains(p, g))"""
 
 
-@query(f"WITH {GOLD_SQL} SELECT count(*)::BIGINT AS n_gold, count(hit.doc_id)::BIGINT AS n_hit, round(count(hit.doc_id)::DOUBLE / count(*), 6) AS recall FROM gold LEFT JOIN hit USING (doc_id)")
+def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gold, predictions, and the pairs that match."""
+    gold = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
+    pred = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred"))
+    return gold, pred, contain.either_way(gold, pred)
+
+
+@query(f"WITH {GOLD_SQL} SELECT count(*)::BIGINT AS n_gold, count(*) FILTER (g IN (SELECT g FROM hit))::BIGINT AS n_hit, round(count(*) FILTER (g IN (SELECT g FROM hit))::DOUBLE / count(*), 6) AS recall FROM gold")
 def gold_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, pred = _gold(spark, sf_dir)
-    hits = evaluate.gold_hits(gold, pred, "doc_id")
-    both = gold.agg(F.count("*").alias("n_gold")).crossJoin(hits.agg(F.count("*").alias("n_hit")))
-    return both.withColumn("recall", r6(evaluate.ratio(F.col("n_hit"), F.col("n_gold"))))
+    gold, _, pairs_ = _gold(spark, sf_dir)
+    counts = contain.matched(gold, pairs_, "gold", "g").agg(F.count("*").alias("n_gold"), F.count_if("matched").alias("n_hit"))
+    return counts.withColumn("recall", r6(evaluate.ratio(F.col("n_hit"), F.col("n_gold"))))
 
 
-@query(f"WITH {GOLD_SQL} SELECT doc_id, gold FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM hit)")
+@query(f"WITH {GOLD_SQL} SELECT item_id FROM gold WHERE g NOT IN (SELECT g FROM hit)")
 def gold_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.gold_missed(*_gold(spark, sf_dir), "doc_id")
+    gold, _, pairs_ = _gold(spark, sf_dir)
+    return contain.matched(gold, pairs_, "gold", "g").filter("NOT matched").select("item_id")
+
+
+@query(f"WITH {GOLD_SQL} SELECT count(*)::BIGINT AS n_pred, count(*) FILTER (p IN (SELECT p FROM hit))::BIGINT AS n_matched, round(count(*) FILTER (p IN (SELECT p FROM hit))::DOUBLE / count(*), 6) AS precision FROM pred")
+def gold_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, pred, pairs_ = _gold(spark, sf_dir)
+    counts = contain.matched(pred, pairs_, "pred", "p").agg(F.count("*").alias("n_pred"), F.count_if("matched").alias("n_matched"))
+    return counts.withColumn("precision", r6(evaluate.ratio(F.col("n_matched"), F.col("n_pred"))))
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "string")
+    pairs_ = contain.containing(docs, items)
+    return pairs_.join(items.select("string", "item_id"), "string").join(docs.select("doc_id", "text"), "text").select("doc_id", "item_id")
+
+
+#: Words of the benchmark that are looked for in documents: the longest of each item, the first of equals.
+RULES_SQL = f"""rules AS (SELECT item_id, (list_sort(list_transform(regexp_extract_all(lower(text), '[^{SPACE}]+'), lambda x, i: [-length(x), i]))[1])[2] AS i, regexp_extract_all(lower(text), '[^{SPACE}]+') AS w FROM benchmark),
+k AS (SELECT item_id, w[i] AS string FROM rules)"""
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = T.white_space_words(F.lower("text"))
+    longest = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.get(longest, F.lit(0))["w"].alias("string"))
+
+
+@query(f"WITH {RULES_SQL} SELECT d.doc_id, min(k.item_id) AS item_id FROM documents d LEFT JOIN k ON contains(lower(d.text), k.string) GROUP BY d.doc_id")
+def first_keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first item of the benchmark of which a document holds the longest word; null for none."""
+    rules = _rules(spark, sf_dir)
+    return contain.first_match(table(spark, sf_dir, "documents"), "doc_id", rules, priority="item_id", value="item_id")
+
+
+@query(f"""WITH {RULES_SQL}, f AS (SELECT d.doc_id, min(k.item_id) AS item_id FROM documents d LEFT JOIN k ON contains(lower(d.text), k.string) GROUP BY d.doc_id)
+SELECT quality, count(*)::BIGINT AS n, round(avg(CASE WHEN (item_id IS NOT NULL) = (quality = 1) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy FROM labels JOIN f USING (doc_id) GROUP BY quality""")
+def keyword_label_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a keyword of the benchmark tells good documents by ``labels``, for either label."""
+    both = table(spark, sf_dir, "labels").join(first_keyword_match(spark, sf_dir), "doc_id")
+    right = (F.col("item_id").isNotNull() == (F.col("quality") == 1)).cast("double")
+    return both.groupBy("quality").agg(F.count("*").alias("n"), r6(F.avg(right)).alias("accuracy"))
+
+
+@query(f"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[^{SPACE}]+')) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[^{SPACE}]+')) AS w FROM documents),
+s AS (SELECT item_id, doc_id, 1 / (1 + exp(-(8.0 * len(list_intersect(w, q)) / greatest(len(q) + len(w) - len(list_intersect(w, q)), 1) - 2.0))) AS score FROM q, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM s) SELECT item_id, doc_id, round(score, 6) AS rerank_score, rank::INTEGER AS rank FROM r WHERE rank < 10""")
+def rerank_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents nearest to each item of the benchmark by a pair scorer."""
+    best = pairs.rerank_each(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scorers.LexicalPairs, 10, "item_id", "text")
+    return best.select("item_id", "doc_id", r6("rerank_score").alias("rerank_score"), "rank")
 
 
 COUNTS_SQL = f"WITH {SPANS_SQL}, n AS (SELECT d.doc_id, count(g.doc_id) AS n FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id)"

@@ -180,15 +180,6 @@ def nli_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.ranked_hypotheses(C._nli(spark, sf_dir), "doc_id").select("doc_id", "hypothesis", r6("entailment").alias("entailment"), "rank")
 
 
-@query(f"""WITH {C.GOLD_SQL} SELECT count(*)::BIGINT AS n_pred, count(*) FILTER (a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)))::BIGINT AS n_matched,
- round(count(*) FILTER (a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)))::DOUBLE / count(*), 6) AS precision FROM nm""")
-def gold_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, pred = C._gold(spark, sf_dir)
-    hits = evaluate.matched_predictions(gold, pred, "doc_id")
-    both = pred.agg(F.count("*").alias("n_pred")).crossJoin(hits.agg(F.count("*").alias("n_matched")))
-    return both.withColumn("precision", r6(evaluate.ratio(F.col("n_matched"), F.col("n_pred"))))
-
-
 @query(f"WITH {C.SPANS_SQL}, n AS (SELECT d.doc_id, count(g.doc_id) AS n FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id) "
     "SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_entities, count(*) FILTER (n > 0)::BIGINT AS n_ok, count(*) FILTER (n = 0)::BIGINT AS n_failed FROM n")
 def entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
