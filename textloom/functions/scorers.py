@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -141,21 +142,59 @@ class OnnxEmbedder:
         return (hidden * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)
 
 
+#: Tokens whose vectors a task holds, at the most twice as many.
+HELD = 1 << 17
+
+
+class HashVocab:
+    """The whole-numbered vector of a token, from its MD5 digests; those of the last tokens are held, in two generations."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, np.ndarray] = {}
+        self.old: dict[str, np.ndarray] = {}
+
+    def vector(self, token: str) -> np.ndarray:
+        found = self.young.get(token)
+        if found is None:
+            found = self.old.get(token)
+            if found is None:
+                digests = b"".join(hashlib.md5(f"{token}:{k}".encode("utf-8", "surrogatepass")).digest() for k in range(DIM // 4))
+                found = np.frombuffer(digests, dtype=">u4").astype(np.int64) % 2001 - 1000
+            if len(self.young) >= HELD:
+                self.old, self.young = self.young, {}
+            self.young[token] = found
+        return found
+
+    def sums(self, texts: list[list[str]]) -> np.ndarray:
+        """The sum of the vectors of the tokens of each text."""
+        places: dict[str, int] = {}
+        at = np.fromiter((places.setdefault(w, len(places)) for words in texts for w in words), dtype=np.int64)
+        sizes = np.array([len(words) for words in texts])
+        out = np.zeros((len(texts), DIM), dtype=np.int64)
+        if len(at):
+            table = np.stack([self.vector(w) for w in places])
+            filled = np.flatnonzero(sizes)
+            out[filled] = np.add.reduceat(table[at], (np.cumsum(sizes) - sizes)[filled], axis=0)
+        return out
+
+
 def vocab_embed(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys``, ``n_tokens``, ``embedding``: the unit mean of the token vectors of each text.
 
-    Tokens are lower-cased white-space words; a text without any has a zero vector. A token's vector comes from the
-    token itself, so there is no vocabulary to join. A text's tokens are counted where it is read, so only its distinct
-    ones are dealt out and hashed, once for each text, and whole numbers are added up.
+    Tokens are lower-cased white-space words; a text without any, or null, has a zero vector. A token's vector comes
+    from the token itself, so there is nothing to join and no row moves. Whole numbers are added up.
     """
-    # Without words the outer explode keeps the row, and no filter on the words is inferred.
-    each = texts.select(*keys, F.explode_outer(T.white_space_words(F.lower(F.col(text)))).alias("__token"))
-    counts = each.groupBy(*keys, "__token").agg(F.count("__token").alias("__n"))
-    digests = [F.md5(F.concat("__token", F.lit(f":{k}")).cast("binary")) for k in range(DIM // 4)]
-    part = lambda j: F.conv(F.substring(digests[j // 4], 8 * (j % 4) + 1, 8), 16, 10).cast("bigint") % 2001 - 1000
-    summed = counts.groupBy(*keys).agg(F.sum("__n").alias("n_tokens"), *[F.sum(part(j) * F.col("__n")).alias(f"__s{j}") for j in range(DIM)])
-    total = F.array(*[F.coalesce(F.col(f"__s{j}"), F.lit(0)).cast("double") for j in range(DIM)])
-    return summed.select(*keys, "n_tokens", V.unit(total).alias("embedding"))
+
+    @F.pandas_udf("struct<n_tokens:bigint,total:array<bigint>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocab = HashVocab()
+        for batch in batches:
+            for at in range(0, len(batch), T.TEXTS_BACK * 5):
+                words = [T.white_space_split(t) if t else [] for t in batch.iloc[at : at + T.TEXTS_BACK * 5]]
+                yield pd.DataFrame({"n_tokens": [len(w) for w in words], "total": list(vocab.sums(words))})
+
+    each = texts.select(*keys, run(F.lower(F.col(text))).alias("__e"))
+    return each.select(*keys, F.col("__e.n_tokens").alias("n_tokens"), V.unit("__e.total").alias("embedding"))
 
 
 def lexical_logit(query: str, text: Column | str) -> Column:

@@ -37,12 +37,15 @@ def white_space_words(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(r"(?U)(\S+)"), 1)
 
 
+#: Control characters that are white space in Python and nowhere else.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _SPACES = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
 
 
 def white_space_split(text: str) -> list[str]:
     """The lower-cased white-space words of a text, for functions that see it in Python."""
-    return [w for w in _SPACES.split(text.lower()) if w]
+    text = text.lower()
+    return [w for w in _SPACES.split(text) if w] if _SEPARATORS.search(text) else text.split()
 
 
 def token_count(text: Column | str) -> Column:
@@ -91,9 +94,6 @@ def offsets_of(text: str | None) -> np.ndarray:
     return np.array(each, dtype=np.int32).reshape(-1, 2)
 
 
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
-
-
 def word_offsets(text: Column | str) -> Column:
     """``start`` and ``end`` of every word as two arrays."""
 
