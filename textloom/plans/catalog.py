@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from textloom.functions import scorers
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import chunk, contain, evaluate, index, pairs, rank, retrieve, spans
+from textloom.operators import chunk, contain, evaluate, index, pairs, rank, retrieve, spans, token_table
+from textloom.operators.numbering import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,6 +302,35 @@ def doc_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top_k(scorers.vocab_embed(docs, ["doc_id"]), asked, k=10).select("doc_id", r6("score").alias("score"))
 
 
+_SIGNS = ", ".join(f"sum(weight * CASE WHEN ('0x' || substr(md5('bucket:' || bucket), {2 * j + 1}, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END)" for j in range(token_table.DIM))
+#: CTEs that learn ``tt`` (token, n, vector) from the documents.
+TOKEN_SQL = f"""tw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^{SPACE}]+') AS w FROM documents),
+tk AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM tw),
+tp AS (SELECT a.token, ('0x' || substr(md5(b.token), 1, 8))::BIGINT % {token_table.BUCKETS} AS bucket FROM tk a JOIN tk b USING (doc_id) WHERE b.i IN (a.i - 2, a.i - 1, a.i + 1, a.i + 2)),
+tc AS (SELECT token, bucket, count(*) AS n FROM tp GROUP BY ALL),
+tm AS (SELECT *, greatest(0.0::DOUBLE, ln(n::DOUBLE * sum(n) OVER () / sum(n) OVER (PARTITION BY token) / sum(n) OVER (PARTITION BY bucket))) AS weight FROM tc),
+tv AS (SELECT token, [{_SIGNS}] AS v FROM tm GROUP BY token),
+tn AS (SELECT token, count(*) AS n FROM tk GROUP BY token HAVING count(*) >= {token_table.LEAST}),
+tt AS (SELECT token, n::BIGINT AS n, CASE WHEN v IS NULL OR list_inner_product(v, v) = 0 THEN list_transform(range({token_table.DIM}), lambda x: 0::BIGINT)
+ ELSE list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)) * {token_table.SCALE})::BIGINT) END AS vector FROM tn LEFT JOIN tv USING (token))"""
+
+
+@query(f"WITH {TOKEN_SQL} SELECT token, n, vector FROM tt")
+def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token vectors learned from all documents."""
+    return token_table.learn(table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH {TOKEN_SQL}, tx AS (SELECT doc_id, count(token) AS n_tokens, count(*) FILTER (token IS NOT NULL AND vector IS NULL) AS n_unknown, {', '.join(f'coalesce(sum(vector[{j + 1}]), 0) AS x{j}' for j in range(token_table.DIM))}
+ FROM documents LEFT JOIN tk USING (doc_id) LEFT JOIN tt USING (token) GROUP BY doc_id), ty AS (SELECT doc_id, n_tokens, n_unknown, [{', '.join(f'x{j}::DOUBLE' for j in range(token_table.DIM))}] AS v FROM tx)
+SELECT doc_id, n_tokens::BIGINT AS n_tokens, n_unknown::BIGINT AS n_unknown, list_transform(v, lambda x: round(x / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END, 6) + 0.0) AS embedding FROM ty""")
+def token_table_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the table learned from all of them; frequent tokens from a broadcast part, the others by a join."""
+    docs = table(spark, sf_dir, "documents")
+    learned = stored(token_table.learn(docs), "tokens")
+    return token_table.embed(docs, learned, ["doc_id"], heavy=4096).withColumn("embedding", rounded("embedding"))
+
+
 LINES_SQL = f"SELECT (doc_id, i) AS key, string_split(text, chr(10))[i] AS text FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)"
 
 
