@@ -80,6 +80,13 @@ def retrieve_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top_k_batch(e, asked, k=10, id_col="vec_id").select("query_id", "vec_id", r6("score").alias("score"), "rank")
 
 
+@query(SQL["retrieve_topk_batch"])
+def retrieve_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieve.top_k_cells(e, asked, k=10, id_col="vec_id").select("query_id", "vec_id", r6("score").alias("score"), "rank")
+
+
 @query(f"WITH {U_} SELECT vec_id, list_transform(v, lambda x: round(x, 6) + 0.0) AS unit FROM u")
 def embed_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", rounded(V.unit("embedding")).alias("unit"))
