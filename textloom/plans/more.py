@@ -12,10 +12,12 @@ from textloom.functions import scorers, tokens
 from textloom.functions import text as T
 from textloom.functions import vectors as V
 from textloom.operators import chunk, evaluate, pairs, rank
+from textloom.operators.cache import EmbeddingCache
 from textloom.operators.numbering import shared_folder
 from textloom.plans import catalog as C
 from textloom.plans.catalog import query, r6, table
 from textloom.sources import documents as D
+from textloom.streaming import index_stream
 
 TOKENIZER, SPECIALS = "/opt/tokenizers/word_bpe_49k.json", (49406, 49407)
 
@@ -102,6 +104,24 @@ def sample_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(50)
 
 
+@query("SELECT count(*)::BIGINT AS n, count(DISTINCT text)::BIGINT AS embedded, 0::BIGINT AS embedded_again, count(DISTINCT text)::BIGINT AS kept FROM documents")
+def lasting_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded through a cache on disk, twice: how many texts the first and the second run embed, and how many it holds."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), _folder(spark)
+    embed = lambda texts: scorers.vocab_embed(texts, ["digest"])
+    first = EmbeddingCache(spark, path, "hash-vocab", "1").embed(docs, embed)
+    rows, again = EmbeddingCache(spark, path, "hash-vocab", "1").embed(docs, embed)
+    left = EmbeddingCache(spark, path, "hash-vocab", "1").known().count()
+    total = rows.filter("embedding IS NOT NULL").agg(F.count("*").alias("n"))
+    return total.select("n", *[F.lit(x).cast("bigint").alias(c) for c, x in (("embedded", first[1]), ("embedded_again", again), ("kept", left))])
+
+
+@query("""SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events""")
+def stream_events_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = index_stream.run_events(spark, sf_dir)
+    return rows.select("event_id", "user_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 # Segments and chunks with their texts
 
 #: Non-blank lines of each document, trimmed, with offsets in a text whose line feeds are ``gap`` characters.
@@ -118,15 +138,25 @@ def paragraph_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.segments(docs, "doc_id", "paragraph")
 
 
-@query(f"""WITH RECURSIVE {UNITS_SQL.format(gap=1, space=C.SPACE)}, {C._embed_sql("SELECT (doc_id, pos) AS key, text FROM un")},
+#: Sentences, trimmed, with offsets: the pattern's matches and what stands between them.
+SENTENCES_SQL = f"""sm AS (SELECT doc_id, regexp_extract_all(text, '{T.SENTENCE}') AS w, string_split(regexp_replace(text, '{T.SENTENCE}', chr(1), 'g'), chr(1)) AS gaps FROM documents),
+se AS (SELECT doc_id, i, w[i] AS line, sum(length(gaps[i]) + length(w[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(w[i]) AS begin FROM sm, unnest(range(1, len(w) + 1)) t(i)),
+sn AS (SELECT *, length(line) - length(regexp_replace(line, '^[{C.SPACE}]+', '')) AS lead, regexp_replace(line, '^[{C.SPACE}]+|[{C.SPACE}]+$', '', 'g') AS own FROM se),
+un AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, begin + lead AS start, begin + lead + length(own) AS stop, own AS text FROM sn WHERE own <> '')"""
+
+
+def _chunks_sql(units: str, text: str) -> str:
+    """Chunks of the units ``un`` of the documents' ``text``."""
+    return f"""WITH RECURSIVE {units}, {C._embed_sql("SELECT (doc_id, pos) AS key, text FROM un")},
 a AS (SELECT key[1] AS parent, key[2] AS pos, n_tokens AS tokens, v, lag(v) OVER (PARTITION BY key[1] ORDER BY key[2]) AS p FROM emb),
-n AS (SELECT parent, pos, pos AS i, tokens, round({C.COS.format(a='v', b='p')}, 9) AS sim FROM a)""" + C.PACK_SQL.format(cut="(n.sim < 0.3 OR r.held + n.tokens > 128)").split("\nSELECT parent, chunk")[0]
-    + """, z AS (SELECT r.parent AS doc_id, chunk, sum(r.tokens)::BIGINT AS tokens, min(start)::BIGINT AS b, max(stop)::BIGINT AS e, list(r.i::INTEGER ORDER BY r.i) AS unit_indices
- FROM r JOIN un ON un.doc_id = r.parent AND un.pos = r.pos GROUP BY r.parent, chunk), y AS (SELECT z.*, substring(d.text, b + 1, e - b) AS text FROM z JOIN documents d USING (doc_id))
-SELECT doc_id, chunk, tokens, unit_indices, b AS start, e AS "end", text, sha256(doc_id || '|' || b || '|' || e || '|' || text) AS chunk_id FROM y""")
-def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    units = chunk.segments(docs, "doc_id", "line")
+n AS (SELECT parent, pos, pos AS i, tokens, round({C.COS.format(a='v', b='p')}, 9) AS sim FROM a)""" + C.PACK_SQL.format(cut="(n.sim < 0.3 OR r.held + n.tokens > 128)").split("\nSELECT parent, chunk")[0] + f""",
+z AS (SELECT r.parent AS doc_id, chunk, sum(r.tokens)::BIGINT AS tokens, min(start)::BIGINT AS b, max(stop)::BIGINT AS e, list(r.i::INTEGER ORDER BY r.i) AS unit_indices
+ FROM r JOIN un ON un.doc_id = r.parent AND un.pos = r.pos GROUP BY r.parent, chunk), y AS (SELECT z.*, substring({text}, b + 1, e - b) AS text FROM z JOIN documents d USING (doc_id))
+SELECT doc_id, chunk, tokens, unit_indices, b AS start, e AS "end", text, sha256(doc_id || '|' || b || '|' || e || '|' || text) AS chunk_id FROM y"""
+
+
+def _chunked(docs: DataFrame, granularity: str) -> DataFrame:
+    units = chunk.segments(docs, "doc_id", granularity)
     # One pass cuts the units; they are embedded from their own texts and joined by number.
     vectors = scorers.vocab_embed(units, ["doc_id", "pos", "start", "end"]).withColumnRenamed("n_tokens", "tokens")
     near = chunk.adjacent_cosine(vectors, "doc_id", "pos").withColumn("sim", F.round("sim", 9))
@@ -134,6 +164,23 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk", "tokens", "unit_indices", "start", "end", "text", "chunk_id")
 
 
+@query(_chunks_sql(UNITS_SQL.format(gap=1, space=C.SPACE), "d.text"))
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(table(spark, sf_dir, "documents").select("doc_id", "text"), "line")
+
+
+@query(_chunks_sql(SENTENCES_SQL, "d.text"))
+def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(table(spark, sf_dir, "documents").select("doc_id", "text"), "sentence")
+
+
+@query(_chunks_sql(UNITS_SQL.format(gap=2, space=C.SPACE), "replace(d.text, chr(10), chr(10) || chr(10))"))
+def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The documents have no blank lines, so each line is made a paragraph.
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return _chunked(docs, "paragraph")
+
+
 @query("""WITH RECURSIVE l AS (SELECT doc_id AS parent, i - 1 AS i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)),
 n AS (SELECT parent, i, i AS pos, len(regexp_extract_all(line, '[^""" + C.SPACE + """]+')) AS tokens FROM l)"""
     + C.PACK_SQL.format(cut="(r.held + n.tokens > 64)").replace("\nSELECT parent, chunk,", ", k AS (SELECT parent, chunk,")
