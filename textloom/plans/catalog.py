@@ -550,9 +550,11 @@ def pii_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bio(spark, sf_dir, 0.5)
 
 
-@query("SELECT unnest(['EMAIL', 'PERSON']) AS category")
+@query(f"WITH {BIO_SQL} SELECT DISTINCT cat AS category FROM c WHERE cat IS NOT NULL")
 def pii_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.span_labels(spark.createDataFrame([(x,) for x in BIO], "label string"))
+    """The categories that occur among the tagged words of all documents."""
+    tagged = spans.tag_words(table(spark, sf_dir, "documents"), "doc_id", BIO, TagLogits).select(F.explode(F.array_distinct("place")).alias("place"))
+    return spans.span_labels(tagged.select(F.element_at(F.array(*[F.lit(x) for x in BIO]), F.col("place") + 1).alias("label")))
 
 
 # Evaluation
@@ -676,31 +678,35 @@ for _narrow in (
         SQL[f"{_narrow.__name__}_w{WIDE[0]}"] = SQL[_narrow.__name__].replace(SPANS_SQL, WIDE_SQL)
 
 
-REGISTRY = [("embed", "small-static", "a" * 40), ("embed", "base-dense", "0123456789" * 4), ("rerank", "pair-base", "main"), ("nli", "nli-base", "f" * 40), ("ner", "ner-zero", "F" * 40)]
-EXCLUDED = [("embed", "big-dense", "licence"), ("pii", "pii-old", "size")]
-REGISTRY_SQL = "reg AS (SELECT * FROM (VALUES " + ", ".join(map(str, REGISTRY)) + ") t(family, model_id, revision)), exc AS (SELECT * FROM (VALUES " + ", ".join(map(str, EXCLUDED)) + ") t(family, model_id, reason))"
+#: Sources of the documents play the models: by language, with a revision; some are excluded, some in neither list.
+REGISTRY_SQL = """reg AS (SELECT DISTINCT lang AS family, source AS model_id, CASE WHEN length(source) = 4 THEN sha1(source) ELSE 'main' END AS revision FROM documents WHERE source NOT LIKE '%3' AND source NOT LIKE '%7'),
+exc AS (SELECT DISTINCT lang AS family, source AS model_id, 'licence ' || source AS reason FROM documents WHERE source LIKE '%3')"""
 
 
-def _registry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(REGISTRY, "family string, model_id string, revision string"), spark.createDataFrame(EXCLUDED, "family string, model_id string, reason string")
+def _registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("family"), F.col("source").alias("model_id")).distinct()
+    revision = F.when(F.length("model_id") == 4, F.sha1(F.col("model_id").cast("binary"))).otherwise("main")
+    known = docs.filter(~F.col("model_id").endswith("3") & ~F.col("model_id").endswith("7")).withColumn("revision", revision)
+    return known, docs.filter(F.col("model_id").endswith("3")).withColumn("reason", F.concat(F.lit("licence "), "model_id"))
 
 
-@query(f"""WITH {REGISTRY_SQL}, q AS (SELECT unnest(['small-static', 'big-dense', 'other']) AS model_id)
-SELECT model_id, CASE WHEN reason IS NOT NULL THEN 'excluded: ' || reason WHEN family IS NOT NULL THEN 'registered' ELSE 'unknown' END AS status FROM q LEFT JOIN (SELECT model_id, reason FROM exc) USING (model_id) LEFT JOIN reg USING (model_id)""")
+@query(f"""WITH {REGISTRY_SQL}, q AS (SELECT DISTINCT source AS model_id FROM documents), e AS (SELECT DISTINCT model_id, reason FROM exc), r AS (SELECT DISTINCT model_id, 1 AS known FROM reg)
+SELECT model_id, CASE WHEN reason IS NOT NULL THEN 'excluded: ' || reason WHEN known = 1 THEN 'registered' ELSE 'unknown' END AS status FROM q LEFT JOIN e USING (model_id) LEFT JOIN r USING (model_id)""")
 def registry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([("small-static",), ("big-dense",), ("other",)], "model_id string")
-    return evaluate.registry_gate(asked, *_registry(spark))
+    known, out = _registry(spark, sf_dir)
+    asked = table(spark, sf_dir, "documents").select(F.col("source").alias("model_id")).distinct()
+    return evaluate.registry_gate(asked, known.select("model_id").distinct(), out.select("model_id", "reason").distinct())
 
 
 @query(f"WITH {REGISTRY_SQL} SELECT family, model_id, 'registered' AS kind FROM reg UNION ALL SELECT family, model_id, 'excluded' FROM exc")
 def registry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, out = _registry(spark)
+    known, out = _registry(spark, sf_dir)
     return known.select("family", "model_id", F.lit("registered").alias("kind")).unionByName(out.select("family", "model_id", F.lit("excluded").alias("kind"))).orderBy("family", "model_id")
 
 
-@query(f"WITH {REGISTRY_SQL} SELECT model_id, regexp_full_match(revision, '[0-9a-f]{{40}}') AS pinned FROM reg")
+@query(f"WITH {REGISTRY_SQL} SELECT family, model_id, regexp_full_match(revision, '[0-9a-f]{{40}}') AS pinned FROM reg")
 def revision_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _registry(spark)[0].select("model_id", F.col("revision").rlike("^[0-9a-f]{40}$").alias("pinned"))
+    return _registry(spark, sf_dir)[0].select("family", "model_id", F.col("revision").rlike("^[0-9a-f]{40}$").alias("pinned"))
 
 
 @query(f"""SELECT doc_id, len(regexp_extract_all(text, '[^{SPACE}]+'))::BIGINT AS n_tokens,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +10,9 @@ from pyspark.sql import functions as F
 from textloom.functions import scorers, tokens
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import chunk, evaluate, pairs, rank
+from textloom.operators import batches, chunk, evaluate, pairs, rank
 from textloom.operators.cache import EmbeddingCache
-from textloom.operators.numbering import shared_folder
+from textloom.operators.numbering import numbered, shared_folder
 from textloom.plans import catalog as C
 from textloom.plans.catalog import query, r6, table
 from textloom.sources import documents as D
@@ -52,6 +51,31 @@ def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.documents(items, order=["place"]).select("text", "doc_id", "external_id", F.try_element_at("metadata", F.lit("lang")).alias("lang"))
 
 
+def _mixed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item for each document, of which one in two is bad in one of six ways."""
+    whole = F.to_json(F.struct("text", "doc_id", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata")))
+    k = F.col("doc_id") % 12
+    item = F.when(k == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).when(k == 1, F.col("n_chars").cast("string")).when(k == 2, F.to_json(F.struct("doc_id")))
+    item = item.when(k == 3, F.to_json(F.struct(F.col("n_chars").alias("text")))).when(k == 4, F.to_json(F.struct("text", F.col("source").alias("doc_id"))))
+    item = item.when(k == 5, F.to_json(F.struct("text", F.col("source").alias("metadata")))).when(k == 6, F.to_json(F.struct("text"))).otherwise(whole)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("at"), item.alias("item"))
+
+
+@query("""SELECT text, CASE WHEN doc_id % 12 = 6 THEN place ELSE doc_id END::BIGINT AS doc_id, CASE WHEN doc_id % 12 <> 6 THEN lang END AS lang
+ FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) WHERE doc_id % 12 >= 6""")
+def source_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = D.checked(_mixed_items(spark, sf_dir), order=["at"])
+    return good.select("text", "doc_id", F.try_element_at("metadata", F.lit("lang")).alias("lang"))
+
+
+@query("""SELECT place::BIGINT AS place, ['item', 'item', 'text', 'text', 'doc_id', 'metadata'][doc_id % 12 + 1] AS field,
+ ['malformed', 'found BIGINT', 'found VOID', 'found BIGINT', 'found STRING', 'found STRING'][doc_id % 12 + 1] AS reason
+ FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) WHERE doc_id % 12 < 6""")
+def source_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the bad items among the documents are, and what is wrong with them."""
+    return D.checked(_mixed_items(spark, sf_dir), order=["at"])[1].select("place", "field", "reason")
+
+
 @query("SELECT doc_id::VARCHAR AS doc_id, (doc_id % 3) / 2.0::DOUBLE AS score, source AS external_id, lang, 1::BIGINT AS n_metadata FROM documents")
 def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.create_map(F.lit("lang"), F.col("lang"), F.lit("external_id"), F.lit("old"))
@@ -91,11 +115,14 @@ def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("lang string, n bigint, chars bigint").json(path)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::INTEGER, '{x}')" for i, x in enumerate(C.BIO)) + ") t(class, label)")
+@query("SELECT (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS class, lang AS label FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
 def config_label_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of the documents, numbered in a model's config that is written and read again."""
     path = _folder(spark)
-    config = json.dumps({"id2label": {str(i): x for i, x in enumerate(C.BIO)}})
-    spark.createDataFrame([(config,)], "value string").coalesce(1).write.text(path)
+    # A row for each language.
+    langs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").groupBy().agg(F.array_sort(F.collect_set("lang")).alias("l"))
+    numbered_ = F.map_from_arrays(F.transform("l", lambda _, i: i.cast("string")), F.col("l"))
+    langs.select(F.to_json(F.struct(numbered_.alias("id2label"))).alias("value")).coalesce(1).write.text(path)
     return D.config_labels(spark, path)
 
 
@@ -200,6 +227,23 @@ def doc_rerank_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "pos", r6("score").alias("score"), "rank")
 
 
+# Micro-batches
+
+
+@query(f"""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[^{C.SPACE}]+'))::BIGINT AS n FROM documents),
+a AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch, n FROM n), b AS (SELECT greatest(ceil(n / 16.0), 1)::BIGINT * 16 AS band, n, doc_id FROM n),
+c AS (SELECT band, n, (row_number() OVER (PARTITION BY band ORDER BY n, doc_id) - 1) // greatest(4096 // band, 1) AS batch FROM b),
+p AS (SELECT 'arrival' AS layout, sum(n) AS t, count(*) * max(n) AS p FROM a GROUP BY batch UNION ALL SELECT 'length', sum(n), count(*) * max(n) FROM c GROUP BY band, batch)
+SELECT layout, count(*)::BIGINT AS n_batches, sum(t)::BIGINT AS tokens, sum(p)::BIGINT AS padded, round(1 - sum(t)::DOUBLE / sum(p), 6) AS share FROM p GROUP BY layout""")
+def batch_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of what a model would see is padding: 32 documents at a time as they come, and batches by length."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.token_count("text").alias("n_tokens"))
+    arrival = numbered(rows, ["doc_id"], "n").withColumn("batch", F.floor(F.col("n") / 32))
+    one, other = batches.padding(arrival, ["batch"]), batches.padding(batches.length_batches(rows, "doc_id"), ["band", "batch"])
+    both = one.withColumn("layout", F.lit("arrival")).unionByName(other.withColumn("layout", F.lit("length")))
+    return both.select("layout", "n_batches", "tokens", "padded", r6("share").alias("share"))
+
+
 # Checks and totals
 
 
@@ -242,7 +286,7 @@ def reference_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {C.REGISTRY_SQL} SELECT count(*)::BIGINT AS n_both, count(*) = 0 AS disjoint FROM (SELECT model_id FROM reg INTERSECT SELECT model_id FROM exc)")
 def registry_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.disjoint(*C._registry(spark))
+    return evaluate.disjoint(*C._registry(spark, sf_dir))
 
 
 @query("SELECT count(text)::BIGINT AS n, count(DISTINCT text)::BIGINT AS n_distinct, count(text) = count(DISTINCT text) AS all_distinct FROM documents")

@@ -49,6 +49,32 @@ def documents(items: DataFrame, item: str = "item", order: list[str] | None = No
     return rows.select(_checked(c, F.col("__p")).alias("text"), F.coalesce("__p.doc_id", "__n").alias("doc_id"), F.col("__p.external_id").alias("external_id"), F.coalesce("__p.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
 
+def checked(items: DataFrame, item: str = "item", order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``documents``, but bad items stop nothing: the good rows, and ``place``, ``field``, ``reason``, ``item`` of the others.
+
+    ``place`` counts all items in ``order``. An item is bad if it is not JSON, neither a string nor an object, has no ``text`` that is a
+    string, or has a ``doc_id`` that is no whole number, an ``external_id`` that is no string or ``metadata`` that is no
+    object; null counts as absent in the last three. The first such field is named. A null item is no JSON.
+    """
+    rows = numbered(items.select(item, *[c for c in order or [] if c != item]), order or [item], "place")
+    v = F.try_parse_json(item)
+    part = lambda name: F.try_variant_get("__v", f"$.{name}", "variant")
+    kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit("VOID"))
+    told = rows.withColumn("__v", v).withColumn("__k", kind(F.col("__v"))).withColumns({f"__{n}": kind(part(n)) for n in ("text", "doc_id", "external_id", "metadata")})
+    plain, whole = F.col("__k") == "STRING", F.col("__k").startswith("OBJECT")
+    named = F.when(F.col("__v").isNull(), F.lit("item")).when(plain, F.lit(None)).when(~whole, F.lit("item"))
+    named = named.when(F.col("__text") != "STRING", F.lit("text")).when(~F.col("__doc_id").isin("BIGINT", "VOID"), F.lit("doc_id"))
+    named = named.when(~F.col("__external_id").isin("STRING", "VOID"), F.lit("external_id")).when(~F.col("__metadata").startswith("OBJECT") & (F.col("__metadata") != "VOID"), F.lit("metadata"))
+    found = F.when(F.col("__v").isNull(), "malformed").when(F.col("field") == "item", F.concat(F.lit("found "), "__k")).otherwise(F.concat(F.lit("found "), F.when(F.col("field") == "text", F.col("__text")).when(F.col("field") == "doc_id", F.col("__doc_id")).when(F.col("field") == "external_id", F.col("__external_id")).otherwise(F.col("__metadata"))))
+    told = told.withColumn("field", named)
+    none = F.create_map().cast("map<string,string>")
+    text = F.when(plain, F.try_variant_get("__v", "$", "string")).otherwise(F.try_variant_get("__v", "$.text", "string"))
+    good = told.filter("field IS NULL").select(
+        text.alias("text"), F.coalesce(F.try_variant_get("__v", "$.doc_id", "bigint"), "place").alias("doc_id"), F.try_variant_get("__v", "$.external_id", "string").alias("external_id"),
+        F.coalesce(F.try_variant_get("__v", "$.metadata", "map<string,string>"), none).alias("metadata"))
+    return good, told.filter("field IS NOT NULL").select("place", "field", found.alias("reason"), F.col(item).alias("item"))
+
+
 def candidates(items: DataFrame, item: str = "item") -> DataFrame:
     """Rerank candidates: ids as strings, ``score`` 0 by default, ``external_id`` kept in the metadata."""
     c = F.col(item)
