@@ -78,6 +78,10 @@ def extract(docs: DataFrame, key: str, labels: list[str], load: Callable[[], Spa
     if max_width < 1 or not labels or not 0 <= threshold <= 1:
         raise ValueError("give labels, a max_width of 1 at least and a threshold from 0 to 1")
 
+    # Spans that begin with one word overlap. Where overlapping ones never both stay, the first of the best of each word is
+    # all that the walk can keep of it, whatever came before, so the others need not be walked over.
+    alone = walk and (flat or not multi_label)
+
     def each() -> Callable[[object, str], tuple]:
         scorer = load()
 
@@ -85,11 +89,21 @@ def extract(docs: DataFrame, key: str, labels: list[str], load: Callable[[], Spa
             at, found = T.offsets_of(text), []
             for first in range(0, len(at), WORDS):
                 stop = min(first + WORDS, len(at))
-                score = 1.0 / (1.0 + np.exp(-np.asarray(scorer.span_logits(key, text, at, first, stop, max_width, labels), dtype=np.float64)))
-                word, width, label = np.nonzero(score >= threshold)
-                there = word + first + width < len(at)
-                word, width, label = word[there], width[there], label[there]
-                found.append((word + first, width, label, score[word, width, label]))
+                score = -np.asarray(scorer.span_logits(key, text, at, first, stop, max_width, labels), dtype=np.float64)
+                score = 1.0 / (1.0 + np.exp(score, out=score))
+                if stop + max_width > len(at):
+                    # Spans beyond the last word.
+                    score[np.arange(first, stop)[:, None] + np.arange(max_width) >= len(at)] = -1.0
+                if alone:
+                    best = score.reshape(stop - first, -1).argmax(axis=1)
+                    width, label = np.divmod(best, len(labels))
+                    own = score[np.arange(stop - first), width, label]
+                    word = np.flatnonzero(own >= threshold)
+                    width, label, own = width[word], label[word], own[word]
+                else:
+                    word, width, label = np.nonzero(score >= threshold)
+                    own = score[word, width, label]
+                found.append((word + first, width, label, own))
             word, width, label, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 4
             starts, ends = at[word, 0], at[word + width, 1]
             if walk:
