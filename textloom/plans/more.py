@@ -16,6 +16,7 @@ from textloom.operators.numbering import numbered, shared_folder
 from textloom.plans import catalog as C
 from textloom.plans.catalog import query, r6, table
 from textloom.sources import documents as D
+from textloom.sources.matrices import Matrices
 from textloom.streaming import index_stream
 
 TOKENIZER, SPECIALS = "/opt/tokenizers/word_bpe_49k.json", (49406, 49407)
@@ -108,6 +109,15 @@ def vector_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("vec_id", F.size("embedding").alias("dim"), r6(V.norm("embedding")).alias("norm"))
 
 
+@query("SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings")
+def matrix_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings written as matrix files by all tasks, and read again by ranges of rows."""
+    spark.dataSource.register(Matrices)
+    path = _folder(spark).removeprefix("file:")
+    table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<float>").alias("vector")).write.format("matrix").mode("append").save(path)
+    return spark.read.format("matrix").option("rows", 500).load(path).select(F.col("row").alias("vec_id"), F.col("vector").cast("array<double>").alias("embedding"))
+
+
 @query("SELECT lang, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
 def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
