@@ -147,23 +147,30 @@ HELD = 1 << 17
 
 
 class HashVocab:
-    """The whole-numbered vector of a token, from its MD5 digests; those of the last tokens are held, in two generations."""
+    """Whole-numbered vectors of tokens, from their MD5 digests; those of the last tokens are held, in two generations."""
 
     def __init__(self) -> None:
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def vector(self, token: str) -> np.ndarray:
-        found = self.young.get(token)
-        if found is None:
-            found = self.old.get(token)
-            if found is None:
-                digests = b"".join(hashlib.md5(f"{token}:{k}".encode("utf-8", "surrogatepass")).digest() for k in range(DIM // 4))
-                found = np.frombuffer(digests, dtype=">u4").astype(np.int64) % 2001 - 1000
-            if len(self.young) >= HELD:
-                self.old, self.young = self.young, {}
-            self.young[token] = found
-        return found
+        self.place: list[dict[str, int]] = [{}, {}]
+        self.rows = [np.zeros((0, DIM), dtype=np.int64)] * 2
+
+    def vectors(self, tokens: list[str]) -> np.ndarray:
+        """A row for each of the distinct ``tokens``."""
+        out, missing = np.empty((len(tokens), DIM), dtype=np.int64), np.ones(len(tokens), dtype=bool)
+        for place, rows in zip(self.place, self.rows, strict=True):
+            at = np.fromiter((place.get(w, -1) for w in tokens), dtype=np.int64, count=len(tokens))
+            found = missing & (at >= 0)
+            out[found] = rows[at[found]]
+            missing &= ~found
+            if not missing.any():
+                return out
+        new = [tokens[i] for i in np.flatnonzero(missing).tolist()]
+        digests = b"".join([hashlib.md5(f"{w}:{k}".encode("utf-8", "surrogatepass")).digest() for w in new for k in range(DIM // 4)])
+        out[missing] = np.frombuffer(digests, dtype=">u4").astype(np.int64).reshape(-1, DIM) % 2001 - 1000
+        if len(self.place[0]) >= HELD:
+            self.place, self.rows = [{}, self.place[0]], [np.zeros((0, DIM), dtype=np.int64), self.rows[0]]
+        self.place[0].update(zip(new, range(len(self.rows[0]), len(self.rows[0]) + len(new)), strict=True))
+        self.rows[0] = np.concatenate([self.rows[0], out[missing]])
+        return out
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:
         """The sum of the vectors of the tokens of each text."""
@@ -172,9 +179,8 @@ class HashVocab:
         sizes = np.array([len(words) for words in texts])
         out = np.zeros((len(texts), DIM), dtype=np.int64)
         if len(at):
-            table = np.stack([self.vector(w) for w in places])
             filled = np.flatnonzero(sizes)
-            out[filled] = np.add.reduceat(table[at], (np.cumsum(sizes) - sizes)[filled], axis=0)
+            out[filled] = np.add.reduceat(self.vectors(list(places))[at], (np.cumsum(sizes) - sizes)[filled], axis=0)
         return out
 
 

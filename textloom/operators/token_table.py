@@ -41,7 +41,7 @@ def signs() -> np.ndarray:
 def neighbours(texts: DataFrame, text: str = "text") -> DataFrame:
     """``token``, ``bucket``, ``n``: how often a context of the bucket stands within ``REACH`` of the token; added up."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 places: dict[str, int] = {}
@@ -55,9 +55,9 @@ def neighbours(texts: DataFrame, text: str = "text") -> DataFrame:
                 tokens, buckets = list(places), np.array([bucket_of(w) for w in places])
                 left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 key, n = np.unique(left * BUCKETS + buckets[right], return_counts=True)
-                yield pd.DataFrame({"token": [tokens[i] for i in (key // BUCKETS).tolist()], "bucket": key % BUCKETS, "n": n})
+                yield pa.record_batch([pa.array(tokens, pa.string()).take(pa.array(key // BUCKETS)), pa.array(key % BUCKETS), pa.array(n)], names=["token", "bucket", "n"])
 
-    counts = texts.select(text).mapInArrow(_framed(run), "token string, bucket long, n long")
+    counts = texts.select(text).mapInArrow(run, "token string, bucket long, n long")
     return counts.groupBy("token", "bucket").agg(F.sum("n").alias("n"))
 
 
