@@ -175,7 +175,11 @@ def merged_runs(runs: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no window occurs, with the columns of ``docs``."""
+    """The rows of ``docs`` in which no window occurs, with the columns of ``docs``.
+
+    Null and empty texts stay, and so does every row if the benchmark is empty. Repeated rows stay or go alike, an
+    empty table stays empty.
+    """
     return mark(docs, benchmark, text, n).filter(F.col("n_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

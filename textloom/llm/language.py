@@ -171,6 +171,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is found and not ambiguous, with the columns of ``docs``."""
+    """The rows of ``docs`` whose language is found and not ambiguous, with the columns of ``docs``.
+
+    Null texts and those without letters go. Where two languages tie the text is ambiguous and goes; repeated rows stay
+    or go alike, an empty table stays empty. If no row has a ``lang`` to learn from, every row goes.
+    """
     names = tuple(free_name(docs, n) for n in ("__lang", "__score", "__ambiguous"))
     return add_language(docs, fit(docs), "text", names).filter(f"{names[0]} <> 'und' AND NOT {names[2]}").drop(*names)

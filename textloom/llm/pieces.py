@@ -268,7 +268,7 @@ def add_ids(docs: DataFrame, model_file: str, text: str = "text", out: str = "in
 
 
 def add_decoded(docs: DataFrame, model_file: str, ids: str = "input_ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with the text that ``ids`` stand for; empty for null."""
+    """``docs`` with the text that ``ids`` stand for; empty for null or no ids. A column named ``out`` is replaced, an empty table stays empty."""
     load = _encoder(docs, model_file)
 
     def make() -> Callable[[pd.Series], pd.DataFrame]:

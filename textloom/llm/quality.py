@@ -185,6 +185,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with the columns of ``docs``."""
+    """The rows of ``docs`` that score ``threshold`` or more, with the columns of ``docs``.
+
+    Null texts score as empty ones. A row at the threshold stays, repeated rows stay or go alike, an empty table stays empty.
+    """
     spare = free_name(docs, "__score")
     return add_score(docs, fit(docs, labels), "text", spare).filter(F.col(spare) >= threshold).drop(spare)
