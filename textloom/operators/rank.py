@@ -25,17 +25,17 @@ def salience(rows: DataFrame, group: str, vec: str = "embedding") -> DataFrame:
     return rows.join(_small(cut(centroids(rows, group, vec))), group).withColumn("score", V.cosine(vec, "centroid")).drop("centroid")
 
 
-def ranked(scored: DataFrame, group: str, id_col: str, k: int | None = None) -> DataFrame:
-    """With ``rank`` from 0 by falling score, ties to the lowest id; the best ``k`` of each group, or all."""
-    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), id_col)) - 1)
+def ranked(scored: DataFrame, group: str, id_col: str, k: int | None = None, score: str = "score") -> DataFrame:
+    """With ``rank`` from 0 by falling ``score``, ties to the lowest id; the best ``k`` of each group, or all."""
+    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), id_col)) - 1)
     return out if k is None else out.filter(F.col("rank") < k)
 
 
-def reranked(units: DataFrame, group: str, id_col: str, logit: Column, k: int | None = None, diversify: float = 0.0) -> DataFrame:
-    """``ranked`` by the score of a pair scorer, sigmoid(logit). There are no vectors here, so ``diversify`` changes nothing."""
+def reranked(units: DataFrame, group: str, id_col: str, logit: Column, k: int | None = None, diversify: float = 0.0, score: str = "score") -> DataFrame:
+    """``ranked`` by ``score``, that of a pair scorer, sigmoid(logit). There are no vectors here, so ``diversify`` changes nothing."""
     if not 0 <= diversify <= 1:
         raise ValueError("diversify is from 0 to 1")
-    return ranked(units.withColumn("score", T.sigmoid(logit)), group, id_col, k)
+    return ranked(units.withColumn(score, T.sigmoid(logit)), group, id_col, k, score)
 
 
 #: Candidates of a group that meet in a task; groups up to which their picks are broadcast.

@@ -370,14 +370,18 @@ def rerank_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", r6("rerank_score").alias("rerank_score"))
 
 
-@query(f"""WITH {E_}, q AS (SELECT v AS q FROM e WHERE vec_id = 0), q1 AS (SELECT v AS w FROM e WHERE vec_id = 1),
-s AS (SELECT vec_id, v, list_cosine_similarity(v, q) AS score FROM e, q ORDER BY score DESC, vec_id LIMIT 50)
-SELECT vec_id, round(score, 6) AS score, round(1 / (1 + exp(-4 * list_cosine_similarity(v, w))), 6) AS rerank_score FROM s, q1 ORDER BY 1 / (1 + exp(-4 * list_cosine_similarity(v, w))) DESC, vec_id LIMIT 10""")
+@query(f"""WITH {E_}, s AS (SELECT q.vec_id AS query_id, e.vec_id, e.v, list_cosine_similarity(e.v, q.v) AS score FROM e, e q WHERE q.vec_id % 100 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s), g AS (SELECT f.*, 1 / (1 + exp(-4 * list_cosine_similarity(f.v, w.v))) AS again FROM f JOIN e w ON w.vec_id = f.query_id + 1 WHERE n <= 50),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY again DESC, vec_id) - 1)::INTEGER AS rank FROM g)
+SELECT query_id, vec_id, round(score, 6) AS score, round(again, 6) AS rerank_score, rank FROM r WHERE rank < 10""")
 def retrieve_then_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = retrieve.top_k(table(spark, sf_dir, "embeddings"), one_vector(spark, sf_dir), k=50, id_col="vec_id")
-    both = first.crossJoin(F.broadcast(one_vector(spark, sf_dir, 1)))
-    best = pairs.rerank(both, 4.0 * V.cosine("embedding", "q"), 10, pos="vec_id")
-    return best.select("vec_id", r6("score").alias("score"), r6("rerank_score").alias("rerank_score"))
+    """Fifty nearest rows of each query, ranked anew by a pair scorer that knows the vector after the query's; the best ten."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    first = retrieve.top_k_batch(e, asked, k=50, id_col="vec_id").drop("rank").join(e, "vec_id")
+    both = first.join(e.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    best = rank.reranked(both, "query_id", "vec_id", 4.0 * V.cosine("embedding", "q"), 10, score="rerank_score")
+    return best.select("query_id", "vec_id", r6("score").alias("score"), r6("rerank_score").alias("rerank_score"), "rank")
 
 
 def _nli_logits(text: Column, hypothesis: Column) -> Column:
