@@ -127,6 +127,18 @@ def word_spans(text: Column | str) -> Column:
     return F.when(_c(text).isNotNull(), F.get(zipped, F.lit(0)))
 
 
+def units_of(text: str | None, pattern: regex.Pattern) -> tuple[list[int], list[str]]:
+    """Where the matches of ``pattern`` that are not blank begin, without white space around them, and they themselves."""
+    starts, own = [], []
+    for m in pattern.finditer(text or ""):
+        held = m.group()
+        unit = held.strip()
+        if unit:
+            starts.append(m.start() + len(held) - len(held.lstrip()))
+            own.append(unit)
+    return starts, own
+
+
 def spans_of(pattern: str, text: Column | str) -> Column:
     """``start``, ``end`` and ``text`` of every match of ``pattern`` that is not blank, without white space around it."""
     found = regex.compile(pattern)
@@ -136,13 +148,7 @@ def spans_of(pattern: str, text: Column | str) -> Column:
         for texts in _parts(batches):
             rows = []
             for t in texts:
-                starts, own = [], []
-                for m in found.finditer(t or ""):
-                    held = m.group()
-                    unit = held.strip()
-                    if unit:
-                        starts.append(m.start() + len(held) - len(held.lstrip()))
-                        own.append(unit)
+                starts, own = units_of(t, found)
                 at = np.array(starts, dtype=np.int32)
                 rows.append((at, at + np.array([len(x) for x in own], dtype=np.int32), own))
             yield pd.DataFrame(rows, columns=["start", "end", "text"])

@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import scorers, tokens
+from textloom.functions import scorers, sql, tokens
 from textloom.functions import text as T
 from textloom.functions import vectors as V
 from textloom.operators import batches, chunk, evaluate, pairs, rank
@@ -218,6 +218,28 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunked(docs, "paragraph")
 
 
+def _view(df: DataFrame) -> str:
+    """The name of a view of ``df``, for SQL text."""
+    name = f"v{uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+@query(f"WITH {SENTENCES_SQL} SELECT doc_id, pos::BIGINT AS pos, start::INTEGER AS start, stop::INTEGER AS \"end\", text FROM un")
+def sql_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    docs = _view(table(spark, sf_dir, "documents"))
+    return spark.sql(f"SELECT d.doc_id, s.pos, s.start, s.end, s.text FROM {docs} d, LATERAL text_segments(d.text, 'sentence') s")
+
+
+@query(C.SQL["budget_pack"].replace("list(i::INTEGER ORDER BY i) AS unit_indices", "count(*)::INTEGER AS n_units").replace("SELECT parent, chunk,", "SELECT parent, chunk::INTEGER AS chunk,"))
+def sql_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    docs = _view(table(spark, sf_dir, "documents"))
+    units = f"SELECT doc_id AS parent, CAST(pos AS BIGINT) AS pos, CAST(size(regexp_extract_all(line, r'(?U)(\\S+)', 1)) AS BIGINT) AS tokens, CAST(NULL AS DOUBLE) AS sim FROM {docs} LATERAL VIEW posexplode(split(text, '\\n')) l AS pos, line"
+    return spark.sql(f"SELECT * FROM pack_units(TABLE({units}) PARTITION BY parent ORDER BY (pos), 64, CAST(0 AS DOUBLE))")
+
+
 @query("""WITH RECURSIVE l AS (SELECT doc_id AS parent, i - 1 AS i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)),
 n AS (SELECT parent, i, i AS pos, len(regexp_extract_all(line, '[^""" + C.SPACE + """]+')) AS tokens FROM l)"""
     + C.PACK_SQL.format(cut="(r.held + n.tokens > 64)").replace("\nSELECT parent, chunk,", ", k AS (SELECT parent, chunk,")
