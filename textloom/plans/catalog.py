@@ -269,9 +269,9 @@ def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
-@query(f"""WITH d AS (SELECT text, regexp_extract_all(text, '{WORD_SQL}') AS w, string_split(regexp_replace(text, '{WORD_SQL}', chr(1), 'g'), chr(1)) AS gaps FROM documents),
-e AS (SELECT text, w, list_transform(w, lambda x, i: list_sum(list_transform(w[:i], lambda y: length(y))) + list_sum(list_transform(gaps[:i], lambda y: length(y))) - length(x)) AS starts FROM d WHERE len(w) <= 2000)
-SELECT (SELECT sum(len(w)) FROM d)::BIGINT AS n_words, count(*) FILTER (substring(text, starts[i]::BIGINT + 1, length(w[i])) <> w[i])::BIGINT AS n_wrong FROM e, unnest(range(1, len(w) + 1)) t(i)""")
+#: Words and what stands between them, put together again, are the text, so the offsets that their lengths add up to are right.
+@query(f"""WITH d AS (SELECT text, regexp_extract_all(text, '{WORD_SQL}') AS w, string_split(regexp_replace(text, '{WORD_SQL}', chr(1), 'g'), chr(1)) AS gaps FROM documents)
+SELECT sum(len(w))::BIGINT AS n_words, coalesce(sum(len(w)) FILTER (array_to_string(list_transform(list_zip(gaps, w), lambda x: x[1] || coalesce(x[2], '')), '') <> text), 0)::BIGINT AS n_wrong FROM d""")
 def offset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "documents").select("text", F.explode(T.word_spans("text")).alias("w"))
     wrong = F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")) != F.col("w.text")
@@ -313,7 +313,8 @@ _SIGNS = ", ".join(f"sum(weight * CASE WHEN ('0x' || substr(md5('bucket:' || buc
 #: CTEs that learn ``tt`` (token, n, vector) from the documents.
 TOKEN_SQL = f"""tw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^{SPACE}]+') AS w FROM documents),
 tk AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM tw),
-tp AS (SELECT a.token, ('0x' || substr(md5(b.token), 1, 8))::BIGINT % {token_table.BUCKETS} AS bucket FROM tk a JOIN tk b USING (doc_id) WHERE b.i IN (a.i - 2, a.i - 1, a.i + 1, a.i + 2)),
+tz AS (SELECT token, [lag(token, 2) OVER o, lag(token, 1) OVER o, lead(token, 1) OVER o, lead(token, 2) OVER o] AS near FROM tk WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+tp AS (SELECT token, ('0x' || substr(md5(c), 1, 8))::BIGINT % {token_table.BUCKETS} AS bucket FROM (SELECT token, unnest(near) AS c FROM tz) WHERE c IS NOT NULL),
 tc AS (SELECT token, bucket, count(*) AS n FROM tp GROUP BY ALL),
 tm AS (SELECT *, greatest(0.0::DOUBLE, ln(n::DOUBLE * sum(n) OVER () / sum(n) OVER (PARTITION BY token) / sum(n) OVER (PARTITION BY bucket))) AS weight FROM tc),
 tv AS (SELECT token, [{_SIGNS}] AS v FROM tm GROUP BY token),
