@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -82,16 +83,34 @@ def first_text(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit(""))
 
 
-_WORDS = regex.compile(WORD.replace(r"\w", r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]"))
-_ASCII_WORDS = re.compile(WORD, re.ASCII)
+@cache
+def _classes() -> np.ndarray:
+    """For each code point: 1 in words, 2 for marks, 0 for white space."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.full(0x110000, 2, dtype=np.uint8)
+    for pattern, kind in ((r"\s+", 0), (r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]+", 1)):
+        for m in regex.finditer(pattern, every):
+            a, b = (i if i < 0xD800 else i + 0x800 for i in (m.start(), m.end() - 1))
+            out[a : b + 1] = kind
+    out[0xD800:0xE000] = 2
+    return out
 
 
 def offsets_of(text: str | None) -> np.ndarray:
-    """Start and end of every word of ``text``, a row each; for functions that see whole texts in Python."""
-    # In ASCII both patterns find the same, but for four control characters that only one counts as white space.
-    plain = bool(text) and text.isascii() and not _SEPARATORS.search(text)
-    each = [m.span() for m in (_ASCII_WORDS if plain else _WORDS).finditer(text)] if text else []
-    return np.array(each, dtype=np.int32).reshape(-1, 2)
+    """Start and end of every word of ``text``, a row each; for functions that see whole texts in Python.
+
+    What ``WORD`` matches, found for all characters at once: runs of word characters, with single hyphens inside, and marks alone.
+    """
+    if not text:
+        return np.zeros((0, 2), dtype=np.int32)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = np.concatenate([[0], _classes()[codes], [0]])
+    word = kind == 1
+    word[1:-1] |= (codes == 45) & word[:-2] & word[2:]
+    mark = (kind == 2) & ~word
+    starts = np.flatnonzero((word[1:-1] & ~word[:-2]) | mark[1:-1])
+    ends = np.flatnonzero((word[1:-1] & ~word[2:]) | mark[1:-1]) + 1
+    return np.stack([starts, ends], axis=1).astype(np.int32)
 
 
 def word_offsets(text: Column | str) -> Column:
