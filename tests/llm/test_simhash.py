@@ -3,6 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
+from textloom.llm import jaccard
 from textloom.llm import simhash as S
 from textloom.llm.components import connected_components
 
@@ -86,6 +87,6 @@ def test_documents_with_nulls_repeats_and_no_rows(spark):
     got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in S.components(df).collect()), key=str)
     a, q = (f"{brute_print(t, 4):016x}" for t in ("a b c d e", "q r s t u v"))
     assert got == sorted([(5, a, 3), (3, a, 3), (3, a, 3), (None, "0" * 16, 9), (9, "0" * 16, 9), (8, q, 8)], key=str)
-    kept = S.keep_one(df)
+    kept = jaccard.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 8, 9]
-    assert S.components(df.limit(0)).count() == 0 and S.keep_one(df.limit(0)).count() == 0
+    assert S.components(df.limit(0)).count() == 0 and jaccard.keep_one(df.limit(0)).count() == 0
