@@ -59,6 +59,37 @@ def test_learns_order(spark):
     assert sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
 
 
+def test_every_training_row_is_trained_on(spark, monkeypatch):
+    """With the production parameters each row to learn from is in one round, whole, and no held-out row in any."""
+    given = spark.createDataFrame([(i, t, "w", 1, 2) for i, t in rows()] * 2, SCHEMA)
+    learn = [t for i, t in rows() if i is None or zlib.crc32(str(i).encode()) % 5 != 1] * 2
+    used, trained = [], neural_lm.trained
+
+    def looking(net, texts, vocab, rounds):
+        held = texts.filter(f"round BETWEEN 0 AND {rounds - 1}").selectExpr("held_out", "size(ids) AS n", "n_tokens").collect()
+        used.extend(r.n for r in held)
+        assert all(r.n == r.n_tokens and not r.held_out for r in held)
+        return trained(net, texts, vocab, rounds)
+
+    monkeypatch.setattr(neural_lm, "trained", looking)
+    got = neural_lm.score_documents(given).collect()
+    assert sorted(used) == sorted(len(tokens(t)) for t in learn) and len(got) == 2 * len(rows())
+
+
+def test_scores_whatever_is_scored_at_once(spark, monkeypatch):
+    given = spark.createDataFrame([(i, t, "w", 1, 2) for i, t in rows()], SCHEMA).coalesce(1)
+    counts = neural_lm.word_counts(given)
+    vocab, _ = neural_lm.vocabulary(counts)
+    net = recurrent.Network.new(vocab.ids[1], 4, 1)
+    got = []
+    for some in (1 << 21, 50, 1):
+        monkeypatch.setattr(neural_lm, "TOKENS", some)
+        found = neural_lm.scored(neural_lm.encoded(given, vocab), net, vocab).collect()
+        got.append({r.doc_id: r.score for r in found})
+        assert len(found) == len(rows())
+    assert got[1] == pytest.approx(got[0], rel=1e-4) and got[2] == pytest.approx(got[0], rel=1e-4)
+
+
 def small(ids=20, hidden=5):
     net = recurrent.Network.new(np.arange(ids, 0, -1), hidden, 1)
     return recurrent.Network(*[getattr(net, n).astype(np.float64) for n in net.NAMES])

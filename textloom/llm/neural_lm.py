@@ -9,10 +9,11 @@ other than 1.
    within that id is that of its count, (c + 1/2) / (n + (v + 1) / 2), where n and v count the training tokens and
    words outside the network, so the model gives every known word and one unknown word a probability, and all of them sum to 1.
    It starts from the counts of all training tokens.
-3. ``ROUNDS`` times, every partition trains the network on its own share of the texts, by truncated backpropagation with the
-   state carried on, and Spark averages the weights by tokens, parameter block by parameter block. One text of
-   ``EVERY`` is trained on, picked by a hash, so the texts grow with the corpus. All training rows are counted.
-4. Every text is scored whole, the state carried from window to window. Words outside the broadcast ones go to the
+3. Every row is put into ids once, whole, and kept.
+4. ``ROUNDS`` times, every partition trains the network on its own share of the texts, by truncated backpropagation with the
+   state carried on, and Spark averages the weights by tokens, parameter block by parameter block. All training rows are
+   trained on, each in one round, which a hash of the row gives.
+5. Every text is scored whole, the state carried from window to window. Words outside the broadcast ones go to the
    table of counts by a join, and their logarithms come back as sums by row.
 
 Null texts are empty ones, which have one token, the end. Rows with a null id are learned from. Repeated rows count
@@ -36,11 +37,14 @@ from textloom.llm.common import cut
 from textloom.operators.numbering import stored
 
 LOOKUP, MODEL, HIDDEN, SEED = 1 << 18, 4096, 16, 7
-EVERY, ROUNDS = 16, 2
+#: One text of so many is trained on: all of them.
+EVERY = 1
+ROUNDS = 2
 #: Words that a task counts before it hands them on, tokens that it scores or trains on at once, weights in a block.
 COUNTED, TOKENS, BLOCK = 1 << 20, 1 << 21, 1 << 13
 END = ""
-SCORED = "row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<long>"
+ENCODED = "row long, doc_id {id}, held_out boolean, round int, n_tokens long, n_known long, base double, inside double, ids array<int>, rare array<string>, times array<long>"
+SCORED = "row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, others long"
 
 
 def learned(doc_id: Column) -> Column:
@@ -133,12 +137,12 @@ def encoder(vocab: Vocabulary) -> Callable[[str | None], tuple[np.ndarray, list[
 
 
 def trained(net: recurrent.Network, texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> recurrent.Network:
-    """``net`` after ``rounds`` of training on the encoded ``texts`` (``ids``, ``round``), a copy for each partition, averaged after each."""
+    """``net`` after ``rounds`` of training on the ``encoded`` ``texts``, each in its round, a copy for each partition, averaged after each."""
     spark, end = texts.sparkSession, vocab.ids[2]
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(net)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = sent.value.filled(sent.value.flat())
             held = recurrent.fresh(own)
             seen, docs, size = 0, [], 0
@@ -147,8 +151,8 @@ def trained(net: recurrent.Network, texts: DataFrame, vocab: Vocabulary, rounds:
                 recurrent.train(own, docs, end, held)
 
             for b in batches:
-                for x in b["ids"]:
-                    docs.append(np.asarray(x, dtype=np.int32))
+                for x in listed(b.column("ids")):
+                    docs.append(x)
                     size += len(x)
                     if size >= TOKENS:
                         step()
@@ -159,7 +163,7 @@ def trained(net: recurrent.Network, texts: DataFrame, vocab: Vocabulary, rounds:
             flat = own.flat().astype(np.float64) * seen
             blocks = range(0, len(flat) if seen else 0, BLOCK)
             for at in blocks:
-                yield pd.DataFrame({"block": [at // BLOCK], "weights": [flat[at : at + BLOCK]], "tokens": [seen]})
+                yield pa.record_batch({"block": pa.array([at // BLOCK], pa.int32()), "weights": pa.array([flat[at : at + BLOCK]], pa.list_(pa.float64())), "tokens": pa.array([seen], pa.int64())})
 
         def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             totals: dict[int, list] = {}
@@ -172,70 +176,106 @@ def trained(net: recurrent.Network, texts: DataFrame, vocab: Vocabulary, rounds:
                 yield pd.DataFrame({"block": list(totals), "weights": [w for w, _ in totals.values()], "tokens": [t for _, t in totals.values()]})
 
         kind = "block int, weights array<double>, tokens long"
-        found = texts.filter(F.col("round") == k).mapInPandas(run, kind).repartition("block").mapInPandas(summed, kind).collect()
+        found = texts.filter(F.col("round") == k).select("ids").mapInArrow(run, kind).repartition("block").mapInPandas(summed, kind).collect()
         if found:
             blocks = sorted(found, key=lambda r: r.block)
             net = net.filled(np.concatenate([np.asarray(r.weights) / r.tokens for r in blocks]))
     return net
 
 
-def encoded(texts: DataFrame, vocab: Vocabulary, every: int, rounds: int) -> DataFrame:
-    """``ids``, ``round`` of the one text of ``every`` that is trained on; kept, so that each round reads its own."""
-    sent = texts.sparkSession.sparkContext.broadcast(vocab)
-    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(every * rounds))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, (of, _, end, _) = encoder(sent.value), sent.value.ids
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"ids": [np.append(of[encode(t)[0]], np.int32(end)) for t in b["text"]], "round": b["round"]})
+def listed(lists: pa.ListArray) -> list[np.ndarray]:
+    """The numbers of each list; there are no nulls."""
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1]) if len(ends) else []
 
-    chosen = texts.withColumn("round", pick.cast("int")).filter(F.col("round") < rounds).select("text", "round")
-    return stored(chosen.mapInPandas(run, "ids array<int>, round int"), "lm-texts")
 
+def encoded(docs: DataFrame, vocab: Vocabulary, every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
+    """What a task knows of each row before there is a network, kept: the network's ids, sums over the words in the vocabulary, and the others with how often they occur.
 
-def scored(docs: DataFrame, net: recurrent.Network, vocab: Vocabulary) -> DataFrame:
-    """What a task knows of each row: sums over the words in the vocabulary, and the others with how often they occur."""
-    sent = docs.sparkSession.sparkContext.broadcast((net, vocab))
+    ``round``: that in which it is trained on, or -1. Of the rows to learn from, one of ``every`` is; all of them if that is 1.
+    """
+    sent, most = docs.sparkSession.sparkContext.broadcast(vocab), TOKENS
     kind = docs.schema["doc_id"].dataType.simpleString()
+    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(every * rounds))
+    turn = F.when(learned(F.col("doc_id")) & (pick < rounds), pick).otherwise(-1).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, vocab = sent.value
+        vocab = sent.value
         encode, (of, by_id, end, other) = encoder(vocab), vocab.ids
         logs = np.log10(vocab.counts + 0.5)
         whole = np.log10(vocab.tokens + 0.5 * (vocab.distinct + 1))
         outside = np.log10(by_id[other] + 0.5 * (vocab.distinct - vocab.known - (vocab.end > 0) + 1))
         end_log = np.log10(vocab.end + 0.5)
-        rows: list[tuple] = []
-        ids: list[np.ndarray] = []
-        size = 0
 
-        def answer() -> pa.RecordBatch:
-            model = recurrent.score(net, ids, end) / np.log(10)
-            out = {n: [r[i] for r in rows] for i, n in enumerate(("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "rare", "times"))}
-            out["score"] = model + np.array(out.pop("inside"))
-            return pa.record_batch([pa.array(out[f.name], f.type) for f in fields], schema=fields)
+        def answer(b: pa.RecordBatch, at: int, ids: list[np.ndarray], rows: list[tuple]) -> pa.RecordBatch:
+            given = [b.column(n).slice(at, len(rows)) for n in ("row", "doc_id", "held_out", "round")]
+            n_tokens = np.array([len(x) for x in ids], dtype=np.int64)
+            starts = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+            n_known, base, inside, rare, times = zip(*rows, strict=True)
+            made = [pa.array(n_tokens), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(ids)))]
+            words = [pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            return pa.record_batch(given + made + words, names=["row", "doc_id", "held_out", "round", "n_tokens", "n_known", "base", "inside", "ids", "rare", "times"])
 
         for b in batches:
-            fields = pa.schema([("row", pa.int64()), ("doc_id", b.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
-            for row, doc_id, held_out, text in zip(*(b.column(n) for n in ("row", "doc_id", "held_out", "text")), strict=True):
-                at, rest = encode(text.as_py())
-                near = at[at >= 0]
+            at, size, ids, rows = 0, 0, [], []
+            for text in b.column("text"):
+                places, rest = encode(text.as_py())
+                near = places[places >= 0]
                 rare = Counter(rest)
-                base = float(logs[near].sum()) + end_log - (len(at) + 1) * whole
+                base = float(logs[near].sum()) + end_log - (len(places) + 1) * whole
+                own = of[places]
                 # Words that the network has no id of their own for share one.
-                inside = float(logs[near[near >= vocab.known]].sum()) - outside * int((of[at] == other).sum())
-                rows.append((row.as_py(), doc_id.as_py(), held_out.as_py(), len(at) + 1, len(near) + (vocab.end > 0), base, inside, [w.decode("utf-8", "surrogatepass") for w in rare], list(rare.values())))
-                ids.append(np.append(of[at], np.int32(end)))
-                size += len(at) + 1
-                if size >= TOKENS:
-                    yield answer()
-                    rows, ids, size = [], [], 0
-        if rows:
-            yield answer()
+                inside = float(logs[near[near >= vocab.known]].sum()) - outside * int((own == other).sum())
+                rows.append((len(near) + (vocab.end > 0), base, inside, [w.decode("utf-8", "surrogatepass") for w in rare], list(rare.values())))
+                ids.append(np.append(own, np.int32(end)))
+                size += len(own) + 1
+                if size >= most:
+                    yield answer(b, at, ids, rows)
+                    at, size, ids, rows = at + len(rows), 0, [], []
+            if rows:
+                yield answer(b, at, ids, rows)
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    return stored(numbered.select("row", "doc_id", (~learned(F.col("doc_id"))).alias("held_out"), "text").mapInArrow(run, SCORED.format(id=kind)), "lm-scores")
+    return stored(numbered.select("row", "doc_id", (~learned(F.col("doc_id"))).alias("held_out"), turn.alias("round"), "text").mapInArrow(run, ENCODED.format(id=kind)), "lm-rows")
+
+
+def scored(texts: DataFrame, net: recurrent.Network, vocab: Vocabulary) -> DataFrame:
+    """The rows of ``encoded`` with the network's ``score`` but for the ``others``, which are the words outside the vocabulary, with repeats."""
+    sent, end, most = texts.sparkSession.sparkContext.broadcast(net), vocab.ids[2], TOKENS
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        ids: list[np.ndarray] = []
+        size = 0
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            model, at = recurrent.score(sent.value, ids, end) / np.log(10), 0
+            for b in held:
+                score = b.column("inside").to_numpy() + model[at : at + len(b)]
+                at += len(b)
+                columns = [b.column(n) for n in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base")]
+                yield pa.record_batch([*columns, pa.array(score), b.column("others")], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others"])
+
+        for whole in batches:
+            ends = np.cumsum(whole.column("n_tokens").to_numpy())
+            at = 0
+            while at < len(whole):
+                # Rows up to that many tokens with those that are held, one at least.
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most - size, side="right")))
+                part = whole.slice(at, stop - at)
+                held.append(part)
+                ids.extend(listed(part.column("ids")))
+                size += sum(map(len, ids[-len(part) :]))
+                at = stop
+                if size >= most or at < len(whole):
+                    yield from answer()
+                    held, ids, size = [], [], 0
+        if held:
+            yield from answer()
+
+    others = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x).alias("others")
+    return texts.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "ids", others).mapInArrow(run, SCORED.format(id=kind))
 
 
 def score_documents(docs: DataFrame, lookup: int = LOOKUP, model: int = MODEL, hidden: int = HIDDEN, every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
@@ -252,14 +292,15 @@ def score_documents(docs: DataFrame, lookup: int = LOOKUP, model: int = MODEL, h
         n = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)) + 1
         return rows.select("doc_id", (~learned(F.col("doc_id"))).alias("held_out"), n.cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), total, size.alias("base_score"), size.alias("score"))
     net = recurrent.Network.new(vocab.ids[1], hidden, SEED)
-    net = trained(net, encoded(learn, vocab, every, rounds), vocab, rounds)
-    found = scored(rows, net, vocab)
+    texts = encoded(rows, vocab, every, rounds)
+    net = trained(net, texts, vocab, rounds)
+    found = scored(texts, net, vocab)
     # The words that no task knows: their counts are looked up by word, and their sums come back by row.
-    rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     # Only those that the training rows have; the others' counts are 0.
     known = rare.join(counts.filter((F.col("n") < least) & (F.col("word") != END)), "word")
     none = float(np.log10(0.5))
     sums = known.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - none)).alias("logs"))
-    out = found.drop("rare").join(sums, "row", "left")
-    missed = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x) * none + F.coalesce("logs", F.lit(0.0))
+    out = found.join(sums, "row", "left")
+    missed = F.col("others") * none + F.coalesce("logs", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), total, (F.col("base") + missed).alias("base_score"), (F.col("score") + missed).alias("score"))

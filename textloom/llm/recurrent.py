@@ -91,10 +91,6 @@ def streams(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray,
     return ids, owner, lengths
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _chosen(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The logarithm of the share that ``at`` has in each row; ``logits`` become their exponents, whose sums come second."""
     if logits.max(initial=0) > FAR:
@@ -106,55 +102,76 @@ def _chosen(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def forward(net: Network, before: np.ndarray, keep: np.ndarray, state: np.ndarray, tape: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each step (steps, streams, h), and the last; ``before``: the ids that come in, ``keep``: 0 where a document begins."""
-    h2 = 2 * net.recur.shape[0]
-    x = net.embed[before] + net.shift
-    out = np.empty((*before.shape, net.recur.shape[0]), dtype=np.float32)
+    """States after each step (steps, streams, h), and the last; ``before``: the ids that come in, ``keep``: 0 where a document begins.
+
+    ``tape`` gets, for all steps, the states before, the gates with the new values, and what the states gave those; in
+    these the streams come last, as they do inside.
+    """
+    h = net.recur.shape[0]
+    x, recur = net.embed[before], net.recur.T.copy()
+    x += net.shift
+    # A gate is (tanh(x / 2) + 1) / 2.
+    x[..., : 2 * h] *= 0.5
+    recur[: 2 * h] *= 0.5
+    x = np.ascontiguousarray(x.transpose(0, 2, 1))
+    out = np.empty((len(before), h, before.shape[1]), dtype=x.dtype)
+    olds, given, state = np.empty_like(out), np.empty_like(out), state.T
     for t in range(len(before)):
-        old = state * keep[t][:, None]
-        u = old @ net.recur
-        gates = _sigmoid(x[t, :, :h2] + u[:, :h2])
-        z, r = gates[:, : h2 // 2], gates[:, h2 // 2 :]
-        new = np.tanh(x[t, :, h2:] + r * u[:, h2:])
-        state = new + z * (old - new)
-        out[t] = state
-        if tape is not None:
-            tape.append((old, z, r, new, u[:, h2:]))
-    return out, state
+        old = np.multiply(state, keep[t], out=olds[t])
+        u = recur @ old
+        gates, new = x[t, : 2 * h], x[t, 2 * h :]
+        gates += u[: 2 * h]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        given[t] = u[2 * h :]
+        new += gates[h:] * u[2 * h :]
+        np.tanh(new, out=new)
+        state = np.subtract(old, new, out=out[t])
+        state *= gates[:h]
+        state += new
+    if tape is not None:
+        tape.extend((olds, x, given))
+    return np.ascontiguousarray(out.transpose(0, 2, 1)), state.T
 
 
 def log_probs(net: Network, states: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """The natural logarithm of each target's probability after its state; with ``grads``, also the slope of -sum by the states."""
-    size, classes = net.size, targets // net.size
+    size, n = net.size, len(targets)
+    classes = targets // size
+    # Of two bytes, which are sorted in linear time.
+    order = np.argsort(classes.astype(np.uint16) if len(net.class_bias) < 1 << 16 else classes, kind="stable")
+    states, classes, own = states[order], classes[order], (targets % size)[order]
     logits = states @ net.to_class
     logits += net.class_bias
     out, total = _chosen(logits, classes)
-    slope = None
-    if grads is not None:
-        logits /= total[:, None]
-        logits[np.arange(len(targets)), classes] -= 1
-        grads["to_class"] += states.T @ logits
-        grads["class_bias"] += logits.sum(axis=0)
-        slope = logits @ net.to_class.T
-    order = np.argsort(classes, kind="stable")
-    held = classes[order]
-    cuts = np.flatnonzero(np.diff(held)) + 1
-    for some in np.split(order, cuts) if len(order) else []:
-        c = classes[some[0]]
-        span = slice(c * size, (c + 1) * size)
-        own, words = targets[some] - c * size, net.to_word[span]
-        before = states[some]
-        logits = before @ words.T
-        logits += net.word_bias[span]
-        got, total = _chosen(logits, own)
-        out[some] += got
-        if grads is not None:
-            logits /= total[:, None]
-            logits[np.arange(len(some)), own] -= 1
-            grads["to_word"][span] += logits.T @ before
-            grads["word_bias"][span] += logits.sum(axis=0)
-            slope[some] += logits @ words
-    return out, slope
+    ends = np.searchsorted(classes, np.arange(len(net.class_bias) + 1)).tolist()
+    spans = [(slice(ends[c], ends[c + 1]), slice(c * size, (c + 1) * size)) for c in range(len(ends) - 1) if ends[c] < ends[c + 1]]
+    inside = np.empty((n, size), dtype=np.result_type(states, net.to_word))
+    for some, span in spans:
+        part = np.matmul(states[some], net.to_word[span].T, out=inside[some])
+        part += net.word_bias[span]
+    got, whole = _chosen(inside, own)
+    found = np.empty_like(out)
+    found[order] = out + got
+    if grads is None:
+        return found, None
+    at = np.arange(n)
+    logits /= total[:, None]
+    logits[at, classes] -= 1
+    grads["to_class"] += states.T @ logits
+    grads["class_bias"] += np.ones(n, dtype=logits.dtype) @ logits
+    slope = logits @ net.to_class.T
+    inside /= whole[:, None]
+    inside[at, own] -= 1
+    for some, span in spans:
+        part = inside[some]
+        grads["to_word"][span] += part.T @ states[some]
+        grads["word_bias"][span] += np.ones(len(part), dtype=part.dtype) @ part
+        slope[some] += part @ net.to_word[span]
+    back = np.empty_like(slope)
+    back[order] = slope
+    return found, back
 
 
 def windows(ids: np.ndarray, owner: np.ndarray, lengths: np.ndarray, first: int, size: int = WINDOW, tokens: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
@@ -199,23 +216,29 @@ def gradients(net: Network, before: np.ndarray, keep: np.ndarray, targets: np.nd
     got, own = log_probs(net, states[there], targets[there], grads)
     slope = np.zeros_like(states)
     slope[there] = own
-    carried = np.zeros_like(state)
+    slope = np.ascontiguousarray(slope.transpose(0, 2, 1))
     h = net.recur.shape[0]
-    inward = np.empty((*before.shape, 3 * h), dtype=np.float32)
+    old, x, u = tape
+    z, r, new = x[:, :h], x[:, h : 2 * h], x[:, 2 * h :]
+    # What a state's slope is multiplied by for the slopes of both gates and of the new value.
+    inner = (1 - z) * (1 - new * new)
+    through = np.stack([(old - new) * z * (1 - z), inner * u * r * (1 - r), inner * r], axis=1)
+    carried = np.zeros(slope.shape[1:], dtype=slope.dtype)
     for t in range(len(before) - 1, -1, -1):
-        old, z, r, new, u = tape[t]
-        d = slope[t] + carried
-        d_new = d * (1 - z) * (1 - new * new)
-        d_z = d * (old - new) * z * (1 - z)
-        d_r = d_new * u * r * (1 - r)
-        inward[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-        through = np.concatenate([d_z, d_r, d_new * r], axis=1)
-        grads["recur"] += old.T @ through
-        carried = (d * z + through @ net.recur.T) * keep[t][:, None]
-    flat = inward.reshape(-1, 3 * h)
-    grads["shift"] += flat.sum(axis=0)
-    order = np.argsort(before.ravel(), kind="stable")
-    held = before.ravel()[order]
+        d = slope[t]
+        d += carried
+        through[t] *= d
+        carried = net.recur @ through[t].reshape(3 * h, -1)
+        carried += d * z[t]
+        carried *= keep[t]
+    by_token = lambda a: np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(-1, a.shape[1])
+    flat = by_token(through.reshape(len(before), 3 * h, -1))
+    grads["recur"] += by_token(old).T @ flat
+    flat[:, 2 * h :] = by_token(slope * inner)
+    grads["shift"] += np.ones(len(flat), dtype=flat.dtype) @ flat
+    ids = before.ravel()
+    order = np.argsort(ids.astype(np.uint16) if len(net.embed) < 1 << 16 else ids, kind="stable")
+    held = ids[order]
     starts = np.concatenate([[0], np.flatnonzero(np.diff(held)) + 1])
     grads["embed"] = np.add.reduceat(flat[order], starts, axis=0)
     n = np.float32(max(1, int(there.sum())))
