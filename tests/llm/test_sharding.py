@@ -66,6 +66,19 @@ def test_choice_like_a_plain_one(spark):
             assert shard == min(range(7), key=lambda s: (cost(key, s, given[s]), s))
 
 
+def test_a_record_makes_no_object_for_each_shard(spark):
+    """Costs are plain numbers: no struct for each shard, which filled the executors' memory; one more shard is the choice among all of them."""
+    df = spark.createDataFrame([*rows(800), (None, "", "", "")], SCHEMA)
+    for weights in (None, [1.0, 0.5, 3.0, 2.0, 1.0, 1.0, 4.0]):
+        chosen = sharding.assign_shards(df, "doc_id", 7, weights)
+        assert "struct" not in chosen._jdf.queryExecution().optimizedPlan().toString()
+        given = weights or [1.0] * 7
+        more = {r.doc_id: r.shard for r in sharding.assign_shards(df, "doc_id", 8, [*given, sum(given) / 7]).collect()}
+        one = {r.doc_id: r.shard for r in chosen.collect()}
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_manifest(df, "doc_id", "text", 7, weights).collect()}
+        assert got == {k: (one[k], more[k]) for k in one}
+
+
 def test_written_shards_hold_their_rows(spark, tmp_path):
     df = spark.createDataFrame([*rows(300), *[(7, "same", "s", None)] * 200], SCHEMA)
     sharding.write_shards(df, f"{tmp_path}/out", "doc_id", 5)

@@ -23,16 +23,28 @@ def _cost(key: Column, shard: int, weight: float) -> Column:
     return -F.log((bits + 0.5) * 2.0**-53) / F.lit(float(weight))
 
 
+def _weights(shards: int, weights: list[float] | None) -> list[float]:
+    weights = [1.0] * shards if weights is None else list(weights)
+    if shards < 1 or len(weights) != shards or min(weights) <= 0:
+        raise ValueError("give one positive weight for each of at least one shard")
+    return weights
+
+
+def _costs(key: Column, shards: int, weights: list[float] | None) -> Column:
+    # Plain numbers: a record costs one small array and no object for each shard.
+    return F.array(*[_cost(key, s, w) for s, w in enumerate(_weights(shards, weights))])
+
+
+def _cheapest(costs: Column) -> Column:
+    return (F.array_position(costs, F.array_min(costs)) - 1).cast("int")
+
+
 def shard_of(key: Column, shards: int, weights: list[float] | None = None) -> Column:
     """The shard (0-based int) of ``key``. Equal keys share a shard; null is a key like any other.
 
     Ties go to the lower shard. Raises ValueError unless there is a shard and every weight is positive.
     """
-    weights = [1.0] * shards if weights is None else list(weights)
-    if shards < 1 or len(weights) != shards or min(weights) <= 0:
-        raise ValueError("give one positive weight for each of at least one shard")
-    costs = F.array(*[F.struct(_cost(key, s, w).alias("cost"), F.lit(s).alias("shard")) for s, w in enumerate(weights)])
-    return F.array_min(costs)["shard"]
+    return _cheapest(_costs(key, shards, weights))
 
 
 def assign_shards(df: DataFrame, key: str, shards: int, weights: list[float] | None = None, shard_col: str = "shard") -> DataFrame:
@@ -48,14 +60,17 @@ def shard_manifest(df: DataFrame, key: str, text: str, shards: int, weights: lis
     mean weight) is added. Records that agree in key, size and checksum are counted before the shuffle and laid out
     again afterwards, so a key that a third of all rows hold stays one row until the end.
     """
-    grown = [*(weights or [1.0] * shards)]
-    grown.append(sum(grown) / len(grown))
+    more = _weights(shards, weights)
+    more = sum(more) / len(more)
     k = F.col(f"`{key}`")
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 16
     crc = F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(0)).cast("long")
     records = df.select(k.alias("k"), size.alias("size"), crc.alias("crc")).groupBy("k", "size", "crc").agg(F.count("*").alias("copies"))
     bucket = F.pmod(F.xxhash64("k", "size", "crc"), F.lit(SLOT_BUCKETS)).cast("int")
-    placed = cut(records.select("*", shard_of(F.col("k"), shards, weights).alias("shard"), shard_of(F.col("k"), shards + 1, grown).alias("grown_shard"), bucket.alias("bucket")))
+    costed = records.select("*", _costs(F.col("k"), shards, weights).alias("costs"), _cost(F.col("k"), shards, more).alias("cost"))
+    # One more shard takes a record if it costs less there than anywhere else; the other costs stay as they are.
+    grown = F.when(F.col("cost") < F.array_min("costs"), shards).otherwise(_cheapest(F.col("costs")))
+    placed = cut(costed.select("k", "size", "crc", "copies", _cheapest(F.col("costs")).alias("shard"), grown.alias("grown_shard"), bucket.alias("bucket")))
 
     # At most shards * SLOT_BUCKETS rows, whatever the input.
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
