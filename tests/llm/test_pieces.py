@@ -79,6 +79,20 @@ def test_best_of_all_segmentations():
         assert score(got) == pytest.approx(max(splits(P.MARK + t.replace(" ", P.MARK)))[0])
 
 
+def test_words_together_like_each_alone(encoder):
+    """Many words in one lattice get the ids of the plain one, odd characters too, in fewer steps than places times piece lengths."""
+    rng = random.Random(4)
+    marks = [P.MARK, "a", "th", "e", "ing", "ß", "好", "\0", "😀", "\ud800", "Z", ".", "##", "x"]
+    words = list({"".join(rng.choices(marks, k=rng.randint(1, 12)))[: P.LONGEST] for _ in range(3000)} | {"a", "\0", "好" * P.LONGEST})
+    fresh = P.Encoder.__new__(P.Encoder)
+    fresh.__dict__ |= encoder.__dict__ | {"known": {}}
+    walks, edges = [], P.Encoder.edges
+    fresh.edges = lambda codes: walks.append(len(codes)) or edges(fresh, codes)
+    fresh.learn(list(words))
+    assert len(fresh.known) == len(words) and all(fresh.known[w] == encoder.viterbi(w) for w in words)
+    assert walks == [sum(map(len, words)) + len(words)]  # all places of all words at once
+
+
 def test_tables_round_trip(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, n_tokens string")
     rows = P.encode_table(df, MODEL).collect()

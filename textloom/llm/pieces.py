@@ -115,6 +115,8 @@ class Encoder:
         self.bytes = [i for i, k in enumerate(v.kinds) if k == "b"]
         self.is_byte = {i: n for n, i in enumerate(self.bytes)}
         self.penalty = min((v.scores[i] for i in text), default=0.0) - 10
+        self.places = np.zeros(max(map(ord, trie.codes), default=0) + 2, dtype=np.int32)  # codes by character; the last is of all beyond
+        self.places[[ord(c) for c in trie.codes]] = list(trie.codes.values())
         self.arrays = trie.base, np.concatenate([trie.check, np.full(len(trie.codes) + 1, -1, dtype=np.int32)]), trie.value, np.array(v.scores)
         # Words end before a marker, and at line feeds and tabs that no piece has.
         alone = "".join(c for c in "\n\t\r" if c not in trie.codes)
@@ -158,54 +160,70 @@ class Encoder:
             at = i
         return tuple(reversed(out))
 
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pieces found in ``codes``, in which 0 stands for the end of a word and what no piece has: place, length, id.
+
+        A place where no piece of one character starts has one of id -1.
+        """
+        base, check, value, _ = self.arrays
+        at, single = np.flatnonzero(codes > 0), np.zeros(len(codes), dtype=bool)
+        state, size, found = np.zeros(len(at), dtype=np.int32), 0, []
+        while len(at):
+            to = base[state] + codes[at + size]
+            on = (check[to] == state) & (codes[at + size] > 0)
+            at, state, size = at[on], to[on], size + 1
+            piece = value[state]
+            ends = piece >= 0
+            found.append((at[ends], np.full(int(ends.sum()), size), piece[ends]))
+            if size == 1:
+                single[found[0][0]] = True
+        at = np.flatnonzero(~single)
+        found.append((at, np.ones(len(at), dtype=np.int64), np.full(len(at), -1, dtype=np.int32)))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
     def learn(self, words: list[str]) -> None:
-        """Remember the ids of new ``words``, none longer than LONGEST: the lattices of many words, step by step."""
+        """Remember the ids of new ``words``, none longer than LONGEST: the lattices of many words, place by place."""
         words.sort(key=len, reverse=True)
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            n, longest, get = np.array([len(w) for w in part]), len(part[0]), self.codes.get
-            codes = np.zeros((len(part), longest + 1), dtype=np.int32)
-            inside = np.arange(longest + 1) < n[:, None]
-            codes[inside] = [get(c, 0) for w in part for c in w]
-            best = np.full(codes.shape, -np.inf)
-            best[:, 0] = 0
-            start, piece = np.zeros(codes.shape, dtype=np.int32), np.full(codes.shape, -1, dtype=np.int32)
-            base, check, value, scores = self.arrays
-            for i in range(longest):
-                rows = np.arange(np.searchsorted(-n, -i, side="left"))  # the longer ones come first
-                state, single = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows), dtype=bool)
-                for j in range(i, longest):
-                    c = codes[rows, j]
-                    to = base[state] + c
-                    on = (c > 0) & (check[to] == state)
-                    rows, state = rows[on], to[on]
-                    if not len(rows):
-                        break
-                    found = value[state]
-                    ends = found >= 0
-                    r, p = rows[ends], found[ends]
-                    if j == i:
-                        single[r] = True
-                    total = best[r, i] + scores[p]
-                    more = total > best[r, j + 1]
-                    r = r[more]
-                    best[r, j + 1], start[r, j + 1], piece[r, j + 1] = total[more], i, p[more]
-                r = np.flatnonzero(~single)
-                r = r[best[r, i] + self.penalty > best[r, i + 1]]
-                best[r, i + 1], start[r, i + 1], piece[r, i + 1] = best[r, i] + self.penalty, i, -1
-            out, place, width = np.zeros((len(part), longest), dtype=np.int32), n.copy(), np.zeros(len(part), dtype=np.int64)
-            odd, rows = np.zeros(len(part), dtype=bool), np.arange(len(part))
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
+            n = np.array([len(w) for w in part])
+            # Word after word, each with a place for its end.
+            ends = np.cumsum(n + 1) - 1
+            begins = ends - n
+            chars = np.frombuffer("\0".join([*part, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            codes = self.places[np.minimum(chars, len(self.places) - 1)]
+            codes[ends] = 0
+            inside = np.arange(len(codes)) - np.repeat(begins, n + 1)
+            at, size, piece = self.edges(codes)
+            score = np.where(piece >= 0, self.arrays[3][piece], self.penalty)
+            best = np.full(len(codes) + 1, -np.inf)
+            best[begins] = 0
+            back, chosen = np.zeros(len(best), dtype=np.int64), np.full(len(best), -1, dtype=np.int32)
+            # Of one place in all words, no two pieces end together; the earlier place wins a tie.
+            order = np.argsort(inside[at].astype(np.uint16), kind="stable")
+            at, to, piece, score = at[order], (at + size)[order], piece[order], score[order]
+            stops = np.searchsorted(inside[at], np.arange(n[0] + 1)).tolist()
+            for i in range(n[0]):
+                some = slice(stops[i], stops[i + 1])
+                start, stop = at[some], to[some]
+                total = best[start] + score[some]
+                more = total > best[stop]
+                stop = stop[more]
+                best[stop], back[stop], chosen[stop] = total[more], start[more], piece[some][more]
+            longest = int(n[0])
+            out, width = np.zeros((len(part), longest), dtype=np.int32), np.zeros(len(part), dtype=np.int64)
+            odd, rows, place = np.zeros(len(part), dtype=bool), np.arange(len(part)), ends.copy()
             while len(rows):
                 width[rows] += 1
-                p = piece[rows, place[rows]]
+                p = chosen[place[rows]]
                 odd[rows] |= p < 0
                 out[rows, longest - width[rows]] = p
-                place[rows] = start[rows, place[rows]]
-                rows = rows[place[rows] > 0]
-            ids = out.tolist()
-            self.known.update({w: tuple(x[longest - k :]) for w, x, k in zip(part, ids, width.tolist(), strict=True)})
-            for k in np.flatnonzero(odd).tolist():
-                self.known[part[k]] = self.viterbi(part[k])
+                place[rows] = back[place[rows]]
+                rows = rows[place[rows] > begins[rows]]
+            flat, stops = out[np.arange(longest) >= longest - width[:, None]].tolist(), np.cumsum(width).tolist()
+            self.known.update(zip(part, [tuple(flat[a:b]) for a, b in zip([0, *stops], stops)], strict=True))
+            for x in np.flatnonzero(odd).tolist():
+                self.known[part[x]] = self.viterbi(part[x])
 
     def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each text, in order."""
