@@ -45,6 +45,21 @@ LARGE_CELL, BLOCK_CELL = 64, 4096
 SALT = 16
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of ``hashes`` have each of the 64 bits, from the lowest."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK].astype("<u8", copy=False)
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return counts
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes as a signed 64-bit int: the bits that over half of them have."""
+    value = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    return value - (1 << 64) if value >> 63 else value
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     """The fingerprint as a signed 64-bit int; 0 for a text without words (null too).
 
@@ -63,10 +78,8 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
     for at in range(0, len(starts), BLOCK):
         span = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
-        hashes = np.array([digest(data[i:j], 42) for i, j in span], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    value = int.from_bytes(np.packbits(counts * 2 > len(starts), bitorder="little").tobytes(), "little")
-    return value - (1 << 64) if value >> 63 else value
+        counts += bit_counts(np.array([digest(data[i:j], 42) for i, j in span], dtype="<u8"))
+    return majority(counts, len(starts))
 
 
 def add_fingerprint(docs: DataFrame, text: str = "text", words: int = 4, out: str = "fingerprint") -> DataFrame:
