@@ -3,7 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import jaccard
+from textloom.llm import common, components, jaccard
 from textloom.llm import simhash as S
 from textloom.llm.components import connected_components
 
@@ -44,6 +44,34 @@ def test_components_of_paths_stars_and_loops(spark):
     assert all(got[i] == 2000 for i in ids) and len(got) == 101 + 201 + 100
 
 
+def test_leaves_are_no_lookup_table(spark, monkeypatch):
+    """What is broadcast to follow pointers are nodes on the way to a root, not the members of stars."""
+    sizes = []
+
+    def recorded(rows, table, *args, **kwargs):
+        sizes.append(table.count())
+        return common.looked_up(rows, table, *args, **kwargs)
+
+    monkeypatch.setattr(components, "looked_up", recorded)
+    # A chain of hubs 0 to 29, each with 40 leaves.
+    edges = [(i, i + 1) for i in range(29)] + [(i, 1000 * (i + 1) + j) for i in range(30) for j in range(40)]
+    for few in (common.FEW, 10):
+        monkeypatch.setattr(common, "FEW", few)
+        got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r.root for r in got} == {0} and len(got) == len({r.node for r in got}) == 30 + 1200
+    assert sizes and max(sizes) <= 30
+
+
+def test_estimated_sizes_stay_small(spark):
+    """Rounds of joins don't multiply the driver's size estimate, a whole number of any length."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    for _ in range(2):
+        found = connected_components(edges)
+        edges = found.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+    assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(301)}
+
+
 def test_fingerprints_of_texts(spark):
     texts = ["", None, " \t\n", "One", "one two three", "a b c d e f A B c d", "é ü x  y\nz w", "x " * 70000]
     df = spark.createDataFrame([(t, "?") for t in texts], "text string, fingerprint string")

@@ -37,14 +37,15 @@ def sample_below(limit: int, n: int) -> int:
 FEW, MANY = 1_000_000, 200_000
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", plain: bool = False) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", plain: bool = False, n: int | None = None) -> DataFrame:
     """``rows`` joined with ``table`` on ``keys``, both small or kept.
 
     A table of at most ``FEW`` rows is broadcast. A larger one is joined by a shuffle, but for the keys that over
     ``MANY`` of ``rows`` share, of which there are at most a ``MANY``-th as many as rows; their part of the table is broadcast.
-    ``plain``: no key has many rows, so that is not looked for.
+    ``plain``: no key has many rows, so that is not looked for. ``n``: rows of ``table``, counted if not given; over
+    ``FEW`` it may be any number over it.
     """
-    if table.limit(FEW + 1).count() <= FEW:
+    if (table.limit(FEW + 1).count() if n is None else n) <= FEW:
         return rows.join(F.broadcast(table), keys, how)
     if plain:
         return rows.join(table, keys, how)
