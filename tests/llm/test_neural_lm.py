@@ -1,9 +1,13 @@
 import math
+import random
 import re
+import sys
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import neural_lm, recurrent
@@ -134,3 +138,68 @@ def test_gradients():
             x[i] = v - e
             assert (up - loss()) / (2 * e) == pytest.approx(grads[n][i], abs=2e-5)
             x[i] = v
+
+
+class Taken:
+    """Stands for a table and keeps the function that its tasks run."""
+
+    def select(self, *_):
+        return self
+
+    groupBy = agg = filter = select
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def counter(monkeypatch):
+    monkeypatch.setattr(neural_lm, "cut", lambda df: df)
+    return neural_lm.word_counts(Taken()).run
+
+
+def seconds(run):
+    start = time.process_time()
+    run()
+    return time.process_time() - start
+
+
+def test_words_cost_less_than_a_dictionary_of_python(spark, monkeypatch):
+    rng = random.Random(3)
+    known = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(known, k=300)) for _ in range(2000)]
+    run, batch = counter(monkeypatch), pa.record_batch({"text": texts})
+
+    def plain():
+        counts = Counter()
+        for t in texts:
+            counts.update(t.lower().split())
+
+    took = min(seconds(lambda: list(run([batch]))) for _ in range(4))
+    assert took < 0.75 * min(seconds(plain) for _ in range(4))
+
+
+def test_word_counts_whatever_is_counted_at_once(spark, monkeypatch):
+    """Only ASCII letters are lower-cased and only ASCII white space parts words."""
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", " A  b\x0bB\x0cc\rD ", "x\x1cy\x1fz", "É\xa0é\u2003e İ ǅ", "a\x85b", "one", "\none\n"] * 3
+    want = Counter(w for t in texts for w in tokens(t))
+    for most, held in ((1 << 23, 1 << 20), (7, 2), (1, 0)):
+        monkeypatch.setattr(neural_lm, "BYTES", most)
+        monkeypatch.setattr(neural_lm, "COUNTED", held)
+        got = Counter()
+        for b in counter(monkeypatch)([pa.record_batch({"text": pa.array(t, pa.string())}) for t in (texts[:11], texts[11:], [])]):
+            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got[word] += n
+        assert +got == want
+
+
+def test_few_calls_for_a_window():
+    """Training calls few functions for a window, whatever the number of classes; operators of numpy are not counted."""
+    net, rng, calls = recurrent.Network.new(np.arange(4098, 0, -1), 16, 1), np.random.default_rng(1), []
+    docs = [rng.integers(0, 4098, 320).astype(np.int32) for _ in range(128)]
+    ids, owner, lengths = recurrent.streams(docs, 128)
+    before, keep, targets, of = next(recurrent.windows(ids, owner, lengths, 0))
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    recurrent.gradients(net, before, keep, targets, of >= 0, np.zeros((128, 16), dtype=np.float32))
+    sys.setprofile(None)
+    assert len(calls) < 250

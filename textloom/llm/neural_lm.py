@@ -22,13 +22,13 @@ each; ties in count go to the lesser word. Without training rows both scores are
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +40,9 @@ LOOKUP, MODEL, HIDDEN, SEED = 1 << 18, 4096, 16, 7
 #: One text of so many is trained on: all of them.
 EVERY = 1
 ROUNDS = 2
-#: Words that a task counts before it hands them on, tokens that it scores or trains on at once, weights in a block.
-COUNTED, TOKENS, BLOCK = 1 << 20, 1 << 21, 1 << 13
+#: Words that a task counts before it hands them on, bytes of text that it counts or puts into ids at once, tokens that it
+#: scores or trains on at once, weights in a block.
+COUNTED, BYTES, TOKENS, BLOCK = 1 << 20, 1 << 23, 1 << 21, 1 << 13
 END = ""
 ENCODED = "row long, doc_id {id}, held_out boolean, round int, n_tokens long, n_known long, base double, inside double, ids array<int>, rare array<string>, times array<long>"
 SCORED = "row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, others long"
@@ -52,30 +53,59 @@ def learned(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 1, F.lit(True))
 
 
-def words(text: str | None) -> list[bytes]:
-    # Bytes have only ASCII letters and white space.
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts`` end to end, and how many each text has."""
+    # Arrow's ASCII functions know only ASCII letters and white space.
+    held = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    lists = pc.ascii_split_whitespace(held)
+    found, n = lists.flatten().cast(pa.string()), lists.value_lengths().to_numpy().astype(np.int64)
+    blank = pc.equal(held, "").to_numpy(zero_copy_only=False)
+    if blank.any():
+        # Such a text is split into one empty word.
+        found, n[blank] = found.filter(pc.not_equal(found, "")), 0
+    return found, n
+
+
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of up to ``most`` bytes of ``text``, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word``, ``n`` over all rows of ``texts`` (``text``); the end of a text is the empty word."""
+    most = BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held, rows, ends = [], 0, 0
 
-        def held() -> pa.RecordBatch:
-            return pa.record_batch({"word": pa.array(list(counts), pa.binary()).cast(pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for b in batches:
-            for text in b.column(0):
-                counts.update(words(text.as_py()))
-                counts[b""] += 1
-                if len(counts) > COUNTED:
-                    yield held()
-                    counts.clear()
-        yield held()
+            for part in pieces(b, most):
+                counted = word_lists(part.column("text"))[0].value_counts()
+                held.append(pa.table({"word": counted.field(0), "n": counted.field(1)}))
+                ends += len(part)
+                rows += len(counted)
+                if rows > 2 * COUNTED:
+                    held = [summed()]
+                    if len(held[0]) > COUNTED:
+                        yield from held[0].to_batches()
+                        held = []
+                    rows = sum(map(len, held))
+        if held:
+            yield from summed().to_batches()
+        yield pa.record_batch({"word": pa.array([END], pa.string()), "n": pa.array([ends], pa.int64())})
+        # Workers go on to other tasks.
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
-    return cut(texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return cut(texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
 
 
 @dataclass
@@ -124,18 +154,6 @@ def vocabulary(counts: DataFrame, lookup: int = LOOKUP, model: int = MODEL) -> t
     return Vocabulary([listed[i] for i in order], n[order], end, total, distinct, min(model, len(order))), least
 
 
-def encoder(vocab: Vocabulary) -> Callable[[str | None], tuple[np.ndarray, list[bytes]]]:
-    """A function of a text that gives the place of each word in the vocabulary, -1 for others, and those others."""
-    place = {w: i for i, w in enumerate(vocab.words)}
-
-    def encode(text: str | None) -> tuple[np.ndarray, list[bytes]]:
-        found = words(text)
-        at = np.fromiter((place.get(w, -1) for w in found), dtype=np.int32, count=len(found))
-        return at, [found[i] for i in np.flatnonzero(at < 0)]
-
-    return encode
-
-
 def trained(net: recurrent.Network, texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> recurrent.Network:
     """``net`` after ``rounds`` of training on the ``encoded`` ``texts``, each in its round, a copy for each partition, averaged after each."""
     spark, end = texts.sparkSession, vocab.ids[2]
@@ -194,46 +212,51 @@ def encoded(docs: DataFrame, vocab: Vocabulary, every: int = EVERY, rounds: int
 
     ``round``: that in which it is trained on, or -1. Of the rows to learn from, one of ``every`` is; all of them if that is 1.
     """
-    sent, most = docs.sparkSession.sparkContext.broadcast(vocab), TOKENS
+    sent, most = docs.sparkSession.sparkContext.broadcast(vocab), BYTES
     kind = docs.schema["doc_id"].dataType.simpleString()
     pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(every * rounds))
     turn = F.when(learned(F.col("doc_id")) & (pick < rounds), pick).otherwise(-1).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = sent.value
-        encode, (of, by_id, end, other) = encoder(vocab), vocab.ids
-        logs = np.log10(vocab.counts + 0.5)
+        of, by_id, end, other = vocab.ids
+        place = pa.array(vocab.words, pa.binary()).cast(pa.string())
         whole = np.log10(vocab.tokens + 0.5 * (vocab.distinct + 1))
         outside = np.log10(by_id[other] + 0.5 * (vocab.distinct - vocab.known - (vocab.end > 0) + 1))
         end_log = np.log10(vocab.end + 0.5)
-
-        def answer(b: pa.RecordBatch, at: int, ids: list[np.ndarray], rows: list[tuple]) -> pa.RecordBatch:
-            given = [b.column(n).slice(at, len(rows)) for n in ("row", "doc_id", "held_out", "round")]
-            n_tokens = np.array([len(x) for x in ids], dtype=np.int64)
-            starts = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
-            n_known, base, inside, rare, times = zip(*rows, strict=True)
-            made = [pa.array(n_tokens), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(ids)))]
-            words = [pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
-            return pa.record_batch(given + made + words, names=["row", "doc_id", "held_out", "round", "n_tokens", "n_known", "base", "inside", "ids", "rare", "times"])
+        # By place, with that of no place, -1, at the end.
+        logs = np.append(np.log10(vocab.counts + 0.5), 0.0)
+        # Words that the network has no id of their own for share one.
+        shares = logs - outside
+        shares[: vocab.known] = 0.0
+
+        def answer(part: pa.RecordBatch) -> pa.RecordBatch:
+            (found, n), rows = word_lists(part.column("text")), len(part)
+            at = pc.index_in(found, place).fill_null(-1).to_numpy()
+            row = np.repeat(np.arange(rows), n)
+            base, inside = (np.bincount(row, weights=by[at], minlength=rows) for by in (logs, shares))
+            base += end_log - (n + 1) * whole
+            ends = np.cumsum(n + 1)
+            last = np.zeros(ends[-1], dtype=bool)
+            last[ends - 1] = True
+            ids = np.full(len(last), end, dtype=np.int32)
+            ids[~last] = of[at]
+            far = np.flatnonzero(at < 0)
+            coded = found.take(pa.array(far)).dictionary_encode()
+            each = max(1, len(coded.dictionary))
+            held, times = np.unique(row[far] * each + coded.indices.to_numpy(), return_counts=True)
+            starts = lambda ends: pa.array(np.append(0, ends), pa.int32())
+            rare_ends = starts(np.cumsum(np.bincount(held // each, minlength=rows)))
+            n_known = n - np.bincount(row[far], minlength=rows) + (vocab.end > 0)
+            made = [pa.array(n + 1), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.ListArray.from_arrays(starts(ends), pa.array(ids))]
+            rare = [pa.ListArray.from_arrays(rare_ends, coded.dictionary.take(pa.array(held % each))), pa.ListArray.from_arrays(rare_ends, pa.array(times, pa.int64()))]
+            given = [part.column(c) for c in ("row", "doc_id", "held_out", "round")]
+            return pa.record_batch(given + made + rare, names=["row", "doc_id", "held_out", "round", "n_tokens", "n_known", "base", "inside", "ids", "rare", "times"])
 
         for b in batches:
-            at, size, ids, rows = 0, 0, [], []
-            for text in b.column("text"):
-                places, rest = encode(text.as_py())
-                near = places[places >= 0]
-                rare = Counter(rest)
-                base = float(logs[near].sum()) + end_log - (len(places) + 1) * whole
-                own = of[places]
-                # Words that the network has no id of their own for share one.
-                inside = float(logs[near[near >= vocab.known]].sum()) - outside * int((own == other).sum())
-                rows.append((len(near) + (vocab.end > 0), base, inside, [w.decode("utf-8", "surrogatepass") for w in rare], list(rare.values())))
-                ids.append(np.append(own, np.int32(end)))
-                size += len(own) + 1
-                if size >= most:
-                    yield answer(b, at, ids, rows)
-                    at, size, ids, rows = at + len(rows), 0, [], []
-            if rows:
-                yield answer(b, at, ids, rows)
+            for part in pieces(b, most):
+                yield answer(part)
+        pa.default_memory_pool().release_unused()
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     return stored(numbered.select("row", "doc_id", (~learned(F.col("doc_id"))).alias("held_out"), turn.alias("round"), "text").mapInArrow(run, ENCODED.format(id=kind)), "lm-rows")

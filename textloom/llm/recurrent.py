@@ -18,6 +18,8 @@ import numpy as np
 WINDOW, STREAMS, RATE, START, STEPS = 32, 128, 0.1, 1e-6, 200
 #: Logits up to which their exponents need no shift.
 FAR = 60.0
+#: Tokens whose logits are held at once, but for those of one class.
+HELD = 4096
 
 
 @dataclass
@@ -108,67 +110,87 @@ def forward(net: Network, before: np.ndarray, keep: np.ndarray, state: np.ndarra
     these the streams come last, as they do inside.
     """
     h = net.recur.shape[0]
-    x, recur = net.embed[before], net.recur.T.copy()
-    x += net.shift
+    x, recur, shift = np.ascontiguousarray(net.embed[before].transpose(0, 2, 1)), net.recur.T.copy(), net.shift[:, None].copy()
+    x += shift
     # A gate is (tanh(x / 2) + 1) / 2.
-    x[..., : 2 * h] *= 0.5
+    x[:, : 2 * h] *= 0.5
     recur[: 2 * h] *= 0.5
-    x = np.ascontiguousarray(x.transpose(0, 2, 1))
     out = np.empty((len(before), h, before.shape[1]), dtype=x.dtype)
-    olds, given, state = np.empty_like(out), np.empty_like(out), state.T
+    # Without a tape one step's place is used again.
+    held = len(before) if tape is not None else 1
+    olds, given, state = np.empty((held, *out.shape[1:]), dtype=x.dtype), np.empty((held, *x.shape[1:]), dtype=x.dtype), state.T
     for t in range(len(before)):
-        old = np.multiply(state, keep[t], out=olds[t])
-        u = recur @ old
+        old = np.multiply(state, keep[t], out=olds[t % held])
+        u = np.matmul(recur, old, out=given[t % held])
         gates, new = x[t, : 2 * h], x[t, 2 * h :]
         gates += u[: 2 * h]
         np.tanh(gates, out=gates)
         gates *= 0.5
         gates += 0.5
-        given[t] = u[2 * h :]
         new += gates[h:] * u[2 * h :]
         np.tanh(new, out=new)
         state = np.subtract(old, new, out=out[t])
         state *= gates[:h]
         state += new
     if tape is not None:
-        tape.extend((olds, x, given))
+        tape.extend((olds, x, given[:, 2 * h :]))
     return np.ascontiguousarray(out.transpose(0, 2, 1)), state.T
 
 
 def log_probs(net: Network, states: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """The natural logarithm of each target's probability after its state; with ``grads``, also the slope of -sum by the states."""
-    size, n = net.size, len(targets)
+    """The natural logarithm of each target's probability after its state; ``grads`` gets the slopes of -sum, and that by the states comes second."""
+    size, n, (h, groups) = net.size, len(targets), net.to_class.shape
     classes = targets // size
     # Of two bytes, which are sorted in linear time.
-    order = np.argsort(classes.astype(np.uint16) if len(net.class_bias) < 1 << 16 else classes, kind="stable")
-    states, classes, own = states[order], classes[order], (targets % size)[order]
-    logits = states @ net.to_class
-    logits += net.class_bias
-    out, total = _chosen(logits, classes)
-    ends = np.searchsorted(classes, np.arange(len(net.class_bias) + 1)).tolist()
-    spans = [(slice(ends[c], ends[c + 1]), slice(c * size, (c + 1) * size)) for c in range(len(ends) - 1) if ends[c] < ends[c + 1]]
-    inside = np.empty((n, size), dtype=np.result_type(states, net.to_word))
-    for some, span in spans:
-        part = np.matmul(states[some], net.to_word[span].T, out=inside[some])
-        part += net.word_bias[span]
-    got, whole = _chosen(inside, own)
-    found = np.empty_like(out)
-    found[order] = out + got
+    order = np.argsort(classes.astype(np.uint16) if groups < 1 << 16 else classes, kind="stable")
+    classes, own = classes[order], (targets % size)[order]
+    kind = np.result_type(states, net.to_word)
+    # Biases are weights of a state that is 1.
+    given = np.ones((n, h + 1), dtype=kind)
+    given[:, :h] = states[order]
+    to_class, to_word = np.vstack([net.to_class, net.class_bias]), np.column_stack([net.to_word, net.word_bias])
+    found = np.empty(n, dtype=kind)
+    if grads is not None:
+        slope, by_class, by_word = np.empty((n, h), dtype=kind), np.zeros_like(to_class), np.zeros_like(to_word)
+    ends = np.searchsorted(classes, np.arange(groups + 1))
+    stop = 0
+    while stop < groups:
+        # Classes with up to so many tokens, one at least.
+        first, stop = stop, max(stop + 1, int(np.searchsorted(ends, ends[stop] + HELD, side="right")) - 1)
+        start, count = int(ends[first]), int(ends[stop] - ends[first])
+        if not count:
+            continue
+        some, at = slice(start, start + count), np.arange(count)
+        cuts = (ends[first : stop + 1] - start).tolist()
+        spans = [(slice(a, b), slice(c * size, (c + 1) * size)) for c, a, b in zip(range(first, stop), cuts, cuts[1:]) if a < b]
+        x, place = given[some], np.empty(count * max(groups, size), dtype=kind)
+        logits = np.matmul(x, to_class, out=place[: count * groups].reshape(count, groups))
+        got, total = _chosen(logits, classes[some])
+        if grads is not None:
+            # Shares less 1 for the target, times the total, by which the narrower states are divided instead.
+            logits[at, classes[some]] -= total
+            share = (1 / total)[:, None]
+            by_class += (x * share).T @ logits
+            back = logits @ net.to_class.T
+            back *= share
+        inside = place[: count * size].reshape(count, size)
+        for part, span in spans:
+            np.matmul(x[part], to_word[span].T, out=inside[part])
+        more, total = _chosen(inside, own[some])
+        found[order[some]] = got + more
+        if grads is not None:
+            inside[at, own[some]] -= total
+            share = (1 / total)[:, None]
+            scaled, sloped = x * share, slope[some]
+            for part, span in spans:
+                np.matmul(inside[part].T, scaled[part], out=by_word[span])
+                np.matmul(inside[part], net.to_word[span], out=sloped[part])
+            sloped *= share
+            sloped += back
     if grads is None:
         return found, None
-    at = np.arange(n)
-    logits /= total[:, None]
-    logits[at, classes] -= 1
-    grads["to_class"] += states.T @ logits
-    grads["class_bias"] += np.ones(n, dtype=logits.dtype) @ logits
-    slope = logits @ net.to_class.T
-    inside /= whole[:, None]
-    inside[at, own] -= 1
-    for some, span in spans:
-        part = inside[some]
-        grads["to_word"][span] += part.T @ states[some]
-        grads["word_bias"][span] += np.ones(len(part), dtype=part.dtype) @ part
-        slope[some] += part @ net.to_word[span]
+    grads["to_class"], grads["class_bias"] = by_class[:h], by_class[h]
+    grads["to_word"], grads["word_bias"] = np.ascontiguousarray(by_word[:, :h]), by_word[:, h].copy()
     back = np.empty_like(slope)
     back[order] = slope
     return found, back
@@ -200,7 +222,8 @@ def score(net: Network, docs: list[np.ndarray], first: int, most: int = 4 * STRE
     found = np.zeros(len(docs))
     ids, owner, lengths = streams(docs, most)
     state = np.zeros((ids.shape[1], net.recur.shape[0]), dtype=np.float32)
-    for before, keep, targets, of in windows(ids, owner, lengths, first, tokens=WINDOW * most):
+    # Windows change no score; shorter ones stay in a core's cache.
+    for before, keep, targets, of in windows(ids, owner, lengths, first, WINDOW // 2, WINDOW // 2 * most):
         states, state = forward(net, before, keep, state[: before.shape[1]])
         there = of >= 0
         got, _ = log_probs(net, states[there], targets[there])
@@ -210,32 +233,43 @@ def score(net: Network, docs: list[np.ndarray], first: int, most: int = 4 * STRE
 
 def gradients(net: Network, before: np.ndarray, keep: np.ndarray, targets: np.ndarray, there: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
     """Slopes of the mean loss over one window, by backpropagation to its begin; the rows of ``embed`` that its slopes are of; the last state; the loss's sum."""
-    grads = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES[1:]}
+    grads: dict[str, np.ndarray] = {}
     tape: list = []
     states, state = forward(net, before, keep, state, tape)
-    got, own = log_probs(net, states[there], targets[there], grads)
-    slope = np.zeros_like(states)
-    slope[there] = own
-    slope = np.ascontiguousarray(slope.transpose(0, 2, 1))
+    if there.all():
+        got, slope = log_probs(net, states.reshape(there.size, -1), targets.ravel(), grads)
+    else:
+        got, own = log_probs(net, states[there], targets[there], grads)
+        slope = np.zeros((*there.shape, own.shape[1]), dtype=own.dtype)
+        slope[there] = own
+    slope = np.ascontiguousarray(slope.reshape(*there.shape, -1).transpose(0, 2, 1))
     h = net.recur.shape[0]
     old, x, u = tape
     z, r, new = x[:, :h], x[:, h : 2 * h], x[:, 2 * h :]
     # What a state's slope is multiplied by for the slopes of both gates and of the new value.
-    inner = (1 - z) * (1 - new * new)
-    through = np.stack([(old - new) * z * (1 - z), inner * u * r * (1 - r), inner * r], axis=1)
+    rest = 1 - z
+    inner = 1 - new * new
+    inner *= rest
+    through = np.empty((len(before), 3, *slope.shape[1:]), dtype=slope.dtype)
+    np.multiply(inner, r, out=through[:, 2])
+    np.multiply(through[:, 2], u, out=through[:, 1])
+    through[:, 1] *= 1 - r
+    np.subtract(old, new, out=through[:, 0])
+    through[:, 0] *= z
+    through[:, 0] *= rest
+    by_gate = through.reshape(len(before), 3 * h, -1)
     carried = np.zeros(slope.shape[1:], dtype=slope.dtype)
     for t in range(len(before) - 1, -1, -1):
         d = slope[t]
         d += carried
         through[t] *= d
-        carried = net.recur @ through[t].reshape(3 * h, -1)
+        carried = net.recur @ by_gate[t]
         carried += d * z[t]
         carried *= keep[t]
-    by_token = lambda a: np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(-1, a.shape[1])
-    flat = by_token(through.reshape(len(before), 3 * h, -1))
-    grads["recur"] += by_token(old).T @ flat
-    flat[:, 2 * h :] = by_token(slope * inner)
-    grads["shift"] += np.ones(len(flat), dtype=flat.dtype) @ flat
+    grads["recur"] = np.matmul(old, by_gate.transpose(0, 2, 1)).sum(axis=0)
+    np.multiply(slope, inner, out=through[:, 2])
+    flat = np.ascontiguousarray(by_gate.transpose(0, 2, 1)).reshape(-1, 3 * h)
+    grads["shift"] = np.ones(len(flat), dtype=flat.dtype) @ flat
     ids = before.ravel()
     order = np.argsort(ids.astype(np.uint16) if len(net.embed) < 1 << 16 else ids, kind="stable")
     held = ids[order]
@@ -259,9 +293,15 @@ def train(net: Network, docs: list[np.ndarray], first: int, held: dict[str, np.n
         grads, rows, state, own = gradients(net, before, keep, targets, of >= 0, state[: before.shape[1]])
         loss += own
         for n, g in grads.items():
-            at = rows if n == "embed" else slice(None)
-            held[n][at] += g * g
-            getattr(net, n)[at] -= rate * g / np.sqrt(held[n][at])
+            squares = g * g
+            if n == "embed":
+                squares += held[n][rows]
+                held[n][rows] = squares
+            else:
+                held[n] += squares
+            g *= rate
+            g /= np.sqrt(squares if n == "embed" else held[n], out=squares)
+            getattr(net, n)[rows if n == "embed" else slice(None)] -= g
     return loss
 
 
