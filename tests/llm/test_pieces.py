@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -93,6 +95,37 @@ def test_words_together_like_each_alone(encoder):
     assert walks == [sum(map(len, words)) + len(words)]  # all places of all words at once
 
 
+def test_words_are_held_small(encoder):
+    """A task remembers words in under 250 bytes each, with their ids."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(4, 9))) for _ in range(400)) for _ in range(250)]
+    fresh = P.Encoder.__new__(P.Encoder)
+    fresh.__dict__ |= encoder.__dict__ | {"known": {}}
+    tracemalloc.start()
+    try:
+        n = sum(len(ids) for ids in fresh.encode_all(texts))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert n == sum(len(encoder.encode(t)) for t in texts)
+    assert len(fresh.known) > 80_000 and held < 250 * len(fresh.known)
+
+
+def test_batches_are_taken_in_slices(encoder, monkeypatch):
+    """No more than LOOK bytes or ROWS_BACK texts are made Python strings at once, but one text at least, whatever Arrow's batch holds."""
+    monkeypatch.setattr(P, "LOOK", 40)
+    monkeypatch.setattr(P, "ROWS_BACK", 7)
+    texts = [*TEXTS, None, None, *["ab"] * 30, *TEXTS]
+    batch = pa.array(["before", *texts], pa.string()).slice(1)
+    parts = list(P.slices(batch))
+    assert [t for p in parts for t in p.to_pylist()] == texts
+    assert all(len(p) <= 7 and (len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= 40) for p in parts)
+    assert max(map(len, parts)) == 7 and list(P.slices(batch.slice(0, 0))) == []
+    rows = [r for p in parts for r in encoder.answer(p).to_pylist()]
+    assert [r["input_ids"] for r in rows] == [None if t is None else encoder.encode(t) for t in texts]
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["input_ids"] or []) for r in rows)
+
+
 def test_tables_round_trip(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, n_tokens string")
     rows = P.encode_table(df, MODEL).collect()

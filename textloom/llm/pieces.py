@@ -6,7 +6,7 @@ pieces (or the unknown piece, where the model has no bytes). Decoding joins piec
 and takes the first one off, so every text without U+2581 comes back as it was.
 
 If no piece has a marker behind another character, words are independent: the new words of some texts go through the
-lattice together, position by position, and each worker remembers them; otherwise a text is one lattice. A null text
+lattice together, position by position, and each task remembers them; otherwise a text is one lattice. A null text
 has no ids and decodes to an empty text.
 """
 
@@ -19,14 +19,17 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from textloom.llm.common import add_columns
+from textloom.llm.common import ROWS_BACK, add_columns, free_name
 
 MARK = "▁"
-#: Words that a worker remembers, and the longest one it does; characters that it looks at for new words at once, and
-#: words that go through the lattice together.
-MEMORY, LONGEST, LOOK, TOGETHER = 250_000, 48, 1 << 20, 1 << 14
+#: Words that a task remembers, and the longest one it does; characters that it looks at for new words at once (of a
+#: longer text, all), and words that go through the lattice together.
+MEMORY, LONGEST, LOOK, TOGETHER = 150_000, 48, 1 << 18, 1 << 14
 
 
 @dataclass
@@ -123,10 +126,12 @@ class Encoder:
         plain = f"[^{MARK}{alone}]"
         apart = not any(re.search(f"[^{MARK}]{MARK}", v.pieces[i]) for i in text)
         self.word = re.compile(f"{MARK}+{plain}*|{plain}+" + (f"|[{alone}]" if alone else "")) if apart else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.spelling = np.zeros(len(v.pieces), dtype=bool)
+        self.spelling[self.bytes] = True
+        self.known: dict[str, bytes] = {}
 
-    def viterbi(self, text: str) -> tuple[int, ...]:
-        """The ids of the best segmentation of ``text``, which has markers already."""
+    def viterbi(self, text: str) -> bytes:
+        """The ids, of four bytes each, of the best segmentation of ``text``, which has markers already."""
         base, check, value, scores, get = self.base, self.check, self.value, self.scores, self.codes.get
         codes, n = [get(c, 0) for c in text], len(text)
         best, back = [0.0] + [None] * n, [(0, 0)] * (n + 1)
@@ -158,7 +163,7 @@ class Encoder:
             else:
                 out.append(self.unknown)
             at = i
-        return tuple(reversed(out))
+        return np.array(out[::-1], dtype=np.int32).tobytes()
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """The pieces found in ``codes``, in which 0 stands for the end of a word and what no piece has: place, length, id.
@@ -220,15 +225,15 @@ class Encoder:
                 out[rows, longest - width[rows]] = p
                 place[rows] = back[place[rows]]
                 rows = rows[place[rows] > begins[rows]]
-            flat, stops = out[np.arange(longest) >= longest - width[:, None]].tolist(), np.cumsum(width).tolist()
-            self.known.update(zip(part, [tuple(flat[a:b]) for a, b in zip([0, *stops], stops)], strict=True))
+            flat, stops = out[np.arange(longest) >= longest - width[:, None]].tobytes(), (out.itemsize * np.cumsum(width)).tolist()
+            self.known.update(zip(part, [flat[a:b] for a, b in zip([0, *stops], stops)], strict=True))
             for x in np.flatnonzero(odd).tolist():
                 self.known[part[x]] = self.viterbi(part[x])
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         if self.word is None:
-            yield from (list(self.viterbi(MARK + t.replace(" ", MARK))) if t else [] for t in texts)
+            yield from (np.frombuffer(self.viterbi(MARK + t.replace(" ", MARK)) if t else b"", dtype=np.int32) for t in texts)
             return
         held: list[list[str]] = []
         size = 0
@@ -244,14 +249,12 @@ class Encoder:
             lone = {w: self.viterbi(w) for w in new if len(w) > LONGEST}
             self.learn([w for w in new if len(w) <= LONGEST])
             for words in held:
-                if lone:
-                    yield list(chain.from_iterable([lone[w] if w in lone else known[w] for w in words]))
-                else:
-                    yield list(chain.from_iterable(map(known.__getitem__, words)))
+                found = [lone[w] if w in lone else known[w] for w in words] if lone else map(known.__getitem__, words)
+                yield np.frombuffer(b"".join(found), dtype=np.int32)
             held, size = [], 0
 
     def encode(self, text: str | None) -> list[int]:
-        return next(self.encode_all([text]))
+        return next(self.encode_all([text])).tolist()
 
     def decode(self, ids: list[int], spelt: bool | None = None) -> str:
         """The text of ``ids``; ``spelt`` says, if known, whether byte pieces are among them."""
@@ -262,6 +265,28 @@ class Encoder:
         data = b"".join(bytes([self.is_byte[i]]) if i in self.is_byte else self.pieces[i].replace(MARK, " ").encode("utf-8", "surrogatepass") for i in ids)
         return data.decode("utf-8", "replace")[1:]
 
+    def answer(self, texts: pa.Array) -> pa.StructArray:
+        """For each text its ids, their number, that of byte pieces among them, and whether they give it again."""
+        plain = texts.to_pylist()
+        found = list(self.encode_all(plain))
+        n_tokens = np.array([len(ids) for ids in found], dtype=np.int64)
+        n_bytes = np.array([np.count_nonzero(self.spelling[ids]) for ids in found], dtype=np.int64)
+        back = [self.decode(ids.tolist(), n > 0) == (t or "").replace(MARK, " ") for t, ids, n in zip(plain, found, n_bytes, strict=True)]
+        ends = np.append(0, np.cumsum(n_tokens)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)), mask=texts.is_null())
+        return pa.StructArray.from_arrays([lists, pa.array(n_tokens), pa.array(n_bytes), pa.array(back, pa.bool_())], names=["input_ids", "n_tokens", "n_bytes", "round_trip"])
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in slices of up to ROWS_BACK texts and LOOK bytes, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOK, side="right"))
+        stop = min(max(at + 1, stop), at + ROWS_BACK)
+        yield texts.slice(at, stop - at)
+        at = stop
+
 
 def _encoder(df: DataFrame, model_file: str) -> Callable[[], Encoder]:
     vocabulary = Vocabulary.load(model_file)
@@ -278,7 +303,7 @@ def add_ids(docs: DataFrame, model_file: str, text: str = "text", out: str = "in
         encoder = load()
         def step(texts: pd.Series) -> pd.DataFrame:
             ids = encoder.encode_all(texts.tolist())
-            return pd.DataFrame({out: [None if t is None else np.array(i, dtype=np.int32) for t, i in zip(texts, ids, strict=True)]})
+            return pd.DataFrame({out: [None if t is None else i for t, i in zip(texts, ids, strict=True)]})
 
         return step
 
@@ -303,19 +328,15 @@ def encode_table(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
     """
     load = _encoder(docs, model_file)
 
-    def make() -> Callable[[pd.Series], pd.DataFrame]:
+    @F.arrow_udf("input_ids array<int>, n_tokens bigint, n_bytes bigint, round_trip boolean")
+    def computed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load()
-        spelling = np.zeros(len(encoder.pieces), dtype=bool)
-        spelling[encoder.bytes] = True
-
-        def step(texts: pd.Series) -> pd.DataFrame:
-            rows = []
-            for t, ids in zip(texts, encoder.encode_all(texts.tolist()), strict=True):
-                array = np.array(ids, dtype=np.int32)
-                n_bytes = int(spelling[array].sum())
-                rows.append((None if t is None else array, len(ids), n_bytes, encoder.decode(ids, n_bytes > 0) == (t or "").replace(MARK, " ")))
-            return pd.DataFrame(rows, columns=["input_ids", "n_tokens", "n_bytes", "round_trip"])
-
-        return step
-
-    return add_columns(docs, [text], [("input_ids", "array<int>"), ("n_tokens", "bigint"), ("n_bytes", "bigint"), ("round_trip", "boolean")], make)
+        for batch in batches:
+            yield from map(encoder.answer, slices(batch))
+        # Workers go on to other tasks.
+        encoder = batch = None
+        pa.default_memory_pool().release_unused()
+
+    held, names = free_name(docs, "__computed"), ("input_ids", "n_tokens", "n_bytes", "round_trip")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.withColumn(held, computed(F.col(text).cast("string"))).select(*rest, *[F.col(held)[n].alias(n) for n in names])
