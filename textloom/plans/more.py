@@ -355,6 +355,6 @@ def model_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document after one question, as a pair that fits into 128 tokens, filled up to them."""
-    e = table(spark, sf_dir, "documents").select("doc_id", tokens.encode(TOKENIZER, 128, SPECIALS)(F.lit(C.QUESTION), F.coalesce("text", F.lit(""))).alias("e"))
+    e = table(spark, sf_dir, "documents").select("doc_id", tokens.encode(TOKENIZER, 128, SPECIALS, places=False)(F.lit(C.QUESTION), F.coalesce("text", F.lit(""))).alias("e"))
     ids = tokens.padded(F.col("e.input_ids"), F.lit(128))
     return e.select("doc_id", F.size("e.input_ids").alias("n_tokens"), F.size(F.filter("e.type_ids", lambda t: t == 1)).alias("n_second"), F.size(ids).alias("n_padded"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"))
